@@ -7,13 +7,21 @@ from collections.abc import Callable
 
 from .byte_bpe import op10_byte_bpe
 from .media import op1_media_columns
+from .mixing import op8_mix_sources
+from .quality import op9_quality_resampling
+from .rans import op4_token_output
 from .token_counts import op3_token_counts
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_media_columns": op1_media_columns,
         "op3_token_counts": op3_token_counts,
+        "op4_token_output": op4_token_output,
+        "op7_toxicity": op7_toxicity,
+        "op8_mix_sources": op8_mix_sources,
+        "op9_quality_resampling": op9_quality_resampling,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
