@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-CACHE = 400_000
+CACHE = 300_000
 CHUNK, OVERLAP = 16_384, 256
 SPREAD = 1 << 20
 #: White space as the library's regular expressions know it.
@@ -136,20 +136,23 @@ def encoder(ranks_file: str, pattern: str) -> ByteBpe:
     return _encoders[key]
 
 
-def encode(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spread: int = SPREAD) -> DataFrame:
-    """`keep` and ids: binary, little-endian unsigned 32-bit."""
-    schema = _schema(df, keep, "ids binary")
+def encode(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spread: int = SPREAD, decoded: bool = False) -> DataFrame:
+    """`keep` and ids: binary, little-endian unsigned 32-bit. With `decoded`
+    also the bytes that the ids decode to, made in the same pass."""
+    more = "ids binary" + ", decoded binary" * decoded
     rows = df.select(*keep, C.text_of(text).alias("_text"))
 
     def short(batch: pa.RecordBatch) -> dict:
         e = encoder(ranks_file, pattern)
-        return {k: batch.column(i) for i, k in enumerate(keep)} | {"ids": [e.encode(t) for t in batch.column(len(keep)).to_pylist()]}
+        ids = [e.encode(t) for t in batch.column(len(keep)).to_pylist()]
+        out = {k: batch.column(i) for i, k in enumerate(keep)} | {"ids": ids}
+        return out | {"decoded": [e.decode(b) for b in ids]} if decoded else out
 
-    near = C.map_arrow(rows.where(F.length("_text") <= spread), short, schema, "_text")
-    return near.unionByName(_spread(rows.where(F.length("_text") > spread), ranks_file, pattern, keep, spread))
+    near = C.map_arrow(rows.where(F.length("_text") <= spread), short, _schema(df, keep, more), "_text")
+    return near.unionByName(_spread(rows.where(F.length("_text") > spread), ranks_file, pattern, keep, spread, decoded))
 
 
-def _spread(rows: DataFrame, ranks_file: str, pattern: str, keep, part: int) -> DataFrame:
+def _spread(rows: DataFrame, ranks_file: str, pattern: str, keep, part: int, decoded: bool) -> DataFrame:
     """Very long texts: parts of `part` code points, an overlap and three more
     are dealt out, pre-tokenised and encoded apart, and joined by document.
     A part gives its ids from its first boundary after the overlap on; what
@@ -216,9 +219,11 @@ def _spread(rows: DataFrame, ranks_file: str, pattern: str, keep, part: int) ->
             whole += coded_[first:upto]
             done = marks[upto - 1] if upto else done
         row = table.slice(0, 1).select(list(keep))
-        return row.append_column("ids", pa.array([b"".join(whole)], pa.binary()))
+        ids = b"".join(whole)
+        row = row.append_column("ids", pa.array([ids], pa.binary()))
+        return row.append_column("decoded", pa.array([e.decode(ids)], pa.binary())) if decoded else row
 
-    return coded.groupBy("_row").applyInArrow(join, _schema(rows, keep, "ids binary"))
+    return coded.groupBy("_row").applyInArrow(join, _schema(rows, keep, "ids binary" + ", decoded binary" * decoded))
 
 
 def decode(df: DataFrame, ranks_file: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -238,9 +243,7 @@ def _schema(df: DataFrame, keep, more: str) -> str:
 
 def digests(df: DataFrame, ranks_file: str, pattern: str, text: str = "text") -> DataFrame:
     """Encode, decode, and return the contract's digests of both."""
-    coded = encode(df, ranks_file, pattern, text)
-    back = decode(coded, ranks_file, pattern, keep=("doc_id", "ids"))
-    return back.select(
+    return encode(df, ranks_file, pattern, text, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
