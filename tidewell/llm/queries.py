@@ -6,6 +6,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .byte_bpe import op10_byte_bpe
+from .fingerprints import op5_fingerprints
+from .jaccard import op2_ngram_jaccard
 from .media import op1_media_columns
 from .mixing import op8_mix_sources
 from .quality import op9_quality_resampling
@@ -17,8 +19,10 @@ from .toxicity import op7_toxicity
 def queries() -> dict[str, Callable]:
     return {
         "op1_media_columns": op1_media_columns,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_token_counts": op3_token_counts,
         "op4_token_output": op4_token_output,
+        "op5_fingerprints": op5_fingerprints,
         "op7_toxicity": op7_toxicity,
         "op8_mix_sources": op8_mix_sources,
         "op9_quality_resampling": op9_quality_resampling,
