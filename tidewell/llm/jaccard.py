@@ -295,11 +295,12 @@ def link(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> tupl
     return labels, done
 
 
-def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id: for each row the size of its set and the
-    least key that links lead to."""
-    rows = df.select(F.col(key).cast("long").alias("_key"), C.text_of(text).cast("binary").alias("_text"))
-    odd = rows.groupBy("_key").count().where("_key is null or count > 1").limit(1).count()
+def _members(df: DataFrame, n: int, num: int, den: int, key: str, text: str, whole: bool):
+    """(rows with _id, sets, distinct sets with labels, candidates' ids, rows
+    dealt by _id with _some where a candidate). whole: rows keep all columns."""
+    kept = [c for c in df.columns if not c.startswith("_")] if whole else []
+    rows = df.select(*kept, F.col(key).cast("long").alias("_key"), C.text_of(text).cast("binary").alias("_text"))
+    odd = bool(rows.groupBy("_key").count().where("_key is null or count > 1").limit(1).count())
     if odd:  # rows without a key of their own are numbered, once and for all
         rows = C.staged(rows.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     else:
@@ -311,8 +312,22 @@ def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "d
     same = C.staged(same, "distinct-sets")
     pairs = star_pairs(texts, sets, same, n, num, den)
     some = pairs.select(F.col("x").alias("_id")).union(pairs.select("p")).distinct()
-    labels, _ = link(pairs, C.staged(texts.join(some, "_id", "left_semi"), "candidates"), n, num, den)
-    labelled = _labelled(same, "_rep", labels, "_c")
+    if whole:
+        copies = sets.join(same, ["_k1", "_k2"]).where("_id <> _rep").select("_id")
+        marked = some.union(copies).distinct().withColumn("_some", F.lit(True))
+        dealt = C.staged(rows.drop("_key").join(marked, "_id", "left"), "dealt")
+        candidates = dealt.where("_some").select("_id", "_text")
+    else:
+        dealt = None
+        candidates = C.staged(texts.join(some, "_id", "left_semi"), "candidates")
+    labels, _ = link(pairs, candidates, n, num, den)
+    return odd, sets, _labelled(same, "_rep", labels, "_c"), dealt, kept
+
+
+def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id: for each row the size of its set and the
+    least key that links lead to."""
+    odd, sets, labelled, _, _ = _members(df, n, num, den, key, text, False)
     if odd:
         least = labelled.groupBy("_c").agg(F.min("_least").alias("component_id"))
         labelled = labelled.join(least, "_c")
@@ -323,6 +338,15 @@ def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "d
     )
 
 
+def first_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, one of each component: that of the least key (of rows
+    with equal keys, one of them). Rows with an empty set all stay."""
+    _, _, labelled, dealt, kept = _members(df, n, num, den, key, text, True)
+    heads = labelled.select(F.col("_c").alias("_id")).distinct()
+    alone = dealt.where("_some is null")
+    return alone.select(*kept).union(dealt.where("_some").join(heads, "_id", "left_semi").select(*kept)).select(*[c for c in df.columns if c in kept])
+
+
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return join(docs, n=4, num=85, den=100)

@@ -9,14 +9,15 @@ order: with capacity S and u sent, every document is used floor(u / S) times,
 and those at the front of the order once more until the rest is spent; a
 document at the cut is taken when more than half of it fits.
 
-The position of a document in its pattern's order comes from the sums of hash
-buckets before its own and a running sum inside the bucket, so that no task
-holds a pattern, however many rows it has. Sources and patterns are few (the
-limits are checked); they are all that comes to the driver.
+The place in a pattern's order where the rest is spent is found from the sums
+of hash buckets and a running sum inside one bucket, so that no task holds a
+pattern, however many rows it has; then each document compares its own place
+with that. Sources and patterns are few (the limits are checked); they are all
+that comes to the driver.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null
 source is a source of its own, ordered last; repeated rows are documents of
-their own; an empty table gives an empty table; other columns are ignored.
+their own that are taken alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,20 +121,28 @@ def route(capacity: dict[tuple, int], quota: dict, uses: int = 2) -> dict[tuple,
     return out
 
 
-def mix(df: DataFrame, weights: list[float], share: float = 1.5, uses: int = 2, sources: str = "source", text: str = "text", key: str = "doc_id", seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, keep, size, source_size and target (of the document's first
-    source), copies, taken. `sources` is a string column or an array of the
-    sources that a document belongs to."""
-    spark = df.sparkSession
+def _placed(df: DataFrame, sources: str, text: str, key: str, seed: int) -> DataFrame:
+    """df with _p (the pattern as JSON: arrays with nulls cannot be joined),
+    _pattern, _size, and _at, the document's place in the seeded order."""
     several = dict(df.dtypes)[sources].startswith("array")
     names = F.sort_array(F.array_distinct(F.col(sources)), asc=True) if several else F.array(F.col(sources))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(C.WORD)), F.lit(0)).cast("long")
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    rows = C.staged(df.select(key, *keep, names.alias("_pattern"), size.alias("size"), order.alias("_order")), "mix-sizes")
-    by_pattern = rows.groupBy("_pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    out = df.withColumn("_pattern", names).withColumn("_p", F.to_json(F.struct("_pattern"))).withColumn("_size", size)
+    return out.withColumn("_at", F.struct(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1).alias("hash"), F.coalesce(F.col(key), F.lit(-(2**62))).alias("key"), F.col("_size").alias("size")))
+
+
+def mix(df: DataFrame, weights: list[float], share: float = 1.5, uses: int = 2, sources: str = "source", text: str = "text", key: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """df with size, source_size and target (of the document's first source),
+    copies and taken. `sources` is a string column or an array of the sources
+    that a document belongs to. Only keys and sizes are shuffled."""
+    spark = df.sparkSession
+    placed = _placed(df, sources, text, key, seed)
+    rows = C.staged(placed.select("_p", "_pattern", "_size", "_at"), "mix-sizes")
+    by_pattern = rows.groupBy("_p").agg(F.first("_pattern").alias("_pattern"), F.sum("_size").alias("size"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(by_pattern) > MOST_PATTERNS:
         raise ValueError("too many membership patterns")
     capacity = {tuple(r["_pattern"]): r["size"] for r in by_pattern}
+    name = {tuple(r["_pattern"]): r["_p"] for r in by_pattern}
     known = sorted({s for p in capacity for s in p}, key=lambda s: (s is None, s or ""))
     if len(known) > MOST_SOURCES:
         raise ValueError("too many sources")
@@ -141,26 +150,35 @@ def mix(df: DataFrame, weights: list[float], share: float = 1.5, uses: int = 2,
     sizes = {s: sum(c for p, c in capacity.items() if s in p) for s in known}
     goal = targets(sizes, weights, share * sum(capacity.values()) / max(1, sum(sizes.values())), uses)
     sent = route(capacity, {s: round(t) for s, t in goal.items()}, uses)
-    plan = [(list(p), sum(sent[p].values()) // c if c else 0, sum(sent[p].values()) % c if c else 0, sizes[p[0]] if p else 0, goal[p[0]] if p else 0.0) for p, c in capacity.items()]
-    plan_df = spark.createDataFrame(plan, "_pattern array<string>, _base long, _rest long, source_size long, target double")
+    plan = []
+    for p, c in capacity.items():
+        u = sum(sent[p].values())
+        plan.append((name[p], u // c if c else 0, u % c if c else 0, sizes[p[0]] if p else 0, goal[p[0]] if p else 0.0))
+    plan_df = spark.createDataFrame(plan, "_p string, _base long, _rest long, source_size long, target double")
 
+    # Where each pattern's rest is spent: first by hash bucket, then inside it.
     buckets = 1
     while buckets * BUCKET_ROWS < max([1, *(r["n"] for r in by_pattern)]) and buckets < 1 << 24:
         buckets *= 2
-    # Arrays with nulls are joined through their JSON text.
-    rows = rows.withColumn("_p", F.to_json(F.struct("_pattern"))).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 24), F.lit(buckets)))
-    plan_df = plan_df.withColumn("_p", F.to_json(F.struct("_pattern"))).drop("_pattern")
-    sums = rows.groupBy("_p", "_bucket").agg(F.sum("size").alias("_sum"))
+    bucket = F.shiftright("_at.hash", 63 - (buckets.bit_length() - 1)) if buckets > 1 else F.lit(0).cast("long")
+    sums = rows.groupBy("_p", bucket.alias("_bucket")).agg(F.sum("_size").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(W.partitionBy("_p").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_p", "_bucket", before.alias("_before")).join(F.broadcast(plan_df), "_p")  # MOST_PATTERNS rows at most
-    inside = W.partitionBy("_p", "_bucket").orderBy("_order", F.col(key).asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["_p", "_bucket"])
-    middle = F.col("_before") + F.col("_in") + F.col("size") / 2
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("_base") + F.when(middle < F.col("_rest"), 1).otherwise(0)).cast("int")
-    copies = F.least(copies, F.lit(uses))
-    return placed.select(key, *keep, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    cuts = sums.withColumn("_before", before).join(F.broadcast(plan_df.select("_p", "_rest")), "_p").where("_before < _rest and _before + _sum >= _rest").select("_p", "_bucket", "_before", "_rest")
+    near = rows.withColumn("_bucket", bucket).join(cuts, ["_p", "_bucket"])
+    running = F.coalesce(F.sum("_size").over(W.partitionBy("_p").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = near.withColumn("_middle", F.col("_before") + running + F.col("_size") / 2)
+    # The first place in the bucket that is not taken; none if all of it is.
+    ends = taken.groupBy("_p").agg(F.max("_bucket").alias("_bucket"), F.min(F.when(F.col("_middle") >= F.col("_rest"), F.col("_at"))).alias("_stop")).collect()  # a row a pattern
+    stop = {r["_p"]: (r["_bucket"], r["_stop"]) for r in ends}
+    full = [(p, b, r, n, t, *stop.get(p, (None, None))) for p, b, r, n, t in plan]
+    schema = "_p string, _base long, _rest long, source_size long, target double, _cut long, _stop struct<hash: bigint, key: bigint, size: bigint>"
+    decided = placed.join(F.broadcast(spark.createDataFrame(full, schema)), "_p")  # MOST_PATTERNS rows at most
+    again = (F.col("_rest") > 0) & F.when(F.col("_stop").isNotNull(), F.col("_at") < F.col("_stop")).otherwise(bucket <= F.col("_cut"))
+    copies = F.when(F.col("_size") == 0, 0).otherwise(F.least(F.col("_base") + F.when(again, 1).otherwise(0), F.lit(uses))).cast("int")
+    return decided.select(*df.columns, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs, [3, 1, 2], share=1.5, uses=2, keep=("source",))
+    out = mix(docs.select("doc_id", "source", "text"), [3, 1, 2], share=1.5, uses=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

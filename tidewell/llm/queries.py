@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from .byte_bpe import op10_byte_bpe
 from .fingerprints import op5_fingerprints
+from .html_text import op6_html_text
 from .jaccard import op2_ngram_jaccard
 from .media import op1_media_columns
 from .mixing import op8_mix_sources
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable]:
         "op3_token_counts": op3_token_counts,
         "op4_token_output": op4_token_output,
         "op5_fingerprints": op5_fingerprints,
+        "op6_html_text": op6_html_text,
         "op7_toxicity": op7_toxicity,
         "op8_mix_sources": op8_mix_sources,
         "op9_quality_resampling": op9_quality_resampling,
