@@ -357,9 +357,9 @@ def revenue_band(spark, sf_dir):
 
 
 @query("""select c_custkey, case when d >= 1e9 then '$' || format('{:.1f}', d / 1e9) || 'B' when d >= 1e6 then '$' || format('{:.1f}', d / 1e6) || 'M' when d >= 1e3 then '$' || format('{:.1f}', d / 1e3) || 'K' else '$' || format('{:.0f}', d) end as revenue
- from (select c_custkey, c_custkey * 1237.0::double d from customer)""")
+ from (select c_custkey, c_custkey * 1237.31::double d from customer)""")
 def revenue_texts(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", T.revenue_text(F.col("c_custkey") * F.lit(1237.0)).alias("revenue"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.revenue_text(F.col("c_custkey") * F.lit(1237.31)).alias("revenue"))
 
 
 # ---------------------------------------------------------------- companies of orders
