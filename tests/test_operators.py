@@ -115,6 +115,11 @@ def test_checks(spark):
     assert health.check_freshness(s, e, as_of()).first().verdict == "WARN"
     assert health.check_volume(e, "discovered_at", as_of()).first().verdict == "WARN"
     assert health.check_lag(e, as_of()).first().verdict == "FAIL"
+    assert health.check_that("gaps", e, F.col("enriched_at").isNull(), 20, 5).first().verdict == "WARN"
+    tries = spark.createDataFrame([("a", 1.0, True, None), ("a", 2.0, False, 429), ("a", 3.0, False, 404)], "source string, seconds double, ok boolean, code int")
+    stats = health.limiter_stats(tries).first()
+    assert (stats.total_requests, stats.total_failures, stats.backoffs, stats.last_code) == (3, 2, 1, 404)
+    assert health.table_status(e, "discovered_at").first().newest == NOW
     assert health.overall(health.check_sources(s).union(health.check_lag(e, as_of()))).first().overall == "FAIL"
 
 
@@ -220,6 +225,9 @@ def test_alerts(spark):
     assert [r.event_type for r in got] == ["cfo_hire", "funding"] and got[0].n == 5 and got[0].body.startswith("[CFO_HIRE] t8")
     assert '"n":4' in ranking.slack_blocks(df).where("event_type = 'funding'").first().block
     assert ranking.run_summary(df, as_of()).first().id == 8
+    assert ranking.desktop_text(df).first().text == "5 CFO hires, 4 fundings"
+    mail = ranking.html_mail(df, as_of()).where("event_type = 'funding'").first()
+    assert mail.n == 4 and mail.html.startswith('<ul><li><a href="u">t1</a>')
 
 
 def test_providers(spark):

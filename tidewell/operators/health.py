@@ -157,3 +157,30 @@ def feed_summary(statuses: DataFrame, slow_ms: float = 5000.0) -> DataFrame:
     rt = F.col("response_time_ms")
     of = lambda s: F.count_if(F.col("status") == s).alias(s)
     return statuses.agg(F.count("*").alias("total"), of("ok"), of("warning"), of("error"), F.avg(F.when(rt > 0, rt)).alias("avg_ms"), F.max(F.when(rt > 0, rt)).alias("max_ms"), F.count_if(rt > slow_ms).alias("slow"))
+
+
+def check_that(name: str, df: DataFrame, bad: Column, fail_over: int, warn_over: int = 0) -> DataFrame:
+    """Any check that counts bad rows: FAIL over one limit, WARN over another."""
+    one = df.agg(F.count_if(bad).alias("n"))
+    return _verdict(name, one, F.col("n") > fail_over, F.col("n") > warn_over, F.format_string("%d rows", F.col("n")))
+
+
+def limiter_stats(attempts: DataFrame, source: str = "source", backoff_codes: tuple[int, ...] = (429, 503, 502, 500)) -> DataFrame:
+    """Requests, failures, failure rate and last code of each source."""
+    bad = ~F.col("ok")
+    return attempts.groupBy(source).agg(
+        F.count("*").alias("total_requests"), F.count_if(bad).alias("total_failures"),
+        F.coalesce(F.try_divide(F.count_if(bad), F.count("*")), F.lit(0.0)).alias("failure_rate"),
+        F.count_if(bad & (F.col("code").isNull() | F.col("code").isin(*backoff_codes))).alias("backoffs"),
+        F.max_by("code", "seconds").alias("last_code"),
+    )
+
+
+def import_stats(results: DataFrame) -> DataFrame:
+    """One row: imported, skipped and failed of import results (outcome)."""
+    of = lambda s: F.count_if(F.col("outcome") == s).alias(s)
+    return results.agg(F.count("*").alias("total"), of("imported"), of("skipped"), of("failed"))
+
+
+def table_status(df: DataFrame, ts: str) -> DataFrame:
+    return df.agg(F.count("*").alias("n"), F.max(ts).alias("newest"))

@@ -148,3 +148,19 @@ def slack_blocks(df: DataFrame, each: int = 3) -> DataFrame:
 
 def run_summary(df: DataFrame, as_of: Column, most: int = 10) -> DataFrame:
     return df.orderBy(F.desc("published_date"), F.desc("relevance_score"), "id").limit(most).select("id", "title", "event_type", D.age_text(F.col("published_date"), as_of).alias("age"), "relevance_score")
+
+
+def desktop_text(df: DataFrame) -> DataFrame:
+    """One row: the text of a notification with counts of the types there are."""
+    of = lambda t, label: F.when(F.count_if(F.col("event_type") == t) > 0, F.concat(F.count_if(F.col("event_type") == t).cast("string"), F.lit(" " + label)))
+    parts = F.concat_ws(", ", of("cfo_hire", "CFO hires"), of("executive_hire", "executive hires"), of("merger_acquisition", "deals"), of("funding", "fundings"))
+    return df.agg(F.count("*").alias("n"), parts.alias("text"))
+
+
+def html_mail(df: DataFrame, as_of: Column) -> DataFrame:
+    """event_type, html: entries of a type, newest first."""
+    esc = lambda c: F.replace(F.replace(F.replace(nz(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    item = F.concat(F.lit('<li><a href="'), esc(F.col("url")), F.lit('">'), esc(F.col("title")), F.lit("</a> <i>"), D.age_text(F.col("published_date"), as_of), F.lit("</i><p>"), esc(F.left(F.col("description"), F.lit(200))), F.lit("</p></li>"))
+    rows = df.select("event_type", F.struct((-F.unix_micros(F.col("published_date").cast("timestamp"))).alias("at"), F.col("id"), item.alias("item")).alias("e"))
+    grouped = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("e")).alias("_e"))
+    return grouped.select("event_type", "n", F.concat(F.lit("<ul>"), F.array_join(F.transform("_e", lambda x: x["item"]), ""), F.lit("</ul>")).alias("html"))
