@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         if values.nbytes <= most:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
         for i in range(n):
             if i > start and size + lengths[i] > most:
                 yield batch.slice(start, i - start)
@@ -98,8 +99,6 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401  (loads pa.compute in the worker)
-
         for batch in sliced(batches, column):
             out = fn(batch)
             yield pa.RecordBatch.from_arrays(

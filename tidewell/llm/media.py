@@ -140,8 +140,6 @@ def store(df: DataFrame, folder: str, text: str = "text", keep: tuple[str, ...]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         shards = ShardWriter(folder)
         kept: list[list] = [[] for _ in arrow]
 

@@ -25,6 +25,7 @@ from bisect import bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def _run(df, model_file, text, keep, budgets, whole) -> DataFrame:
         c = counter(model_file)
         out: dict = {k: batch.column(i) for i, k in enumerate(keep)}
         raw = batch.column(len(keep))
-        out["n_bytes"] = pa.compute.binary_length(raw)
+        out["n_bytes"] = pc.binary_length(raw)
         texts = raw.to_pylist()
         totals = [list(accumulate(c.counts(t))) for t in texts]
         out["n_tokens"] = [x[-1] if x else 0 for x in totals]
