@@ -79,6 +79,25 @@ def test_signatures_lose_no_pair():
                 assert set(sig[owner == 0]) & set(sig[owner == 1]), (num, den, size, drop)
 
 
+def test_links_of_blocks():
+    rng = random.Random(11)
+    texts = corpus(5, 9, [1, 4, 9], [0, 1, 2, 5], (20, 70))
+    sets = [np.sort(np.array([hash(x) & (2**63 - 1) for x in shingles(t, 4)], np.uint64)) for t in texts]
+    want = np.array([[100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    assert ((jaccard.linked_pairs(sets, 0, 85, 100) | np.eye(len(sets), dtype=bool)) == want).all()
+    half = rng.randrange(1, len(sets))
+    assert (jaccard.linked_pairs(sets, half, 85, 100) == want[:half, half:]).all()
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if want[i, j]]
+    assert classes(range(len(sets)), jaccard.forest(want, 0)) == classes(range(len(sets)), links)
+
+
+def test_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    texts = corpus(21, 3, [70], [0, 1, 2, 3, 5, 8], (60, 90)) + corpus(2, 20, [1, 3], [0, 1])
+    _, want = brute(texts, 4, 85, 100)
+    assert {r.doc_id: r.component_id for r in jaccard.join(rows(spark, texts), 4, 85, 100).collect()} == want
+
+
 def test_repeated_and_null_keys(spark):
     text = " ".join(f"w{i}" for i in range(30))
     data = [(5, text), (5, text), (5, "other words here now"), (None, text), (None, None), (2, text + " more"), (9, "")]

@@ -21,14 +21,14 @@ in at most that many groups leaves them out, since a linked pair still shares
 a signature in one of the others. The rare sets with more emit theirs.
 
 Documents with one signature are not paired with each other. Each is compared
-with the least of them (the pivot), which gives exact similarities and links,
-and components of these. Two documents that share a signature share a pivot,
-so what is left are pairs near one pivot that are in different components:
-Jaccard distance is a metric, so only pairs with |d(x, p) - d(y, p)| <= 1 -
-num / den can be linked. These are compared in rounds, members of the smaller
-components against all others, until every pivot's surroundings are one
-component or compared. No link is lost, and a group of thousands of copies
-costs about one comparison for each.
+with the least of them (the pivot), which gives exact distances and links, and
+components of these. Two documents that share a signature share a pivot, so
+what is left are links among the partners of one pivot that are in different
+components. Partners are ordered by their distance to the pivot and cut into
+blocks; Jaccard distance is a metric, so only blocks whose distances are within
+1 - num / den can hold a link. A task compares two blocks at a time by matrix
+products and emits trees of links, never pairs. No link is lost, and a group
+of thousands of copies costs about one comparison for each.
 
 Equal sets are one member from the start. Only ids, signatures and (for
 documents with a candidate) texts are shuffled.
@@ -57,9 +57,8 @@ from .components import components
 BATCH = 2 << 20
 SMALL_BOUND = 24
 SEEN = 200_000
-PIVOTS = 16
+BLOCK = 1024
 FEW_IDS = 20_000
-MOST_ROUNDS = 10_000
 
 
 class Scheme:
@@ -173,8 +172,6 @@ def _mapped(rows: DataFrame, one, schema: str) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         for batch in C.sliced(batches, "_text", BATCH):
             out = one(batch)
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for f in arrow for v in (out[f.name],)], schema=arrow)
@@ -187,8 +184,6 @@ def signature_rows(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     signatures would be the same."""
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         scheme, seen = Scheme(num, den), set()
         for batch in C.sliced(batches, "_text", BATCH):
             h, doc, sizes = _sets(batch, n)
@@ -235,8 +230,6 @@ def compare(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     rows = rows.repartition(parts, "p").sortWithinPartitions("p", F.col("_id") != F.col("p"))
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         pivot, own = None, None
         for batch in C.sliced(batches, "_text", BATCH):
             h, doc, sizes = _sets(batch, n)
@@ -264,35 +257,116 @@ def _labelled(table: DataFrame, column: str, labels: DataFrame, name: str) -> Da
     return table.join(labels.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def link(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(components of the linked ids, all comparisons)."""
-    done = compare(pairs, texts, n, num, den)
-    labels = components(done.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
-    margin = 1.0 - num / den + 1e-9
-    # Around each pivot: its partners; the pivot itself is compared with all.
-    around = done.select("p", "x", "d")
-    for _ in range(MOST_ROUNDS):
-        near = _labelled(around, "x", labels, "c")
-        mixed = near.groupBy("p").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select("p")
-        near = C.staged(near.join(mixed, "p", "left_semi"), "around")
-        if near.isEmpty():
-            break
-        size = near.withColumn("_n", F.count("*").over(W.partitionBy("p", "c"))).withColumn("_k", F.row_number().over(W.partitionBy("p", "c").orderBy("x")))
-        turn = size.withColumn("_t", F.row_number().over(W.partitionBy("p").orderBy(F.col("_k") > 1, "_n", "_k", "c", "x"))).where(F.col("_t") <= PIVOTS)
-        turn = C.staged(turn.select("p", F.col("x").alias("u"), F.col("d").alias("du"), F.col("c").alias("cu")), "turn")
-        new = near.join(turn, "p").where((F.col("c") != F.col("cu")) & (F.abs(F.col("d") - F.col("du")) <= margin))
-        new = new.select(F.greatest("x", "u").alias("x"), F.least("x", "u").alias("p")).distinct().join(done.select("x", "p"), ["x", "p"], "left_anti")
-        new = C.staged(new, "more-pairs")
-        if not new.isEmpty():
-            more = compare(new, texts, n, num, den)
-            links = more.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
-            if not links.isEmpty():
-                labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-            done = done.union(more)
-        around = C.staged(near.select("p", "x", "d").join(turn.select("p", F.col("u").alias("x")), ["p", "x"], "left_anti"), "around")
+def linked_pairs(sets: list[np.ndarray], half: int, num: int, den: int) -> np.ndarray:
+    """Boolean matrix of the links between sets (sorted hashes): of all with
+    all, or of the first `half` with the others. Intersections are products
+    of 0/1 matrices over the shingles that several sets hold."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    x, who = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(x, kind="stable")
+    x, who = x[order], who[order]
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    shared = np.diff(np.concatenate([starts, [len(x)]])) > 1
+    feature = np.repeat(np.cumsum(shared) - 1, np.diff(np.concatenate([starts, [len(x)]])))
+    keep = np.repeat(shared, np.diff(np.concatenate([starts, [len(x)]])))
+    feature, who = feature[keep], who[keep]
+    left, right = (slice(0, half), slice(half, m)) if half else (slice(0, m), slice(0, m))
+    both = np.zeros((half or m, m - half), np.float32)
+    n = int(shared.sum())
+    for i in range(0, n, 512):
+        low, high = np.searchsorted(feature, [i, min(n, i + 512)])
+        part = np.zeros((m, min(n, i + 512) - i), np.float32)
+        part[who[low:high], feature[low:high] - i] = 1
+        both += part[left] @ part[right].T
+    inter = both.astype(np.int64)
+    return den * inter >= num * (sizes[left][:, None] + sizes[right][None, :] - inter)
+
+
+def forest(linked: np.ndarray, half: int) -> list[tuple[int, int]]:
+    """(member, root) for every member that a link joins to another."""
+    m = linked.shape[0] + linked.shape[1] if half else linked.shape[0]
+    near = np.zeros((m, m), bool)
+    if half:
+        near[:half, half:], near[half:, :half] = linked, linked.T
     else:
-        raise RuntimeError("comparisons did not end")
-    return labels, done
+        near = linked | linked.T
+    new, out = np.ones(m, bool), []
+    for root in range(m):
+        if not new[root]:
+            continue
+        new[root] = False
+        todo = [root]
+        while todo:
+            found = np.flatnonzero(near[todo.pop()] & new)
+            new[found] = False
+            todo += found.tolist()
+            out += [(i, root) for i in found.tolist()]
+    return out
+
+
+def around_pivots(star: DataFrame, labels: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): links among the partners of each pivot, as trees. Partners are
+    ordered by their distance to the pivot and cut into blocks of BLOCK; two
+    blocks whose distances lie further apart than a link allows are not
+    compared. A task holds two blocks at a time, and emits trees, not pairs.
+    Partners that are one component already are left alone."""
+    near = _labelled(star.select("p", "x", "d"), "x", labels, "c")
+    mixed = near.groupBy("p").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select("p")
+    place = F.row_number().over(W.partitionBy("p").orderBy("d", "x"))
+    near = C.staged(near.join(mixed, "p", "left_semi").select("p", "x", "d", F.floor((place - 1) / BLOCK).cast("int").alias("k")), "around")
+    margin = 1.0 - num / den + 1e-9
+    blocks = near.groupBy("p", "k").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    other = blocks.select("p", F.col("k").alias("j"), F.col("low").alias("_low"))
+    duels = blocks.join(other, "p").where((F.col("j") == F.col("k")) | (F.col("j") > F.col("k")) & (F.col("_low") - F.col("high") <= margin)).select("p", "k", "j")
+    # Both blocks of a duel; a block with itself comes once.
+    sides = duels.withColumn("side", F.explode(F.when(F.col("k") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    sides = sides.select("p", F.when(F.col("side") == 0, F.col("k")).otherwise(F.col("j")).alias("k"), "side", F.struct(F.col("p").alias("p"), F.col("k").alias("i"), F.col("j").alias("j")).alias("duel"))
+    rows = near.select("p", "k", F.col("x").alias("_id")).join(sides, ["p", "k"]).select("_id", "duel", "side")
+    rows = texts.join(rows, "_id").select("_id", "_text", "duel.p", "duel.i", "duel.j", "side")
+    parts = int(star.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "side", "_id")
+
+    def run(batches):
+        key, ids, sets, half = None, [], [], 0
+
+        def done():
+            if len(ids) < 2 or key[1] != key[2] and not 0 < half < len(ids):
+                return None
+            split = half if key[1] != key[2] else 0
+            out = forest(linked_pairs(sets, split, num, den), split)
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in out], pa.int64()), pa.array([ids[j] for _, j in out], pa.int64())], names=["a", "b"])
+
+        for batch in C.sliced(batches, "_text", BATCH):
+            h, _, sizes = _sets(batch, n)
+            ends = np.cumsum(sizes)
+            columns = [np.asarray(batch.column(c)) for c in (0, 2, 3, 4, 5)]
+            for r, (i, *now, side) in enumerate(zip(*(c.tolist() for c in columns))):
+                if tuple(now) != key:
+                    out = done() if key else None
+                    if out is not None:
+                        yield out
+                    key, ids, sets, half = tuple(now), [], [], 0
+                ids.append(i)
+                sets.append(h[ends[r] - sizes[r] : ends[r]].copy())
+                half += side == 0
+        out = done() if key else None
+        if out is not None:
+            yield out
+
+    return C.staged(rows.mapInArrow(run, "a long, b long").distinct(), "around-links")
+
+
+def link(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Components of the linked ids: links with pivots, then among what is
+    around each pivot."""
+    star = compare(pairs, texts, n, num, den)
+    own = star.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
+    labels = components(own)
+    more = around_pivots(star, labels, texts, n, num, den)
+    if more.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def _members(df: DataFrame, n: int, num: int, den: int, key: str, text: str, whole: bool):
@@ -320,7 +394,7 @@ def _members(df: DataFrame, n: int, num: int, den: int, key: str, text: str, who
     else:
         dealt = None
         candidates = C.staged(texts.join(some, "_id", "left_semi"), "candidates")
-    labels, _ = link(pairs, candidates, n, num, den)
+    labels = link(pairs, candidates, n, num, den)
     return odd, sets, _labelled(same, "_rep", labels, "_c"), dealt, kept
 
 
