@@ -19,27 +19,38 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _neutral(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """docs under names that clash with no result column, and the new names of
+    doc_id, text and source."""
+    names = {c: f"col{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names["doc_id"], names["text"], names["source"]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws stay."""
-    scored = quality.resample(docs, _labels(spark, sf_dir), columns=tuple(docs.columns))
-    return scored.where("kept").select(*docs.columns)
+    rows, key, text, _ = _neutral(docs)
+    scored = quality.resample(rows, _labels(spark, sf_dir), key=key, text=text, columns=tuple(rows.columns))
+    return scored.where("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5 stay."""
-    lexicon = toxicity.learn(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, lexicon, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    rows, _, text, _ = _neutral(docs)
+    lexicon = toxicity.learn(docs.select("doc_id", "text"), _labels(spark, sf_dir))
+    return toxicity.score(rows, lexicon, text=text, keep=tuple(rows.columns)).where("score < 0.5").select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return jaccard.first_of_each(docs, SHINGLE, NUM, DEN)
+    rows, key, text, _ = _neutral(docs)
+    return jaccard.first_of_each(rows, SHINGLE, NUM, DEN, key=key, text=text).toDF(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go, stay or come twice, so that sources meet their targets."""
-    mixed = mixing.mix(docs, WEIGHTS, SHARE, USES).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows, key, text, source = _neutral(docs)
+    mixed = mixing.mix(rows, WEIGHTS, SHARE, USES, sources=source, text=text, key=key).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*rows.columns).toDF(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

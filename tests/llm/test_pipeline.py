@@ -71,6 +71,21 @@ def test_mix_repeats_documents(stages):
     assert all(abs(after.get(s, 0) - goal[s]) <= longest for s in goal)
 
 
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Nulls in any column, repeated rows, clashing names, an empty table."""
+    text = " ".join(f"word{i} and" for i in range(40))
+    rows = [(1, text, "en", "a", 5, "x"), (1, text, "en", "a", 5, "x"), (None, None, None, None, None, None), (2, "", "en", None, 0, "y"), (3, text + " end", None, "b", 7, None), (4, "Another short text.", "de", "b", 3, "z")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, {} string"
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, empty in (("size", False), ("_id", True)):
+        docs = spark.createDataFrame([] if empty else rows, schema.format(name))
+        df = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, str(tmp_path))
+            assert df.columns == docs.columns
+            df = spark.createDataFrame(df.collect(), docs.schema)
+
+
 def test_first_of_each_with_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     data = [(5, text, "x"), (5, text, "y"), (None, text + " end", "z"), (7, "", "e"), (8, None, "e"), (9, "alone in here", "a")]
