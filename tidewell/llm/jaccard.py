@@ -30,6 +30,9 @@ blocks; Jaccard distance is a metric, so only blocks whose distances are within
 products and emits trees of links, never pairs. No link is lost, and a group
 of thousands of copies costs about one comparison for each.
 
+Joins with texts are merge joins at every size: ids of candidates are no small
+side at full size, and the plan should not depend on a threshold.
+
 Equal sets are one member from the start. Only ids, signatures and (for
 documents with a candidate) texts are shuffled.
 
@@ -58,7 +61,6 @@ BATCH = 2 << 20
 SMALL_BOUND = 24
 SEEN = 200_000
 BLOCK = 1024
-FEW_IDS = 20_000
 
 
 class Scheme:
@@ -221,11 +223,8 @@ def star_pairs(rows: DataFrame, sets: DataFrame, same: DataFrame, n: int, num: i
 def compare(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """x, p, d (Jaccard distance), linked, for pairs of ids; texts: _id, _text.
     The texts of a pivot's partners stream past it, sorted by pivot."""
-    ids = pairs.select(F.col("x").alias("_id")).union(pairs.select(F.col("p").alias("_id"))).distinct()
-    if pairs.limit(FEW_IDS + 1).count() <= FEW_IDS:
-        texts = texts.join(F.broadcast(ids), "_id", "left_semi")  # two ids for each of FEW_IDS pairs at most
     rows = pairs.select(F.col("x").alias("_id"), "p").union(pairs.select(F.col("p").alias("_id"), "p").distinct())
-    rows = texts.join(rows, "_id").select("_id", "_text", "p")
+    rows = texts.join(rows.hint("merge"), "_id").select("_id", "_text", "p")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "p").sortWithinPartitions("p", F.col("_id") != F.col("p"))
 
@@ -323,7 +322,7 @@ def around_pivots(star: DataFrame, labels: DataFrame, texts: DataFrame, n: int,
     sides = duels.withColumn("side", F.explode(F.when(F.col("k") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     sides = sides.select("p", F.when(F.col("side") == 0, F.col("k")).otherwise(F.col("j")).alias("k"), "side", F.struct(F.col("p").alias("p"), F.col("k").alias("i"), F.col("j").alias("j")).alias("duel"))
     rows = near.select("p", "k", F.col("x").alias("_id")).join(sides, ["p", "k"]).select("_id", "duel", "side")
-    rows = texts.join(rows, "_id").select("_id", "_text", "duel.p", "duel.i", "duel.j", "side")
+    rows = texts.join(rows.hint("merge"), "_id").select("_id", "_text", "duel.p", "duel.i", "duel.j", "side")
     parts = int(star.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "side", "_id")
 
@@ -389,11 +388,11 @@ def _members(df: DataFrame, n: int, num: int, den: int, key: str, text: str, who
     if whole:
         copies = sets.join(same, ["_k1", "_k2"]).where("_id <> _rep").select("_id")
         marked = some.union(copies).distinct().withColumn("_some", F.lit(True))
-        dealt = C.staged(rows.drop("_key").join(marked, "_id", "left"), "dealt")
+        dealt = C.staged(rows.drop("_key").join(marked.hint("merge"), "_id", "left"), "dealt")
         candidates = dealt.where("_some").select("_id", "_text")
     else:
         dealt = None
-        candidates = C.staged(texts.join(some, "_id", "left_semi"), "candidates")
+        candidates = C.staged(texts.join(some.hint("merge"), "_id", "left_semi"), "candidates")
     labels = link(pairs, candidates, n, num, den)
     return odd, sets, _labelled(same, "_rep", labels, "_c"), dealt, kept
 
@@ -418,7 +417,7 @@ def first_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key:
     _, _, labelled, dealt, kept = _members(df, n, num, den, key, text, True)
     heads = labelled.select(F.col("_c").alias("_id")).distinct()
     alone = dealt.where("_some is null")
-    return alone.select(*kept).union(dealt.where("_some").join(heads, "_id", "left_semi").select(*kept)).select(*[c for c in df.columns if c in kept])
+    return alone.select(*kept).union(dealt.where("_some").join(heads.hint("merge"), "_id", "left_semi").select(*kept)).select(*[c for c in df.columns if c in kept])
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
