@@ -43,6 +43,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     cuts the lineage; a lost executor costs no recomputation of what is
     already there."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -68,6 +69,23 @@ def write_once(fs, path: str, data) -> None:
     fs.move(temporary, path)
 
 
+#: Bytes and rows of a batch that goes to a Python worker: both sides hold a
+#: few of them at a time.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session, unless it has smaller bounds."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        try:
+            now = int(str(spark.conf.get(name)).lower().rstrip("b"))
+        except Exception:  # not known to this version, or with a unit
+            now = 0
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -97,6 +115,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in sliced(batches, column):

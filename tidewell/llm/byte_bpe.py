@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-CACHE = 300_000
+CACHE = 150_000
 CHUNK, OVERLAP = 16_384, 256
 SPREAD = 1 << 20
 #: White space as the library's regular expressions know it.

@@ -152,6 +152,7 @@ def kth_greatest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int
 def resample(df: DataFrame, labels: DataFrame, k: int | None = None, most_labels: int = MOST_LABELS, seed: int = SEED, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
     """Fit, score and draw: `columns` of df (key alone by default), n_grams,
     log_weight, sample_key, kept."""
+    C.small_batches(df.sparkSession)
     ratio = fit(df, good_ids(labels, most_labels), key=key, text=text)
     wide = df.select(*dict.fromkeys([*(columns or (key,)), key, text]))
     scored = scores(wide, ratio, seed, key, text)
