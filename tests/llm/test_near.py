@@ -160,3 +160,25 @@ def test_empty_repeated_and_null(spark):
     assert fingerprints.with_next(empty).count() == 0
     one = fingerprints.with_next(spark.createDataFrame([(4, "a b c d")], "doc_id long, text string")).collect()
     assert one[0].next_head == "a"
+
+
+def test_copies_in_descending_order_keep_their_pivot(spark, monkeypatch):
+    # One task meets A under 10 before 5; B is the pivot and linked to neither.
+    a = [f"a{i}" for i in range(40)]
+    texts = {10: a, 5: a, 7: [f"b{i}" for i in range(40)], 20: [*a[:39], "z"]}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(jaccard, "signature_rows", lambda rows, *_: spark.createDataFrame([(1, 10), (1, 7), (1, 20)], "sig long, _id long"))
+    got = {r.doc_id: r.component_id for r in jaccard.join(df, 4, 85, 100).collect()}
+    assert got == {10: 5, 5: 5, 7: 7, 20: 5}
+
+
+def test_shuffled_ids_in_one_task_equal_brute_force(spark):
+    texts = corpus(17, 25, [2, 4, 8], [0, 0, 1, 2, 4], (20, 60))
+    ids = random.Random(3).sample(range(1000), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1)
+    _, want = brute(texts, 4, 85, 100)
+    least = {}
+    for i, c in want.items():
+        least[c] = min(least.get(c, ids[i]), ids[i])
+    got = {r.doc_id: r.component_id for r in jaccard.join(df, 4, 85, 100).collect()}
+    assert got == {ids[i]: least[c] for i, c in want.items()}

@@ -21,7 +21,7 @@ in at most that many groups leaves them out, since a linked pair still shares
 a signature in one of the others. The rare sets with more emit theirs.
 
 Documents with one signature are not paired with each other. Each is compared
-with the least of them (the pivot), which gives exact distances and links, and
+with the first of them (the pivot), which gives exact distances and links, and
 components of these. Two documents that share a signature share a pivot, so
 what is left are links among the partners of one pivot that are in different
 components. Partners are ordered by their distance to the pivot and cut into
@@ -206,8 +206,10 @@ def signature_rows(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame, sets: DataFrame, same: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(x, p): members with a signature in common with p, the least of the
-    signature; one id for each distinct set."""
+    """(x, p): members with a signature in common with p, the pivot of the
+    signature; one id for each distinct set. A set may be signed under another
+    id than its least, so p may be above x: the ends are not swapped, else the
+    members of one signature would be spread over several pivots."""
     by = W.partitionBy("sig").orderBy("_id")
     # The first of the ordered rows is known at once: nothing is held back.
     shared = signature_rows(rows, n, num, den).withColumn("p", F.first("_id").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
@@ -216,7 +218,7 @@ def star_pairs(rows: DataFrame, sets: DataFrame, same: DataFrame, n: int, num: i
     first = sets.join(same, ["_k1", "_k2"]).where("_id <> _rep").select("_id", "_rep")
     for c in ("x", "p"):
         pairs = pairs.join(first.withColumnRenamed("_id", c), c, "left").withColumn(c, F.coalesce("_rep", c)).drop("_rep")
-    pairs = pairs.where("x <> p").select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
+    pairs = pairs.where("x <> p").select("x", "p").distinct()
     return C.staged(pairs, "star-pairs")
 
 
