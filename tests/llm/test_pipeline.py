@@ -145,3 +145,24 @@ def test_simple_tree_matching():
     b = ["", 0, [["p", 0, [leaf(9)]], ["div", 0, [leaf(3)]]]]
     score, pairs = html_text.match(a, b)
     assert (3, 3) in pairs and len(pairs) == 2 and score == 1 + 2 + 3
+
+
+def _skeletons(pages):
+    return [html_text.skeleton(html_text.parse("".join(f"<div>{r}</div>" for r in p))) for p in pages]
+
+
+def test_template_where_boilerplate_outweighs_content():
+    fixed = [f"Line {k} of the wrapper stays as it is" for k in range(7)]
+    keys = {html_text.key("/div", f) for f in fixed}
+    for n in (3, 8):
+        pages = [[*fixed, " ".join(f"w{i}x{k}" for k in range(9)), f"short {i} text"] for i in range(n)]
+        assert set(html_text.induce(_skeletons(pages))) == keys
+
+
+def test_near_copies_are_no_template():
+    article = [" ".join(f"p{k}w{j}" for j in range(20)) for k in range(7)]
+    last = [f"e{j}" for j in range(20)]
+    copies = [[*article, " ".join([*last[:i], f"edit{i}", *last[i + 1 :]])] for i in range(5)]
+    other = [[" ".join(f"q{i}w{j}" for j in range(20))] for i in range(2)]
+    for pages in (copies, copies[:3] + other[:1], copies + other):
+        assert html_text.induce(_skeletons(pages)) == []

@@ -12,8 +12,10 @@ article, runs outside of it go as well; elsewhere runs that are mostly links.
 References are chosen by hash, one from each of REFERENCES slices of a host's
 pages, in one aggregation with partial results, so a host with a third of all
 pages costs no task more than another. Copies among the references count once
-(else an article copied within a host would look constant); hosts with fewer
-than three different references have no template. Templates go to the tasks
+(else an article copied within a host would look constant): references whose
+runs, without those on more than half of the references, are the same or say
+much the same by sketches of word pairs. Hosts with fewer than three different
+references have no template. Templates go to the tasks
 as a broadcast while they are few (checked), otherwise by a join on host and a
 salt. Every page is extracted whole.
 
@@ -29,6 +31,8 @@ import hashlib
 import html as entities
 import json
 import re
+import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +45,7 @@ MOST_NODES = 1_500  # of a reference page; alignment costs the product of two
 MOST_DEPTH = 60
 BROADCAST_KEYS = 500_000
 SALTS = 16
+SKETCH = 8  # word pairs kept of a reference's run
 
 # Elements by what they mean for extraction.
 RAW = frozenset("script style title noscript template textarea iframe".split())
@@ -221,8 +226,15 @@ def key(path: str, text: str) -> int:
 # ---------------------------------------------------------------- alignment
 
 
+def sketch(text: str) -> list[int]:
+    """The SKETCH least hashes of a text's word pairs: an edited text keeps
+    most of them, another text has few."""
+    w = text.lower().split()
+    return sorted({zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(w, w[1:] or [""])})[:SKETCH]
+
+
 def skeleton(root: Node) -> str | None:
-    """The tree with keys instead of texts, as JSON; None if it is too large
+    """The tree with keys and sketches instead of texts, as JSON; None if it is too large
     for alignment. Levels below MOST_DEPTH are left out."""
     count = 0
     top: list = ["", 0, []]
@@ -235,7 +247,7 @@ def skeleton(root: Node) -> str | None:
             if count > MOST_NODES:
                 return None
             if isinstance(c, Run):
-                out[2].append(["#", key(here, c.text), []])
+                out[2].append(["#", key(here, c.text), [], sketch(c.text)])
             elif depth < MOST_DEPTH:
                 new = [c.sig, 0, []]
                 out[2].append(new)
@@ -243,16 +255,35 @@ def skeleton(root: Node) -> str | None:
     return json.dumps(top)
 
 
-def leaves(tree: list) -> set[int]:
-    out, todo = set(), [tree]
+def leaves(tree: list) -> dict[int, list[int]]:
+    """Key and sketch of each run."""
+    out, todo = {}, [tree]
     while todo:
         t = todo.pop()
         if t[0] == "#":
-            out.add(t[1])
+            out[t[1]] = t[3]
         todo += t[2]
     return out
 
 
+def different(trees: list[list]) -> list[list]:
+    """The trees without copies of earlier ones, told by the runs that vary:
+    those that are not on more than half of the trees."""
+    own = [leaves(t) for t in trees]
+    on = Counter(k for o in own for k in o)
+    kept: list[tuple[list, set[int], set[int]]] = []
+    for t, o in zip(trees, own):
+        vary = {k for k in o if 2 * on[k] <= len(trees)}
+        said = {h for k in vary for h in o[k]}
+        if o and not any(vary == v or alike(vary, v, 0.6) or alike(said, s, 0.5) for _, v, s in kept):
+            kept.append((t, vary, said))
+    return [t for t, _, _ in kept]
+
+
+def alike(a: set[int], b: set[int], share: float) -> bool:
+    return len(a | b) >= 4 and len(a & b) > share * len(a | b)
+
+
 def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two skeletons: its score, and the key pairs of
     aligned runs. Children are aligned in order; equal texts count double."""
@@ -283,18 +314,13 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
 
 def induce(skeletons: list[str]) -> list[int]:
     """Keys of the runs that are constant over a host's reference pages."""
-    trees = []
-    for s in sorted(set(skeletons)):
-        t = json.loads(s)
-        own = leaves(t)
-        if own and all(len(own & o) <= 0.6 * len(own | o) or len(own | o) < 4 for _, o in trees):
-            trees.append((t, own))
+    trees = different([json.loads(s) for s in sorted(set(skeletons))])
     if len(trees) < 3:
         return []
     agree: dict[tuple[int, int], int] = {}
     for i in range(len(trees)):
         for j in range(i):
-            same = {a for a, b in match(trees[i][0], trees[j][0])[1] if a == b}
+            same = {a for a, b in match(trees[i], trees[j])[1] if a == b}
             for a in same:
                 agree[i, a] = agree.get((i, a), 0) + 1
                 agree[j, a] = agree.get((j, a), 0) + 1
