@@ -121,3 +121,39 @@ def test_shards_are_readable_tar(spark, tmp_path):
 
 def test_empty_media(spark, tmp_path):
     assert media.store(rows(spark, ["x"]).limit(0), f"file://{tmp_path}/e").count() == 0
+
+
+def test_long_segments_are_encoded_once():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    c = token_counts.PrefixCounter(P.path("piece_bpe_32k.model"))
+    seen = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(sp, name)
+
+        def encode(self, s, **more):
+            seen.append(len(s))
+            return sp.encode(s, **more)
+
+    c.model = Counted()
+    rng = random.Random(4)
+    for atoms in ("日本語漢字仮名交文", "abcdefABCDEF0123+/="):
+        t = "".join(rng.choice(atoms) for _ in range(2000))
+        exact = [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
+        seen.clear()
+        assert c.fits(t, 100) == max(i for i in range(len(t) + 1) if exact[i] <= 100)
+        assert sum(seen) < 100 * len(t)
+
+
+def test_counts_at_every_prefix(spark):
+    import sentencepiece
+
+    model = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = [t[:150] for t in wild(10, 3)] + [None]
+    got = {r.doc_id: r.prefix_counts for r in token_counts.prefix_table(rows(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [len(sp.encode((t or "")[:k])) for k in range(len(t or "") + 1)], repr(t)

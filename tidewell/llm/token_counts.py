@@ -8,10 +8,14 @@ the segment that holds i,
     c(i) = c(s) + tokens(segment[: i - s]),
 
 which is one pass over the segments; the inner counts of a segment depend on
-nothing else and are remembered. The table of c at all segment ends, together
-with the inner counts of one segment, answers "how many tokens has this
-prefix" and "how much of the text fits into a budget" without encoding the
-text again.
+nothing else and are remembered. They come from one dynamic program over the
+segment: the encoding of its first i code points ends in the one piece t for
+which (last piece of the first i - |t| code points, t) is a pair that the
+model keeps apart, since merges are local: a sequence of pieces is an encoding
+where each two neighbours are one. Pairs are remembered. The table of c at all
+segment ends, together with the inner counts of one segment, answers "how many
+tokens has this prefix" and "how much of the text fits into a budget" by
+look-up, without encoding the text again.
 
 Defined cases: a null or empty text has no tokens; runs of blanks, control
 characters and very long words are segments like any other; equal rows get
@@ -60,6 +64,11 @@ class PrefixCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self._counts = _Counts(lambda s: self.model.encode(s, num_threads=1) if s else [0])
         self._words = _Words(self._counts)
+        pieces = [(self.model.id_to_piece(i), i) for i in range(self.model.get_piece_size()) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
+        self._pieces = dict(pieces)
+        self._longest = max(map(len, self._pieces))
+        self._apart: dict[tuple[str, str], bool] = {}
+        self._inner: tuple[str, list[int]] = ("", [0])
 
     def segments(self, text: str) -> list[str]:
         return _SEGMENT.findall(" " + text.replace(BLANK, " ")) if text else []
@@ -73,6 +82,56 @@ class PrefixCounter:
             return list(map(self._counts.__getitem__, _SEGMENT.findall(" " + plain)))
         return list(map(self._words.__getitem__, plain.split(" ")))
 
+    def _kept_apart(self, a: str, b: str) -> bool:
+        """Whether the encoding of a + b is these two pieces."""
+        known = self._apart.get((a, b))
+        if known is None:
+            known = self._raw(a + b) == [a, b]
+            if len(self._apart) < CACHE:
+                self._apart[a, b] = known
+        return known
+
+    def _raw(self, s: str) -> list[str]:
+        """Pieces of s without the blank that the library puts before it; a
+        character of bytes counts as a piece."""
+        if s[0] == BLANK and len(s) > 1:
+            return self._surface(s[1:])
+        # A line feed is bytes to the model: nothing merges with it.
+        return self._surface("\n" + s)[2:]
+
+    def _surface(self, s: str) -> list[str]:
+        out, ids = [], self.model.encode(s, num_threads=1)
+        at, whole = 0, BLANK + s.replace(" ", BLANK)
+        i = 0
+        while i < len(ids):
+            if self.model.is_byte(ids[i]):
+                n = len(whole[at].encode("utf-8", "surrogatepass"))
+                out.append(whole[at])
+                at, i = at + 1, i + n
+            else:
+                piece = self.model.id_to_piece(ids[i])
+                out.append(piece)
+                at, i = at + len(piece), i + 1
+        return out
+
+    def inner(self, segment: str) -> list[int]:
+        """Tokens of each prefix of a segment."""
+        s = segment.replace(" ", BLANK)
+        if self._inner[0] == s:
+            return self._inner[1]
+        counts, last = [0], [""]
+        for i in range(1, len(s) + 1):
+            for n in range(min(i, self._longest), 0, -1):
+                t = s[i - n : i]
+                if (n == 1 or t in self._pieces) and (i == n or self._kept_apart(last[i - n], t)):
+                    break
+            else:
+                raise ValueError("a prefix without an encoding")
+            counts.append(counts[i - n] + (1 if t in self._pieces else len(t.encode("utf-8", "surrogatepass"))))
+            last.append(t)
+        self._inner = s, counts
+        return counts
+
     def table(self, text: str) -> tuple[list[int], list[int]]:
         """(code points, tokens) at the end of each segment."""
         ends = [e - 1 for e in accumulate(map(len, self.segments(text)))]
@@ -86,8 +145,7 @@ class PrefixCounter:
         if k and ends[k - 1] == n_chars or not n_chars:
             return totals[k - 1] if k and n_chars else 0
         before, start = (totals[k - 1], ends[k - 1]) if k else (0, 0)
-        inner = text[start:n_chars].replace(BLANK, " ")
-        return before + self._counts[inner if k else " " + inner]
+        return before + self._segment(text, ends, k)[n_chars - start + (not k)]
 
     def fits(self, text: str, budget: int, table: tuple[list[int], list[int]] | None = None) -> int:
         """Code points of the longest prefix of at most `budget` tokens."""
@@ -96,11 +154,27 @@ class PrefixCounter:
         if k == len(ends):
             return len(text)
         low = ends[k - 1] if k else 0
+        before = totals[k - 1] if k else 0
+        inner = self._segment(text, ends, k)
+        shift = len(inner) - 1 - (ends[k] - low)  # 1 for the first segment's blank
         for n in range(ends[k] - 1, low, -1):
-            if self.prefix(text, n, (ends, totals)) <= budget:
+            if before + inner[n - low + shift] <= budget:
                 return n
         return low if budget >= 0 else 0
 
+    def _segment(self, text: str, ends: list[int], k: int) -> list[int]:
+        """Inner counts of segment k; the first has the library's blank."""
+        return self.inner(text[ends[k - 1] : ends[k]] if k else " " + text[: ends[0]])
+
+    def every(self, text: str, table: tuple[list[int], list[int]] | None = None) -> list[int]:
+        """Tokens of the first 0, 1, ... code points."""
+        ends, totals = table or self.table(text)
+        out = [0]
+        for k in range(len(ends)):
+            before = totals[k - 1] if k else 0
+            out += [before + c for c in self._segment(text, ends, k)[1 if k else 2 :]]
+        return out
+
 
 class _Words(dict):
     """The usual case: a word after a single blank."""
@@ -127,7 +201,8 @@ def counter(model_file: str) -> PrefixCounter:
 
 def prefix_table(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_bytes, n_tokens and the table of exact counts: prefix_chars
-    and prefix_tokens hold code points and tokens at each segment's end."""
+    and prefix_tokens hold code points and tokens at each segment's end,
+    prefix_counts the tokens of the first 0, 1, ... code points."""
     return _run(df, model_file, text, keep, (), True)
 
 
@@ -139,7 +214,7 @@ def token_counts(df: DataFrame, model_file: str, budgets: tuple[int, ...] = (409
 
 def _run(df, model_file, text, keep, budgets, whole) -> DataFrame:
     types = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["n_bytes long, n_tokens long"] + [f"fits_{b} long" for b in budgets] + ["prefix_chars array<int>, prefix_tokens array<int>"] * whole)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["n_bytes long, n_tokens long"] + [f"fits_{b} long" for b in budgets] + ["prefix_chars array<int>, prefix_tokens array<int>, prefix_counts array<int>"] * whole)
 
     def one(batch: pa.RecordBatch) -> dict:
         c = counter(model_file)
@@ -153,7 +228,7 @@ def _run(df, model_file, text, keep, budgets, whole) -> DataFrame:
         for b in budgets:
             out[f"fits_{b}"] = [len(t) if not x or x[-1] <= b and max(x) <= b else c.fits(t, b) for t, x in zip(texts, totals)]
         if whole:
-            out |= {"prefix_chars": ends, "prefix_tokens": totals}
+            out |= {"prefix_chars": ends, "prefix_tokens": totals, "prefix_counts": [c.every(t, (e, x)) for t, e, x in zip(texts, ends, totals)]}
         return out
 
     return C.map_arrow(df.select(*keep, C.text_of(text).alias("_text")), one, schema, "_text")
