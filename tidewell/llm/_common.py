@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,11 +24,14 @@ _own_dir: str | None = None
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. A
-    folder of our own stands in only where that is unset (local sessions)."""
+    folder of our own stands in only where that is unset in a local session;
+    on a cluster there is no folder to guess."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tidewell-shared-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -46,7 +50,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = weakref.ref(out), path
+    return out
+
+
+_paths: dict[int, tuple] = {}
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: what was made of them
+    has been written. Other DataFrames are left alone."""
+    for df in tables:
+        known, path = _paths.pop(id(df), (lambda: None, None))
+        if known() is df:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def filesystem(uri: str):

@@ -3,11 +3,12 @@
 A document's set holds its distinct n-word shingles. Two sets whose Jaccard
 similarity is at least num / den differ in at most
 
-    k = (den - num) / (den + num) * (size + size)
+    k = (den - num) / num * (size of the smaller)
 
 shingles. Sizes are cut into bands, each as wide as the similarity allows, so
-that linked sets are in the same band or in neighbours; a set is given
-signatures for its own band and for the next. For a band with bound k the
+that linked sets are in the same band or in neighbours; a pair goes by the band
+of its smaller set, so a set is given signatures for its own band and for the
+one below. For a band with bound k the
 shingle domain is hashed into n1 groups of n2 parts. At most k // (k2 + 1) of
 the groups differ in more than k2 shingles, so a linked pair has groups with
 at most k2, and there some n2 - k2 parts without any difference: the subsets
@@ -15,26 +16,33 @@ of n2 - k2 parts are enumerated, one signature each (group, subset, the
 shingles in it), and the pair shares one. Small bounds take n2 = 3, k2 = 1,
 large ones n2 = 1, k2 = 0, which needs the fewest signatures.
 
-Signatures of no shingles would be shared by documents that have nothing else
-in common. There are `spare` more groups than needed; a set with empty subsets
-in at most that many groups leaves them out, since a linked pair still shares
-a signature in one of the others. The rare sets with more emit theirs.
+Signatures of few shingles are shared by documents that have little else in
+common. There are `spare` more groups than needed, so a linked pair shares more
+than `spare` signatures, and each set leaves its `spare` weakest ones out. Weak
+is told by the signature alone (its number of shingles, then its hash): of the
+signatures that a pair shares, either set leaves out only those below its own
+threshold, hence both together at most `spare`, and one is left.
 
 Documents with one signature are not paired with each other. Each is compared
 with the first of them (the pivot), which gives exact distances and links, and
 components of these. Two documents that share a signature share a pivot, so
 what is left are links among the partners of one pivot that are in different
-components. Partners are ordered by their distance to the pivot and cut into
-blocks; Jaccard distance is a metric, so only blocks whose distances are within
+components. Partners are cut into blocks of similar distance to the pivot;
+Jaccard distance is a metric, so only blocks whose distances are within
 1 - num / den can hold a link. A task compares two blocks at a time by matrix
 products and emits trees of links, never pairs. No link is lost, and a group
 of thousands of copies costs about one comparison for each.
 
+A pivot with many partners is no hot key: its partners are dealt into shares
+by hash, each with a copy of the pivot's text, and its blocks come from counts
+(aggregated with partial results), not from a window over the pivot.
+
 Joins with texts are merge joins at every size: ids of candidates are no small
 side at full size, and the plan should not depend on a threshold.
 
 Equal sets are one member from the start. Only ids, signatures and (for
-documents with a candidate) texts are shuffled.
+documents with a candidate) texts are shuffled. Intermediate tables are removed
+from the shared folder as soon as what follows them is written.
 
 Defined cases: a null or empty text, or one of blanks, has an empty set and is
 linked with nothing; texts of fewer than n words have their whole sequence as
@@ -46,6 +54,7 @@ an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +68,11 @@ from .components import components
 
 BATCH = 2 << 20
 SMALL_BOUND = 24
-SEEN = 200_000
+SPARE = 4  # one group in so many is spare
+SEEN = 200_000  # names of sets that a task remembers, to sign copies once
+SHARE = 2_000  # partners of a pivot that one task compares with it
 BLOCK = 1024
+BINS = 64  # distances to a pivot that tell blocks apart
 
 
 class Scheme:
@@ -86,8 +98,9 @@ class Scheme:
         return self.high[band]
 
     def bound(self, band: int) -> int:
-        """Greatest Hamming distance of linked sets up to the band's top."""
-        return (self.den - self.num) * 2 * self.top(band) // (self.den + self.num)
+        """Greatest Hamming distance of linked sets whose smaller one is in
+        the band: (1 - j) / j times its size."""
+        return (self.den - self.num) * self.top(band) // self.num
 
     def parameters(self, k: int) -> tuple[int, int, int, int]:
         """(groups, parts, parts left out, spare groups)."""
@@ -95,7 +108,7 @@ class Scheme:
             parts, out = 3, 1
         else:
             parts, out = 1, 0
-        spare = 0 if k < 8 else 1 + k // 16
+        spare = k // (SPARE * (out + 1))
         return k // (out + 1) + 1 + spare, parts, out, spare
 
 
@@ -112,14 +125,17 @@ def signatures(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, scheme: Scheme
     owner: list[np.ndarray] = []
     bands = scheme.band(sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    for step in (0, 1):
+    for step in (0, 1):  # as the smaller set of a pair, or one of its band; as the larger one
         for band in np.unique(bands[sizes > 0]):
-            tag = int(band) + step
-            k = scheme.bound(tag)
+            tag = int(band) - step
+            k = scheme.bound(tag) if tag >= 0 else 0
             if k == 0:  # only equal sets are linked
                 continue
             n1, n2, out, spare = scheme.parameters(k)
-            members = np.flatnonzero((bands == band) & (sizes > 0))
+            reach = scheme.top(tag) * scheme.den // scheme.num
+            members = np.flatnonzero((bands == band) & (sizes > 0) & (sizes <= reach))
+            if not len(members):
+                continue
             count = sizes[members]
             unit = np.repeat(np.arange(len(members)), count)
             x = h[np.concatenate([np.arange(starts[m], starts[m + 1]) for m in members])]
@@ -132,11 +148,13 @@ def signatures(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, scheme: Scheme
                 held = held.sum(axis=2, keepdims=True) - held
             places = np.arange(n1 * n2, dtype=np.uint64).reshape(1, n1, n2)
             salt = np.uint64(tag * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
-            names = words.mix(words.mix(sums + held.astype(np.uint64)) + places * np.uint64(0x9E3779B97F4A7C15) + salt)
-            weak = held == 0
-            emit = ~weak | (weak.any(axis=2).sum(axis=1) > spare)[:, None, None]
+            names = words.mix(words.mix(sums + held.astype(np.uint64)) + places * np.uint64(0x9E3779B97F4A7C15) + salt).reshape(len(members), -1)
+            emit = np.ones(names.shape, bool)
+            if spare:  # by shingles, then name: what is left out depends on the signature alone
+                rank = (np.minimum(held.reshape(names.shape), 255).astype(np.uint64) << np.uint64(56)) | (names >> np.uint64(8))
+                emit = rank >= np.partition(rank, spare, axis=1)[:, spare : spare + 1]
             found.append(names[emit])
-            owner.append(np.broadcast_to(members[:, None, None], names.shape)[emit])
+            owner.append(np.broadcast_to(members[:, None], names.shape)[emit])
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(found), np.concatenate(owner)
@@ -156,15 +174,15 @@ def _names(h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
-    """rows: _id, _text (binary). Returns _id, n_shingles and the set's name
-    as two longs."""
+    """rows: _id, _key, _text (binary). Returns _id, _key, n_shingles and the
+    set's name as two longs."""
 
     def one(batch: pa.RecordBatch) -> dict:
         h, _, sizes = _sets(batch, n)
         named = np.frombuffer(b"".join(_names(h, sizes)), "<i8").reshape(-1, 2)
-        return {"_id": batch.column(0), "n_shingles": sizes, "_k1": named[:, 0].copy(), "_k2": named[:, 1].copy()}
+        return {"_id": batch.column(0), "_key": batch.column(2), "n_shingles": sizes, "_k1": named[:, 0].copy(), "_k2": named[:, 1].copy()}
 
-    return _mapped(rows, one, "_id long, n_shingles long, _k1 long, _k2 long")
+    return _mapped(rows.select("_id", "_text", "_key"), one, "_id long, _key long, n_shingles long, _k1 long, _k2 long")
 
 
 def _mapped(rows: DataFrame, one, schema: str) -> DataFrame:
@@ -183,7 +201,8 @@ def _mapped(rows: DataFrame, one, schema: str) -> DataFrame:
 
 def signature_rows(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """sig, _id. A set that a task has met before is not signed again: its
-    signatures would be the same."""
+    signatures would be the same. Which copy is signed does not matter, ids
+    are mapped to the set's least id afterwards."""
 
     def run(batches):
         scheme, seen = Scheme(num, den), set()
@@ -213,22 +232,31 @@ def star_pairs(rows: DataFrame, sets: DataFrame, same: DataFrame, n: int, num: i
     by = W.partitionBy("sig").orderBy("_id")
     # The first of the ordered rows is known at once: nothing is held back.
     shared = signature_rows(rows, n, num, den).withColumn("p", F.first("_id").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    pairs = C.staged(shared.where("_id <> p").select(F.col("_id").alias("x"), "p").distinct(), "star-pairs")
+    signed = C.staged(shared.where("_id <> p").select(F.col("_id").alias("x"), "p").distinct(), "signed-pairs")
     # Copies of one set go by its first id.
     first = sets.join(same, ["_k1", "_k2"]).where("_id <> _rep").select("_id", "_rep")
+    pairs = signed
     for c in ("x", "p"):
         pairs = pairs.join(first.withColumnRenamed("_id", c), c, "left").withColumn(c, F.coalesce("_rep", c)).drop("_rep")
-    pairs = pairs.where("x <> p").select("x", "p").distinct()
-    return C.staged(pairs, "star-pairs")
+    out = C.staged(pairs.where("x <> p").select("x", "p").distinct(), "star-pairs")
+    C.free(signed)
+    return out
+
+
+def _shares(n, most: int, member: str):
+    """The share of a member, where `n` members are dealt out by hash."""
+    return F.pmod(F.xxhash64(member), F.ceil(n / F.lit(most)))
 
 
 def compare(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """x, p, d (Jaccard distance), linked, for pairs of ids; texts: _id, _text.
-    The texts of a pivot's partners stream past it, sorted by pivot."""
-    rows = pairs.select(F.col("x").alias("_id"), "p").union(pairs.select(F.col("p").alias("_id"), "p").distinct())
-    rows = texts.join(rows.hint("merge"), "_id").select("_id", "_text", "p")
+    The texts of a share of a pivot's partners stream past it."""
+    counts = pairs.groupBy("p").agg(F.count("*").alias("_n"))
+    partners = pairs.join(counts, "p").select(F.col("x").alias("_id"), "p", _shares(F.col("_n"), SHARE, "x").alias("s"))
+    pivots = counts.select(F.col("p").alias("_id"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / SHARE) - 1)).alias("s"))
+    rows = texts.join(partners.union(pivots).hint("merge"), "_id").select("_id", "_text", "p", "s")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "p").sortWithinPartitions("p", F.col("_id") != F.col("p"))
+    rows = rows.repartition(parts, "p", "s").sortWithinPartitions("p", "s", F.col("_id") != F.col("p"))
 
     def run(batches):
         pivot, own = None, None
@@ -308,14 +336,17 @@ def forest(linked: np.ndarray, half: int) -> list[tuple[int, int]]:
 
 def around_pivots(star: DataFrame, labels: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b): links among the partners of each pivot, as trees. Partners are
-    ordered by their distance to the pivot and cut into blocks of BLOCK; two
+    cut into blocks of about BLOCK: one for a pivot with few partners, else by
+    their distance to the pivot and, where a distance has many, by hash. Two
     blocks whose distances lie further apart than a link allows are not
     compared. A task holds two blocks at a time, and emits trees, not pairs.
     Partners that are one component already are left alone."""
     near = _labelled(star.select("p", "x", "d"), "x", labels, "c")
-    mixed = near.groupBy("p").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select("p")
-    place = F.row_number().over(W.partitionBy("p").orderBy("d", "x"))
-    near = C.staged(near.join(mixed, "p", "left_semi").select("p", "x", "d", F.floor((place - 1) / BLOCK).cast("int").alias("k")), "around")
+    mixed = near.groupBy("p").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count("*").alias("_n")).where("_low <> _high").select("p", "_n")
+    binned = C.staged(near.join(mixed, "p").select("p", "x", "d", F.when(F.col("_n") <= BLOCK, 0).otherwise(F.floor(F.col("d") * BINS)).cast("long").alias("bin")), "binned")
+    counts = binned.groupBy("p", "bin").agg(F.count("*").alias("_n"))
+    near = C.staged(binned.join(counts, ["p", "bin"]).select("p", "x", "d", (F.col("bin") * F.lit(1 << 40) + _shares(F.col("_n"), BLOCK, "x")).alias("k")), "around")
+    C.free(binned)
     margin = 1.0 - num / den + 1e-9
     blocks = near.groupBy("p", "k").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     other = blocks.select("p", F.col("k").alias("j"), F.col("low").alias("_low"))
@@ -355,54 +386,55 @@ def around_pivots(star: DataFrame, labels: DataFrame, texts: DataFrame, n: int,
         if out is not None:
             yield out
 
-    return C.staged(rows.mapInArrow(run, "a long, b long").distinct(), "around-links")
+    out = C.staged(rows.mapInArrow(run, "a long, b long").distinct(), "around-links")
+    C.free(near)
+    return out
 
 
 def link(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Components of the linked ids: links with pivots, then among what is
     around each pivot."""
     star = compare(pairs, texts, n, num, den)
-    own = star.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    labels = components(own)
+    labels = components(star.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b")))
     more = around_pivots(star, labels, texts, n, num, den)
-    if more.isEmpty():
-        return labels
-    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    C.free(star)
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    C.free(more)
+    return labels
 
 
-def _members(df: DataFrame, n: int, num: int, den: int, key: str, text: str, whole: bool):
-    """(rows with _id, sets, distinct sets with labels, candidates' ids, rows
-    dealt by _id with _some where a candidate). whole: rows keep all columns."""
-    kept = [c for c in df.columns if not c.startswith("_")] if whole else []
-    rows = df.select(*kept, F.col(key).cast("long").alias("_key"), C.text_of(text).cast("binary").alias("_text"))
-    odd = bool(rows.groupBy("_key").count().where("_key is null or count > 1").limit(1).count())
-    if odd:  # rows without a key of their own are numbered, once and for all
-        rows = C.staged(rows.withColumn("_id", F.monotonically_increasing_id()), "numbered")
-    else:
-        rows = rows.withColumn("_id", F.col("_key"))
+def _members(rows: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, _key, n_shingles, _k1, _k2 of each row; _k1, _k2, _least, _c of
+    each distinct set: its least key and its component's least id).
+    rows: _id, _key, _text."""
     texts = rows.select("_id", "_text")
-    sets = shingle_sets(texts, n)
-    sets = C.staged(sets.join(rows.select("_id", "_key"), "_id") if odd else sets.withColumn("_key", F.col("_id")), "sets")
+    sets = C.staged(shingle_sets(rows, n), "sets")
     same = sets.where("n_shingles > 0").groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"), F.min("_key").alias("_least"))
     same = C.staged(same, "distinct-sets")
     pairs = star_pairs(texts, sets, same, n, num, den)
     some = pairs.select(F.col("x").alias("_id")).union(pairs.select("p")).distinct()
-    if whole:
-        copies = sets.join(same, ["_k1", "_k2"]).where("_id <> _rep").select("_id")
-        marked = some.union(copies).distinct().withColumn("_some", F.lit(True))
-        dealt = C.staged(rows.drop("_key").join(marked.hint("merge"), "_id", "left"), "dealt")
-        candidates = dealt.where("_some").select("_id", "_text")
-    else:
-        dealt = None
-        candidates = C.staged(texts.join(some.hint("merge"), "_id", "left_semi"), "candidates")
+    candidates = C.staged(texts.join(some.hint("merge"), "_id", "left_semi"), "candidates")
     labels = link(pairs, candidates, n, num, den)
-    return odd, sets, _labelled(same, "_rep", labels, "_c"), dealt, kept
+    C.free(pairs, candidates)
+    return sets, _labelled(same, "_rep", labels, "_c")
+
+
+def _keyed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """(rows with _id, _key and _text, whether keys are no ids: some are null
+    or repeated)."""
+    rows = df.select(F.col(key).cast("long").alias("_key"), C.text_of(text).cast("binary").alias("_text"))
+    odd = bool(rows.groupBy("_key").count().where("_key is null or count > 1").limit(1).count())
+    return rows.withColumn("_id", F.col("_key")), odd
 
 
 def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id: for each row the size of its set and the
     least key that links lead to."""
-    odd, sets, labelled, _, _ = _members(df, n, num, den, key, text, False)
+    rows, odd = _keyed(df, key, text)
+    if odd:  # rows without a key of their own are numbered, once and for all
+        rows = C.staged(rows.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    sets, labelled = _members(rows, n, num, den)
     if odd:
         least = labelled.groupBy("_c").agg(F.min("_least").alias("component_id"))
         labelled = labelled.join(least, "_c")
@@ -415,11 +447,23 @@ def join(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "d
 
 def first_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, one of each component: that of the least key (of rows
-    with equal keys, one of them). Rows with an empty set all stay."""
-    _, _, labelled, dealt, kept = _members(df, n, num, den, key, text, True)
-    heads = labelled.select(F.col("_c").alias("_id")).distinct()
-    alone = dealt.where("_some is null")
-    return alone.select(*kept).union(dealt.where("_some").join(heads.hint("merge"), "_id", "left_semi").select(*kept)).select(*[c for c in df.columns if c in kept])
+    with equal keys, one of them; rows without a key come last). Rows with an
+    empty set all stay. Rows move once, in the anti-join with the ids to drop."""
+    rows, odd = _keyed(df, key, text)
+    own = f"id-{uuid.uuid4().hex}"
+    if odd:
+        df = C.staged(df.withColumn(own, F.monotonically_increasing_id()), "numbered")
+        rows = df.select(F.col(own).alias("_id"), F.col(key).cast("long").alias("_key"), C.text_of(text).cast("binary").alias("_text"))
+    sets, labelled = _members(rows, n, num, den)
+    members = sets.join(labelled.select("_k1", "_k2", "_c"), ["_k1", "_k2"]).select("_id", "_key", "_c")
+    if odd:
+        heads = members.groupBy("_c").agg(F.min_by("_id", F.struct(F.col("_key").isNull(), "_key", "_id")).alias("_head"))
+        members = members.join(heads, "_c").withColumn("_c", F.col("_head"))
+    drop = C.staged(members.where("_id <> _c").select(F.col("_id").alias(own)), "dropped")
+    C.free(sets)
+    if odd:
+        return df.join(drop.hint("merge"), own, "left_anti").drop(own)
+    return df.join(drop.hint("merge"), F.col(key).cast("long") == drop[own], "left_anti")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
