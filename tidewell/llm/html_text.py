@@ -1,26 +1,35 @@
 """Main text of web pages by wrapper induction (operator 6).
 
-Pages are parsed into trees of block elements with runs of text. For each host
-a few reference pages are aligned pairwise by simple tree matching (children
-in order, equal signatures; equal texts count double). Runs whose aligned
-counterparts say the same on most references are constant: they become the
-host's template. Whatever varies is content, unless its element says what it
-is: menus, page headers, footers, sidebars, notices, adverts, forms, reader
-comments and the like by tag, role, class or id. Where a page marks its
-article, runs outside of it go as well; elsewhere runs that are mostly links.
-
-References are chosen by hash, one from each of REFERENCES slices of a host's
-pages, in one aggregation with partial results, so a host with a third of all
-pages costs no task more than another. Copies among the references count once
-(else an article copied within a host would look constant): references whose
-runs, without those on more than half of the references, are the same or say
-much the same by sketches of word pairs. Hosts with fewer than three different
-references have no template. Templates go to the tasks
-as a broadcast while they are few (checked), otherwise by a join on host and a
-salt. Every page is extracted whole.
+Pages are parsed into whole trees of block elements with runs of text; nothing
+is left out but what is never shown (scripts, styles and the like) and buttons
+and such inside of a run. Pages of
+one host with the same outline (the paths of their upper elements) are aligned
+pairwise by simple tree matching: children in order, equal signatures, equal
+subtrees at once. Runs whose aligned counterparts say the same on most
+reference pages are constant and become the template. What varies fills its
+slots, and the slots' container is found from the aligned pages as well: from
+the root down, the element that holds nearly all of the varying text. A page
+with a template is its container's runs without the constant ones, and the
+headings that stand outside.
+
+Where alignment cannot tell, marks do: menus, page headers, footers, sidebars,
+notices, adverts, forms, reader comments and the like by tag, role, class or
+id vary from page to page as an article does. Pages without a template go by
+their article or main element, or else by runs that are not mostly links. The
+result says what decided (`decided`: template, article or runs).
+
+References are chosen by hash, one from each of REFERENCES slices of the pages
+of a host and outline, in one aggregation with partial results, so a host with
+a third of all pages costs no task more than another. Copies among them count
+once (else an article copied within a host would look constant): references
+whose runs, without those on more than half of the references, are the same or
+say much the same by sketches of word pairs. Two references are enough if more
+than half of either varies. Templates go to the tasks as a broadcast while they
+are few (checked), otherwise by a join on host, outline and a salt. Every page
+is extracted whole.
 
 Defined cases: a null or empty html has the text ""; a null or broken url has
-the host "" of its own; repeated rows keep one row each; unclosed and stray
+no host and no template; repeated rows keep one row each; unclosed and stray
 tags, deep nesting and missing ends are tolerated; an empty table gives an
 empty table; other columns are ignored.
 """
@@ -32,6 +41,7 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -41,8 +51,10 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 REFERENCES = 8
-MOST_NODES = 1_500  # of a reference page; alignment costs the product of two
-MOST_DEPTH = 60
+OUTLINE = 3  # levels of elements that tell layouts apart
+DEEP = 150  # levels that are aligned as such; what is deeper counts as there
+CELLS = 40_000  # children times children that are aligned by all pairs
+HELD = 0.8  # of the varying text, in the container
 BROADCAST_KEYS = 500_000
 SALTS = 16
 SKETCH = 8  # word pairs kept of a reference's run
@@ -84,20 +96,21 @@ class Node:
 
 
 class Run:
-    """A run of text of one block: its text, characters of it in links, and
-    whether it stands in an article."""
+    """A run of text of one block: its text, characters of it in links,
+    whether it stands in an article, and whether its element is marked as
+    something else."""
 
-    __slots__ = ("text", "linked", "article")
+    __slots__ = ("text", "linked", "article", "marked")
 
-    def __init__(self, text: str, linked: int, article: bool):
-        self.text, self.linked, self.article = text, linked, article
+    def __init__(self, text: str, linked: int, article: bool, marked: bool):
+        self.text, self.linked, self.article, self.marked = text, linked, article, marked
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip() else {}
 
 
-def _dropped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def _marked(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in NEVER_DROPPED:
         return "hidden" in attrs or any(p.lower() in ("comment", "comments", "reply") for p in _PART.findall(attrs.get("class", "") + " " + attrs.get("id", ""))) and tag == "article"
     if tag in DROPPED or tag == "header" and not in_article:
@@ -112,11 +125,37 @@ def _dropped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return bool(parts & HINTS or not in_article and parts & PAGE_HINTS) and not parts & FRAME
 
 
+class _Open:
+    """Open elements, with what is needed to find one without a scan."""
+
+    def __init__(self, root: Node):
+        # (tag, node, marked, article, link, whether its block is marked)
+        self.stack = [("", root, False, False, False, False)]
+        self.blocks: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, *rest):
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, *rest))
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def pop_to(self, index: int):
+        while len(self.stack) > index:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+
 def parse(page: str) -> Node:
-    """The tree of a page's block elements; dropped elements are left out."""
+    """The tree of a page's block elements with all text that is shown."""
     root = Node("")
-    # (tag, node, dropped, article, link)
-    stack = [("", root, False, False, False)]
+    opened = _Open(root)
+    stack = opened.stack
     run: list[str] = []
     linked = 0
 
@@ -125,24 +164,24 @@ def parse(page: str) -> Node:
         if run:
             text = _SPACE.sub(" ", "".join(run)).strip()
             if text:
-                top = stack[-1]
-                top[1].children.append(Run(text, linked, top[3]))
+                _, node, _, article, _, marked = stack[-1]
+                node.children.append(Run(text, linked, article, marked))
             run.clear()
         linked = 0
 
     def close(index: int):
-        if any(e[0] in BLOCK for e in stack[index:]):
+        if opened.blocks and opened.blocks[-1] >= index:
             flush()
-        del stack[index:]
+        opened.pop_to(index)
 
     def say(text: str):
         nonlocal linked
-        top = stack[-1]
-        if text and not top[2]:
+        _, _, marked, _, link, block = stack[-1]
+        if text and marked == block:  # marked parts of a block's text go
             if "&" in text:
                 text = entities.unescape(text)
             run.append(text)
-            if top[4]:
+            if link:
                 linked += len(text)
 
     at, n = 0, len(page)
@@ -167,58 +206,56 @@ def parse(page: str) -> Node:
                     say(" " if tag == "br" else "")
                 continue
             if tag in BLOCK:
-                shut = CLOSED_BY.get(tag)
-                if shut:
-                    barrier = BARRIER[tag]
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in barrier:
-                            break
-                        if stack[i][0] in shut:
-                            close(i)
-                            break
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            _, node, dropped, article, link = stack[-1]
+                if tag in CLOSED_BY:
+                    open_ = opened.last(CLOSED_BY[tag])
+                    if open_ > opened.last(BARRIER[tag]):
+                        close(open_)
+                if opened.blocks and stack[opened.blocks[-1]][0] == "p":
+                    close(opened.blocks[-1])
+            _, node, marked, article, link, block = stack[-1]
             attrs = _attributes(m["attrs"])
-            dropped = dropped or _dropped(tag, attrs, article)
+            marked = marked or _marked(tag, attrs, article)
             if tag in BLOCK:
                 flush()
-                if not dropped:
-                    kind = " ".join(sorted(attrs.get("class", "").split()))
-                    child = Node(f"{tag}.{kind}" if kind else tag)
-                    node.children.append(child)
-                    node = child
+                block = marked
+                kind = " ".join(sorted(attrs.get("class", "").split()))
+                child = Node(f"{tag}.{kind}" if kind else tag)
+                node.children.append(child)
+                node = child
                 article = article or tag in ARTICLE or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-            stack.append((tag, node, dropped, article, link or tag == "a"))
+            opened.push(tag, node, marked, article, link or tag == "a", block)
         elif m["end"]:
             tag = m["end"].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
-    close(1) if len(stack) > 1 else flush()
+            open_ = opened.last((tag,))
+            if open_ and (tag in BLOCK or open_ > (opened.blocks[-1] if opened.blocks else 0)):
+                close(open_)
+    flush()
     return root
 
 
 def runs(root: Node) -> list[tuple[str, Run]]:
     """(path, run) in page order."""
-    out, todo = [], [("", root, 0)]
+    out, todo = [], [("", root)]
     while todo:
-        path, node, _ = todo.pop()
+        path, node = todo.pop()
         if isinstance(node, Run):
             out.append((path, node))
             continue
         here = f"{path}/{node.sig}" if node.sig else path
-        todo.extend((here, c, 0) for c in reversed(node.children))
+        todo.extend((here, c) for c in reversed(node.children))
     return out
 
 
+def outline(root: Node) -> int:
+    """Names the layout: the paths of the elements of the upper levels."""
+    paths, level = set(), [("", c) for c in root.children]
+    for _ in range(OUTLINE):
+        level = [(f"{path}/{c.sig}", c) for path, c in level if isinstance(c, Node)]
+        paths.update(path for path, _ in level)
+        level = [(path, d) for path, c in level for d in c.children]
+    return key("", "\n".join(sorted(paths)))
+
+
 def key(path: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -233,25 +270,25 @@ def sketch(text: str) -> list[int]:
     return sorted({zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(w, w[1:] or [""])})[:SKETCH]
 
 
-def skeleton(root: Node) -> str | None:
-    """The tree with keys and sketches instead of texts, as JSON; None if it is too large
-    for alignment. Levels below MOST_DEPTH are left out."""
-    count = 0
+def skeleton(root: Node) -> str:
+    """The tree for alignment, as JSON. An element is [path, name of what it
+    holds, children]; a run is ["#", key, sketch, characters (0 if marked)]."""
     top: list = ["", 0, []]
-    todo = [("", root, top, 0)]
+    todo, order = [("", root, top, 0)], []
     while todo:
         path, node, out, depth = todo.pop()
+        order.append(out)
         here = f"{path}/{node.sig}" if node.sig else path
         for c in node.children:
-            count += 1
-            if count > MOST_NODES:
-                return None
             if isinstance(c, Run):
-                out[2].append(["#", key(here, c.text), [], sketch(c.text)])
-            elif depth < MOST_DEPTH:
-                new = [c.sig, 0, []]
-                out[2].append(new)
+                out[2].append(["#", key(here, c.text), sketch(c.text), 0 if c.marked else len(c.text)])
+            else:
+                new = [f"{here}/{c.sig}", 0, []] if depth < DEEP else out
+                if new is not out:
+                    out[2].append(new)
                 todo.append((here, c, new, depth + 1))
+    for out in reversed(order):
+        out[1] = key(out[0], " ".join(str(c[1]) for c in out[2]))
     return json.dumps(top)
 
 
@@ -261,8 +298,9 @@ def leaves(tree: list) -> dict[int, list[int]]:
     while todo:
         t = todo.pop()
         if t[0] == "#":
-            out[t[1]] = t[3]
-        todo += t[2]
+            out[t[1]] = t[2]
+        else:
+            todo += t[2]
     return out
 
 
@@ -284,59 +322,176 @@ def alike(a: set[int], b: set[int], share: float) -> bool:
     return len(a | b) >= 4 and len(a & b) > share * len(a | b)
 
 
-def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two skeletons: its score, and the key pairs of
-    aligned runs. Children are aligned in order; equal texts count double."""
+def same_runs(a: list, b: list, out: set[int]) -> int:
+    """Simple tree matching of two skeletons: its score; keys of aligned equal
+    runs go to `out`. Equal subtrees are aligned at once. Other children are
+    aligned in order, equal texts counting double: by all pairs, or where the
+    two elements have very many children, between those that are equal."""
     if a[0] != b[0]:
-        return 0, []
+        return 0
     if a[0] == "#":
-        return (2 if a[1] == b[1] else 1), [(a[1], b[1])]
+        if a[1] == b[1]:
+            out.add(a[1])
+        return 2 if a[1] == b[1] else 1
+    if a[1] == b[1]:
+        own = leaves(a)
+        out.update(own)
+        return 1 + 2 * len(own)
     x, y = a[2], b[2]
-    cell = [[match(p, q) for q in y] for p in x]
+    first = 0
+    while first < min(len(x), len(y)) and x[first][:2] == y[first][:2]:
+        first += 1
+    last = 0
+    while last < min(len(x), len(y)) - first and x[-1 - last][:2] == y[-1 - last][:2]:
+        last += 1
+    score = 1
+    for c, d in [*zip(x[:first], y[:first]), *zip(x[len(x) - last :], y[len(y) - last :])]:
+        score += same_runs(c, d, out)
+    x, y = x[first : len(x) - last], y[first : len(y) - last]
+    if len(x) * len(y) > CELLS:
+        return score + _between_equal(x, y, out)
+    found: dict[tuple[int, int], set[int]] = {}
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    own = {}
     for i in range(len(x)):
-        row, up, own = best[i + 1], best[i], cell[i]
+        row, up = best[i + 1], best[i]
         for j in range(len(y)):
-            row[j + 1] = max(up[j + 1], row[j], up[j] + own[j][0])
-    pairs = []
+            n = 0
+            if x[i][0] == y[j][0]:
+                keys: set[int] = set()
+                n = same_runs(x[i], y[j], keys)
+                found[i, j], own[i, j] = keys, n
+            row[j + 1] = max(up[j + 1], row[j], up[j] + n)
     i, j = len(x), len(y)
     while i and j:
-        score, inner = cell[i - 1][j - 1]
-        if score and best[i][j] == best[i - 1][j - 1] + score:
-            pairs += inner
+        n = own.get((i - 1, j - 1), 0)
+        if n and best[i][j] == best[i - 1][j - 1] + n:
+            out |= found[i - 1, j - 1]
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[-1][-1], pairs
-
-
-def induce(skeletons: list[str]) -> list[int]:
-    """Keys of the runs that are constant over a host's reference pages."""
+    return score + best[-1][-1]
+
+
+def _between_equal(x: list, y: list, out: set[int]) -> int:
+    """Long lists of children: the longest ascending chain of children that
+    are equal and occur once in either list is aligned, and what lies between
+    two of them in order."""
+    once = lambda cs: {k: i for k, i in ((c[1], i) for i, c in enumerate(cs)) if counts[k] == 1}
+    counts = Counter(c[1] for c in x)
+    left = once(x)
+    counts = Counter(c[1] for c in y)
+    right = once(y)
+    pairs = sorted((i, right[k]) for k, i in left.items() if k in right)
+    tails: list[int] = []
+    chain: list[tuple[int, int | None]] = []
+    for n, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j, key=lambda m: pairs[m][1])
+        chain.append((n, tails[at - 1] if at else None))
+        tails[at : at + 1] = [n]
+    picked, n = [], tails[-1] if tails else None
+    while n is not None:
+        picked.append(pairs[n])
+        n = chain[n][1]
+    score, i, j = 0, 0, 0
+    for a, b in [*reversed(picked), (len(x), len(y))]:
+        for c, d in zip(x[i:a], y[j:b]):
+            score += same_runs(c, d, out)
+        if a < len(x):
+            score += same_runs(x[a], y[b], out)
+        i, j = a + 1, b + 1
+    return score
+
+
+def container(trees: list[list], constant: set[int]) -> str:
+    """Path of the element that holds nearly all unmarked text that varies:
+    from the root down, as long as one path does and has children of its own."""
+    volume: Counter = Counter()
+    inner: Counter = Counter()
+    kids: dict[str, set[str]] = {}
+    for tree in trees:
+        todo = [(tree, ())]
+        while todo:
+            t, above = todo.pop()
+            if t[0] == "#":
+                if t[1] not in constant:
+                    for path in above:
+                        volume[path] += t[3]
+                continue
+            below = (*above, t[0]) if t[0] not in above else above
+            for c in t[2]:
+                if c[0] != "#":
+                    kids.setdefault(t[0], set()).add(c[0])
+                    inner[t[0]] += 1
+                todo.append((c, below))
+    here = ""
+    while True:
+        down = [k for k in kids.get(here, ()) if k != here and volume[k] >= HELD * volume[here] > 0 and inner[k] > 1]
+        if not down:
+            return here
+        here = max(down, key=lambda k: (volume[k], k))
+
+
+def induce(skeletons: list[str]) -> tuple[list[int], str]:
+    """Keys of the runs that are constant over a layout's reference pages, and
+    the container of those that vary; ([], "") where pages are too few."""
     trees = different([json.loads(s) for s in sorted(set(skeletons))])
-    if len(trees) < 3:
-        return []
-    agree: dict[tuple[int, int], int] = {}
+    if len(trees) < 2:
+        return [], ""
+    agree: Counter = Counter()
     for i in range(len(trees)):
         for j in range(i):
-            same = {a for a, b in match(trees[i], trees[j])[1] if a == b}
-            for a in same:
-                agree[i, a] = agree.get((i, a), 0) + 1
-                agree[j, a] = agree.get((j, a), 0) + 1
-    need = max(2, len(trees) // 2)
-    return sorted({a for (_, a), n in agree.items() if n >= need})
+            same: set[int] = set()
+            same_runs(trees[i], trees[j], same)
+            agree.update((k, a) for a in same for k in (i, j))
+    need = max(min(2, len(trees) - 1), len(trees) // 2)
+    constant = {a for (_, a), n in agree.items() if n >= need}
+    if len(trees) == 2:  # a copy or a template: half of either must vary
+        for t in trees:
+            sizes = lengths(t)
+            if 2 * sum(n for k, n in sizes.items() if k in constant) > sum(sizes.values()):
+                return [], ""
+    return sorted(constant), container(trees, constant)
+
+
+def lengths(tree: list) -> dict[int, int]:
+    out, todo = {}, [tree]
+    while todo:
+        t = todo.pop()
+        if t[0] == "#":
+            out[t[1]] = t[3]
+        else:
+            todo += t[2]
+    return out
 
 
 # ---------------------------------------------------------------- extraction
 
 
-def extract(page: str, template=frozenset()) -> str:
-    found = [(p, r) for p, r in runs(parse(page)) if not template or key(p, r.text) not in template]
-    inside = [r for _, r in found if r.article]
+def extract(page: str, templates: dict | None = None) -> tuple[str, str]:
+    """(main text, what decided it: template, article or runs); templates:
+    outline -> (constant keys, container)."""
+    root = parse(page)
+    found = runs(root)
+    constant, inside = (templates or {}).get(outline(root), ((), ""))
+    decided = "runs"
+    kept = [(p, r) for p, r in found if not constant or key(p, r.text) not in constant]
+    by_template = len(kept) < len(found)
+    kept = [(p, r) for p, r in kept if not r.marked]
     if inside:
-        return "\n\n".join(r.text for r in inside)
-    return "\n\n".join(r.text for _, r in found if r.linked <= 0.6 * len(r.text))
+        own = [(p, r) for p, r in kept if p == inside or p.startswith(inside + "/")]
+        if own:
+            kept = [(p, r) for p, r in kept if p == inside or p.startswith(inside + "/") or p.rsplit("/", 1)[-1].split(".")[0] == "h1"]
+            by_template = True
+    article = [r for _, r in kept if r.article]
+    # A page may be a list of which one short item is an article.
+    if article and 4 * sum(len(r.text) for r in article) >= sum(len(r.text) - r.linked for _, r in kept if not r.article):
+        kept, decided = [(p, r) for p, r in kept if r.article], "article"
+    elif not by_template or not inside:
+        kept = [(p, r) for p, r in kept if r.linked <= 0.6 * len(r.text)]
+    return "\n\n".join(r.text for _, r in kept), "template" if by_template else decided
 
 
 def host(url):
@@ -345,47 +500,58 @@ def host(url):
 
 
 def templates(pages: DataFrame, references: int = REFERENCES, html: str = "html", url: str = "url") -> DataFrame:
-    """host, template: the keys of the constant runs of each host that has
-    any."""
-    rows = pages.select(host(F.col(url)).alias("host"), C.text_of(html).alias("_text"))
+    """host, layout, constant (keys of the constant runs), container: of each
+    layout of a host that has a template."""
+    rows = pages.select(host(F.col(url)).alias("host"), C.text_of(html).alias("_text")).where("host <> ''")
 
     def skeletons(batch: pa.RecordBatch) -> dict:
-        out = [skeleton(parse(t)) for t in batch.column(1).to_pylist()]
-        return {"host": batch.column(0), "skeleton": out, "rank": [None if s is None else int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True) for s in out]}
+        trees = [parse(t) for t in batch.column(1).to_pylist()]
+        out = [skeleton(t) for t in trees]
+        return {"host": batch.column(0), "layout": [outline(t) for t in trees], "skeleton": out, "rank": [key("", s) for s in out]}
 
-    drawn = C.map_arrow(rows, skeletons, "host string, skeleton string, rank long", "_text").where("skeleton is not null and host <> ''")
-    slices = drawn.groupBy("host", F.pmod("rank", F.lit(references)).alias("slice")).agg(F.min_by("skeleton", "rank").alias("skeleton"))
+    drawn = C.map_arrow(rows, skeletons, "host string, layout long, skeleton string, rank long", "_text")
+    slices = drawn.groupBy("host", "layout", F.pmod("rank", F.lit(references)).alias("slice")).agg(F.min_by("skeleton", "rank").alias("skeleton"))
 
-    def per_host(table: pa.Table) -> pa.Table:
-        found = induce(table.column("skeleton").to_pylist())  # `references` rows at most
-        return pa.table({"host": table.column("host").slice(0, 1), "template": pa.array([found], pa.list_(pa.int64()))})
+    def per_layout(table: pa.Table) -> pa.Table:
+        constant, inside = induce(table.column("skeleton").to_pylist())  # `references` rows at most
+        return table.select(["host", "layout"]).slice(0, 1).append_column("constant", pa.array([constant], pa.list_(pa.int64()))).append_column("container", pa.array([inside], pa.string()))
 
-    return slices.groupBy("host").applyInArrow(per_host, "host string, template array<long>").where(F.size("template") > 0)
+    found = slices.groupBy("host", "layout").applyInArrow(per_layout, "host string, layout long, constant array<long>, container string")
+    return found.where("size(constant) > 0 or container <> ''")
 
 
 def main_text(pages: DataFrame, references: int = REFERENCES, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", url: str = "url") -> DataFrame:
-    """`keep` and text: the main text of each page."""
+    """`keep`, text and decided: the main text of each page and whether a
+    template, the article's mark or the runs alone decided it."""
     types = dict(pages.dtypes)
     found = C.staged(templates(pages, references, html, url), "templates")
     rows = pages.select(*keep, host(F.col(url)).alias("_host"), C.text_of(html).alias("_text"))
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["text string"])
-    size = found.agg(F.coalesce(F.sum(F.size("template") + 8), F.lit(0))).first()[0]
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["text string", "decided string"])
+    size = found.agg(F.coalesce(F.sum(F.size("constant") + 16), F.lit(0))).first()[0]
+    n = len(keep)
+
+    def done(batch: pa.RecordBatch, own) -> dict:
+        out = [extract(t, o) for t, o in zip(batch.column(n + 1).to_pylist(), own)]
+        return {k: batch.column(i) for i, k in enumerate(keep)} | {"text": [t for t, _ in out], "decided": [d for _, d in out]}
+
     if size <= BROADCAST_KEYS:
-        known = {r.host: frozenset(r.template) for r in found.collect()}
+        known: dict[str, dict] = {}
+        for r in found.collect():
+            known.setdefault(r.host, {})[r.layout] = frozenset(r.constant), r.container
+        return C.map_arrow(rows, lambda batch: done(batch, [known.get(h) for h in batch.column(n).to_pylist()]), schema, "_text")
 
-        def few(batch: pa.RecordBatch) -> dict:
-            hosts, texts = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
-            return {k: batch.column(i) for i, k in enumerate(keep)} | {"text": [extract(t, known.get(h, ())) for h, t in zip(hosts, texts)]}
+    def with_layout(batch: pa.RecordBatch) -> dict:
+        return dict(zip(batch.schema.names, batch.columns)) | {"_layout": [outline(parse(t)) for t in batch.column(n + 1).to_pylist()]}
 
-        return C.map_arrow(rows, few, schema, "_text")
-    salted = found.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))).withColumnRenamed("host", "_host")
-    joined = rows.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left").select(*keep, "template", "_text")
+    salted = found.select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), F.struct("constant", "container").alias("_template"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+    full = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["_host string, _text string, _layout long"])
+    dealt = C.map_arrow(rows, with_layout, full, "_text").withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(salted, ["_host", "_layout", "_salt"], "left").select(*keep, F.when(F.col("_template").isNotNull(), F.struct("_layout", "_template.constant", "_template.container")).alias("_own"), "_text")
 
-    def many(batch: pa.RecordBatch) -> dict:
-        own, texts = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
-        return {k: batch.column(i) for i, k in enumerate(keep)} | {"text": [extract(t, frozenset(o or ())) for o, t in zip(own, texts)]}
+    def with_own(batch: pa.RecordBatch) -> dict:
+        return done(batch, [o and {o["_layout"]: (frozenset(o["constant"]), o["container"])} for o in batch.column(n).to_pylist()])
 
-    return C.map_arrow(joined, many, schema, "_text")
+    return C.map_arrow(joined, with_own, schema, "_text")
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
