@@ -12,10 +12,12 @@ nothing else and are remembered. They come from one dynamic program over the
 segment: the encoding of its first i code points ends in the one piece t for
 which (last piece of the first i - |t| code points, t) is a pair that the
 model keeps apart, since merges are local: a sequence of pieces is an encoding
-where each two neighbours are one. Pairs are remembered. The table of c at all
-segment ends, together with the inner counts of one segment, answers "how many
-tokens has this prefix" and "how much of the text fits into a budget" by
-look-up, without encoding the text again.
+where each two neighbours are one. The library is asked about pairs only, once
+for each; all counts, those of whole texts as well, are cells of these tables.
+The table of c at all segment ends, together with the inner counts of one
+segment, answers "how many tokens has this prefix" and "how much of the text
+fits into a budget" by look-up, without encoding the text again. A segment
+costs time in proportion to its length, however long it is.
 
 Defined cases: a null or empty text has no tokens; runs of blanks, control
 characters and very long words are segments like any other; equal rows get
@@ -42,17 +44,21 @@ BLANK = "▁"
 _SEGMENT = re.compile(" +[^ ]*")
 
 
-class _Counts(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+class _Inner(dict):
+    """Segment without its first blank -> tokens of each of the segment's
+    prefixes, as bytes while they fit."""
 
-    def __missing__(self, segment: str) -> int:
-        # The library adds one blank before what it encodes: the segment's own.
-        n = len(self.encode(segment[1:])) if len(segment) > 1 else 1
-        if len(self) < CACHE and len(segment) < 64:
-            self[segment] = n
-        return n
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, rest: str):
+        counts = self.count(" " + rest)
+        if len(rest) < 64:
+            counts = bytes(counts) if max(counts) < 256 else tuple(counts)
+            if len(self) < CACHE:
+                self[rest] = counts
+        return counts
 
 
 class PrefixCounter:
@@ -62,25 +68,25 @@ class PrefixCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self._counts = _Counts(lambda s: self.model.encode(s, num_threads=1) if s else [0])
-        self._words = _Words(self._counts)
+        self._known = _Inner(self._count)
         pieces = [(self.model.id_to_piece(i), i) for i in range(self.model.get_piece_size()) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
         self._pieces = dict(pieces)
-        self._longest = max(map(len, self._pieces))
+        self._ends = _Ends(self._pieces)
         self._apart: dict[tuple[str, str], bool] = {}
-        self._inner: tuple[str, list[int]] = ("", [0])
+        self._long: tuple[str, list[int]] = ("", [0])
 
     def segments(self, text: str) -> list[str]:
         return _SEGMENT.findall(" " + text.replace(BLANK, " ")) if text else []
 
     def counts(self, text: str) -> list[int]:
-        """Tokens of each segment."""
+        """Tokens of each segment: the last cell of its own table."""
         if not text:
             return []
         plain = text.replace(BLANK, " ") if BLANK in text else text
+        known = self._known
         if plain[0] == " " or plain[-1] == " " or "  " in plain:
-            return list(map(self._counts.__getitem__, _SEGMENT.findall(" " + plain)))
-        return list(map(self._words.__getitem__, plain.split(" ")))
+            return [known[s[1:]][-1] for s in _SEGMENT.findall(" " + plain)]
+        return [c[-1] for c in map(known.__getitem__, plain.split(" "))]
 
     def _kept_apart(self, a: str, b: str) -> bool:
         """Whether the encoding of a + b is these two pieces."""
@@ -114,22 +120,35 @@ class PrefixCounter:
                 at, i = at + len(piece), i + 1
         return out
 
-    def inner(self, segment: str) -> list[int]:
+    def inner(self, segment: str):
         """Tokens of each prefix of a segment."""
+        if len(segment) <= 64:
+            return self._known[segment[1:]]
+        if self._long[0] != segment:
+            self._long = segment, self._count(segment)
+        return self._long[1]
+
+    def _count(self, segment: str) -> list[int]:
         s = segment.replace(" ", BLANK)
-        if self._inner[0] == s:
-            return self._inner[1]
+        pieces, apart, ends = self._pieces, self._apart, self._ends
         counts, last = [0], [""]
         for i in range(1, len(s) + 1):
-            for n in range(min(i, self._longest), 0, -1):
+            for n in ends[s[max(0, i - 2) : i]]:  # lengths of pieces that end so
+                if n > i:
+                    continue
                 t = s[i - n : i]
-                if (n == 1 or t in self._pieces) and (i == n or self._kept_apart(last[i - n], t)):
-                    break
-            else:
-                raise ValueError("a prefix without an encoding")
-            counts.append(counts[i - n] + (1 if t in self._pieces else len(t.encode("utf-8", "surrogatepass"))))
+                if t in pieces:
+                    if i == n:
+                        break
+                    known = apart.get((last[i - n], t))
+                    if known or known is None and self._kept_apart(last[i - n], t):
+                        break
+            else:  # bytes, which nothing merges with
+                n, t = 1, s[i - 1]
+                if t in pieces:
+                    raise ValueError("a prefix without an encoding")
+            counts.append(counts[i - n] + (1 if t in pieces else len(t.encode("utf-8", "surrogatepass"))))
             last.append(t)
-        self._inner = s, counts
         return counts
 
     def table(self, text: str) -> tuple[list[int], list[int]]:
@@ -176,18 +195,24 @@ class PrefixCounter:
         return out
 
 
-class _Words(dict):
-    """The usual case: a word after a single blank."""
+class _Ends(dict):
+    """The last two characters (or the only one) -> lengths of the pieces that
+    end so, longest first."""
 
-    def __init__(self, counts: _Counts):
+    def __init__(self, pieces):
         super().__init__()
-        self.counts = counts
-
-    def __missing__(self, word: str) -> int:
-        n = len(self.counts.encode(word)) if word else 1
-        if len(self) < CACHE and len(word) < 64:
-            self[word] = n
-        return n
+        lengths: dict[str, set[int]] = {}
+        for t in pieces:
+            lengths.setdefault(t[-2:], set()).add(len(t))
+        self.one = {t for t in pieces if len(t) == 1}
+        for end, own in lengths.items():
+            self[end] = tuple(sorted(own | ({1} if end[-1] in self.one else set()), reverse=True))
+
+    def __missing__(self, end: str):
+        found = (1,) if end[-1] in self.one else ()
+        if len(self) < CACHE:
+            self[end] = found
+        return found
 
 
 _counters: dict[str, PrefixCounter] = {}
