@@ -7,12 +7,14 @@ without replacement in proportion to their weights by adding Gumbel noise,
 seeded by document, and taking the k greatest keys. By default k is the number
 of documents that the target model explains at least as well as the raw one.
 
-The n-grams (one to three) run over word shapes, not words: the letter case,
-digits and punctuation of a word, and whether it repeats the word before it.
-Prose in any language has few shapes; menus, shouting, symbol noise and
-stuttering have others. Per bucket the ratio is (t + s) / (e + s), where t is
-the target count, e what the raw model expects of it and s a prior, so that
-shapes seen a few times count for little either way.
+The n-grams are words and pairs of words, lower-cased, and one to three word
+shapes in a row: the letter case, digits and punctuation of a word, and whether
+it repeats the word before it. Words tell what a text is about; prose in any
+language has few shapes, while menus, shouting, symbol noise and stuttering
+have others. Per bucket the ratio is (t + s) / (e + s), where t is the target
+count, e what the raw model expects of it and s a prior, so that n-grams seen a
+few times (also those that only the document itself has) count for little
+either way.
 
 The raw model counts all rows. The target model counts the labelled good
 documents among at most `most_labels` labelled rows, those with the smallest
@@ -41,20 +43,21 @@ from . import _words as words
 
 BUCKETS = 1 << 15
 MOST_LABELS = 50_000
-PRIOR = 20.0
+PRIOR = 200.0
 SEED = 7_919
 
 
 def ngrams(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of the shape n-grams of each text."""
+    """(bucket, text) of the word and shape n-grams of each text."""
     w = words.split(texts)
-    shape, name = w.shapes(), w.hashes(lower=False)
+    shape, name, word = w.shapes(), w.hashes(lower=False), w.hashes()
     if not len(shape):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     same = np.zeros(len(name), np.uint64)
     same[1:] = (name[1:] == name[:-1]) & (w.doc[1:] == w.doc[:-1])
     own = words.mix(shape + same)
     found = [(own, w.doc), words.ngrams(own, w.doc, 2), words.ngrams(own, w.doc, 3)]
+    found += [(words.mix(word + np.uint64(1)), w.doc), words.ngrams(word, w.doc, 2)]
     return (np.concatenate([f[0] for f in found]) % np.uint64(buckets)).astype(np.int64), np.concatenate([f[1] for f in found])
 
 
@@ -149,11 +152,11 @@ def kth_greatest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int
     return low
 
 
-def resample(df: DataFrame, labels: DataFrame, k: int | None = None, most_labels: int = MOST_LABELS, seed: int = SEED, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, k: int | None = None, most_labels: int = MOST_LABELS, seed: int = SEED, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] | None = None, prior: float = PRIOR) -> DataFrame:
     """Fit, score and draw: `columns` of df (key alone by default), n_grams,
     log_weight, sample_key, kept."""
     C.small_batches(df.sparkSession)
-    ratio = fit(df, good_ids(labels, most_labels), key=key, text=text)
+    ratio = fit(df, good_ids(labels, most_labels), prior=prior, key=key, text=text)
     wide = df.select(*dict.fromkeys([*(columns or (key,)), key, text]))
     scored = scores(wide, ratio, seed, key, text)
     scored = C.staged(scored.select(*(columns or (key,)), "n_grams", "log_weight", "sample_key"), "quality-scores")
