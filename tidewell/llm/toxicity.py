@@ -9,10 +9,11 @@ weights of the hits, and the length of the text in words, go through a
 logistic curve.
 
 The lexicon is learned from labelled rows: words and word beginnings of
-`PREFIXES` letters whose smoothed log odds of occurring in toxic against other
-documents are high; of two nested terms the longer is kept only if it says
-more. Two-word phrases around a term that occur in clean documents only become
-exceptions. The curve is fitted on the same rows. Fitting uses at most
+`PREFIXES` letters, in at least LEAST_DOCS toxic documents, whose smoothed log
+odds of occurring in toxic against other documents are high (counted and
+compared in Spark; only terms that speak for toxicity come to the driver); of
+two nested terms the longer is kept only if it says more. Two-word phrases
+around a term that occur in clean documents only become exceptions. The curve is fitted on the same rows. Fitting uses at most
 `most_labels` labelled rows, those with the smallest hashes of their ids (of
 toxic rows and others apart); this documented sample is all that is bounded,
 every document is scored whole.
@@ -39,9 +40,9 @@ from . import _common as C
 
 PREFIXES = (4, 5, 6, 7)
 MOST_LABELS = 16_000
-MOST_TERMS = 5_000
 LEAST_DOCS = 4
 LEAST_WEIGHT = 3.0
+LEAST_CLEAN = 3  # clean documents' uses of an exception phrase
 SEED = 104_729
 
 # Letters of other scripts that look like Latin ones, and the
@@ -154,27 +155,20 @@ def learn(df: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, key:
     known = df.select(F.col(key).cast("long").alias("_id"), C.text_of(text).alias("_text")).join(F.broadcast(ids), "_id")
     known = C.staged(known.repartition("_id"), "toxicity-sample")
 
-    def count_toxic(batches):
+    def count_terms(batches):
         seen: Counter = Counter()
         for batch in C.sliced(batches, "_text"):
             for t in batch.column(0).to_pylist():
                 seen.update(terms(fold(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
-    toxic = known.where("_label = 1").select("_text").mapInArrow(count_toxic, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    toxic_counts = {r.term: r.n for r in toxic.orderBy(F.desc("n"), "term").limit(40 * MOST_TERMS).collect()}
-    wanted = frozenset(toxic_counts)
-
-    def count_clean(batches):
-        seen: Counter = Counter()
-        for batch in C.sliced(batches, "_text"):
-            for t in batch.column(0).to_pylist():
-                seen.update(terms(fold(t)) & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-
-    clean = known.where("_label = 0").select("_text").mapInArrow(count_clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    clean_counts = {r.term: r.n for r in clean.collect()}
-    weights = select_terms(toxic_counts, clean_counts, n[1], n[0])
+    toxic = known.where("_label = 1").select("_text").mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("toxic")).where(F.col("toxic") >= LEAST_DOCS)
+    clean = known.where("_label = 0").select("_text").mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("clean"))
+    odds = (F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))).alias("weight")
+    counted = toxic.join(clean, "term", "left").select("term", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
+    speaks = counted.select("term", "toxic", "clean", odds).where(F.col("weight") >= LEAST_WEIGHT - 1.0)
+    speaks = speaks.where(F.col("toxic") / n[1] > 4 * F.col("clean") / n[0])
+    weights = select_terms({r.term: r.weight for r in speaks.collect()})  # bounded by the sample
     first = Lexicon(weights)
 
     def contexts(batches):
@@ -194,7 +188,7 @@ def learn(df: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, key:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["phrase", "label", "n"])
 
     around = known.select("_text", "_label").mapInArrow(contexts, "phrase string, label int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    exceptions = tuple(r.phrase for r in around.where("toxic = 0 and clean >= 3").orderBy(F.desc("clean"), "phrase").limit(MOST_TERMS).collect())
+    exceptions = tuple(sorted(r.phrase for r in around.where("toxic = 0").where(F.col("clean") >= LEAST_CLEAN).select("phrase").collect()))
     lexicon = Lexicon(weights, exceptions)
 
     def measure(batch: pa.RecordBatch) -> dict:
@@ -206,21 +200,15 @@ def learn(df: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, key:
     return lexicon
 
 
-def select_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the terms that speak for toxicity, short terms first; a term
-    that begins with a kept one must say clearly more than that."""
-    odds = {}
-    for t, a in toxic.items():
-        b = clean.get(t, 0)
-        w = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        if w >= LEAST_WEIGHT - 1.0 and a >= LEAST_DOCS and a / n_toxic > 4 * b / n_clean:
-            odds[t] = w
+def select_terms(odds: dict[str, float]) -> dict[str, float]:
+    """The terms of the lexicon, short ones first: log odds of LEAST_WEIGHT or
+    more; a term that begins with a kept one must say clearly more than that."""
     kept: dict[str, float] = {}
     for t in sorted(odds, key=lambda t: (len(t.rstrip()), -len(t), t)):
         above = [kept[t[:k]] for k in range(2, len(t)) if t[:k] in kept]
         if odds[t] >= LEAST_WEIGHT and not (above and odds[t] < max(above) + 1.0):
             kept[t] = odds[t]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS])
+    return kept
 
 
 def fit_curve(points) -> tuple[float, float, float]:
