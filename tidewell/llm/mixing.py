@@ -9,15 +9,19 @@ order: with capacity S and u sent, every document is used floor(u / S) times,
 and those at the front of the order once more until the rest is spent; a
 document at the cut is taken when more than half of it fits.
 
-The place in a pattern's order where the rest is spent is found from the sums
-of hash buckets and a running sum inside one bucket, so that no task holds a
-pattern, however many rows it has; then each document compares its own place
-with that. Sources and patterns are few (the limits are checked); they are all
-that comes to the driver.
+The place in a pattern's order where the rest is spent is found level by level:
+sums of 2**BITS buckets by the leading bits of the seeded hash, then of the
+buckets inside the one where the rest ends, until that holds few rows. No task
+holds a pattern, however many rows it has, and no window more than one level;
+then each document compares its own place with what was found. Sources and
+patterns are few (the limits are checked); they are all that comes to the
+driver.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null
 source is a source of its own, ordered last; repeated rows are documents of
-their own that are taken alike; an empty table gives an empty table; other columns are ignored.
+their own that are taken alike, in the mix or not as one; an empty table gives
+an empty table; other columns stay, but a column of a result's name (size,
+source_size, target, copies, taken) is replaced by the result.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from . import _common as C
 MOST_SOURCES = 100_000
 MOST_PATTERNS = 100_000
 SEED = 20_240_601
-BUCKET_ROWS = 20_000
+BITS, BUCKET_ROWS = 10, 1_000
 
 
 def targets(sizes: dict, weights: list[float], share: float, most: float) -> dict:
@@ -122,19 +126,36 @@ def route(capacity: dict[tuple, int], quota: dict, uses: int = 2) -> dict[tuple,
 
 
 def _placed(df: DataFrame, sources: str, text: str, key: str, seed: int) -> DataFrame:
-    """df with _p (the pattern as JSON: arrays with nulls cannot be joined),
-    _pattern, _size, and _at, the document's place in the seeded order."""
+    """_row (all columns of df), _p (the pattern as JSON: arrays with nulls
+    cannot be joined), _pattern, _size, and _at, the document's place in the
+    seeded order."""
     several = dict(df.dtypes)[sources].startswith("array")
     names = F.sort_array(F.array_distinct(F.col(sources)), asc=True) if several else F.array(F.col(sources))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(C.WORD)), F.lit(0)).cast("long")
-    out = df.withColumn("_pattern", names).withColumn("_p", F.to_json(F.struct("_pattern"))).withColumn("_size", size)
-    return out.withColumn("_at", F.struct(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1).alias("hash"), F.coalesce(F.col(key), F.lit(-(2**62))).alias("key"), F.col("_size").alias("size")))
+    # Rows of one key (or of none) are spread by their texts.
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 1)
+    at = F.struct(place.alias("hash"), F.coalesce(F.col(key), F.lit(-(2**62))).alias("key"), F.col("_size").alias("size"))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), names.alias("_pattern"), size.alias("_size"), F.col(key), F.col(text))
+    return out.select("_row", F.to_json(F.struct("_pattern")).alias("_p"), "_pattern", "_size", at.alias("_at"))
+
+
+def _leading(bits: int):
+    """The first bits of the (63-bit) hash of a place."""
+    return F.shiftright("_at.hash", 63 - bits) if bits else F.lit(0).cast("long")
+
+
+def _inside(rows: DataFrame, found: dict[str, tuple], rest: dict[str, int], bits: int) -> DataFrame:
+    """The rows of each pattern's bucket, with what lies before it."""
+    cuts = [(p, b, before, rest[p]) for p, (b, before, _) in found.items()]
+    cuts = rows.sparkSession.createDataFrame(cuts, "_p string, _bucket long, _before long, _rest long")  # a row a pattern
+    return rows.withColumn("_bucket", _leading(bits)).join(F.broadcast(cuts), ["_p", "_bucket"]).drop("_bucket")
 
 
 def mix(df: DataFrame, weights: list[float], share: float = 1.5, uses: int = 2, sources: str = "source", text: str = "text", key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """df with size, source_size and target (of the document's first source),
-    copies and taken. `sources` is a string column or an array of the sources
-    that a document belongs to. Only keys and sizes are shuffled."""
+    copies and taken in place of columns of these names. `sources` is a string
+    column or an array of the sources that a document belongs to. Only keys
+    and sizes are shuffled."""
     spark = df.sparkSession
     placed = _placed(df, sources, text, key, seed)
     rows = C.staged(placed.select("_p", "_pattern", "_size", "_at"), "mix-sizes")
@@ -154,28 +175,33 @@ def mix(df: DataFrame, weights: list[float], share: float = 1.5, uses: int = 2,
     for p, c in capacity.items():
         u = sum(sent[p].values())
         plan.append((name[p], u // c if c else 0, u % c if c else 0, sizes[p[0]] if p else 0, goal[p[0]] if p else 0.0))
-    plan_df = spark.createDataFrame(plan, "_p string, _base long, _rest long, source_size long, target double")
-
-    # Where each pattern's rest is spent: first by hash bucket, then inside it.
-    buckets = 1
-    while buckets * BUCKET_ROWS < max([1, *(r["n"] for r in by_pattern)]) and buckets < 1 << 24:
-        buckets *= 2
-    bucket = F.shiftright("_at.hash", 63 - (buckets.bit_length() - 1)) if buckets > 1 else F.lit(0).cast("long")
-    sums = rows.groupBy("_p", bucket.alias("_bucket")).agg(F.sum("_size").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy("_p").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cuts = sums.withColumn("_before", before).join(F.broadcast(plan_df.select("_p", "_rest")), "_p").where("_before < _rest and _before + _sum >= _rest").select("_p", "_bucket", "_before", "_rest")
-    near = rows.withColumn("_bucket", bucket).join(cuts, ["_p", "_bucket"])
-    running = F.coalesce(F.sum("_size").over(W.partitionBy("_p").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = near.withColumn("_middle", F.col("_before") + running + F.col("_size") / 2)
-    # The first place in the bucket that is not taken; none if all of it is.
-    ends = taken.groupBy("_p").agg(F.max("_bucket").alias("_bucket"), F.min(F.when(F.col("_middle") >= F.col("_rest"), F.col("_at"))).alias("_stop")).collect()  # a row a pattern
-    stop = {r["_p"]: (r["_bucket"], r["_stop"]) for r in ends}
+
+    # Where each pattern's rest is spent: the bucket, what lies before it, and
+    # its rows, one level of hash bits after the other.
+    found = {p: (0, 0, n["n"]) for (p, _, r, _, _), n in zip(plan, by_pattern) if r}
+    rest = {p: r for p, _, r, _, _ in plan}
+    bits = 0
+    while bits < 60 and max([0, *(n for _, _, n in found.values())]) > BUCKET_ROWS:
+        near = _inside(rows, found, rest, bits)
+        bits += BITS
+        sums = near.groupBy("_p", "_before", "_rest", _leading(bits).alias("_bucket")).agg(F.sum("_size").alias("_sum"), F.count("*").alias("n"))
+        order = W.partitionBy("_p").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # 2**BITS rows at most
+        sums = sums.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_sum").over(order), F.lit(0)))
+        cuts = sums.where("_start < _rest and _start + _sum >= _rest").select("_p", "_bucket", "_start", "n").collect()  # a row a pattern
+        found = {c["_p"]: (c["_bucket"], c["_start"], c["n"]) for c in cuts}
+    # Equal places are taken alike: the first that is not taken, none if all are.
+    near = _inside(rows, found, rest, bits).groupBy("_p", "_before", "_rest", "_at").agg(F.sum("_size").alias("_size"))
+    order = W.partitionBy("_p").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    middle = F.col("_before") + F.coalesce(F.sum("_size").over(order), F.lit(0)) + F.col("_size") / 2
+    ends = near.withColumn("_middle", middle).groupBy("_p").agg(F.min(F.when(F.col("_middle") >= F.col("_rest"), F.col("_at"))).alias("_stop")).collect()  # a row a pattern
+    stop = {r["_p"]: (found[r["_p"]][0], r["_stop"]) for r in ends}
     full = [(p, b, r, n, t, *stop.get(p, (None, None))) for p, b, r, n, t in plan]
-    schema = "_p string, _base long, _rest long, source_size long, target double, _cut long, _stop struct<hash: bigint, key: bigint, size: bigint>"
+    schema = "_p string, _base long, _rest long, _source_size long, _target double, _cut long, _stop struct<hash: bigint, key: bigint, size: bigint>"
     decided = placed.join(F.broadcast(spark.createDataFrame(full, schema)), "_p")  # MOST_PATTERNS rows at most
-    again = (F.col("_rest") > 0) & F.when(F.col("_stop").isNotNull(), F.col("_at") < F.col("_stop")).otherwise(bucket <= F.col("_cut"))
+    again = (F.col("_rest") > 0) & F.when(F.col("_stop").isNotNull(), F.col("_at") < F.col("_stop")).otherwise(_leading(bits) <= F.col("_cut"))
     copies = F.when(F.col("_size") == 0, 0).otherwise(F.least(F.col("_base") + F.when(again, 1).otherwise(0), F.lit(uses))).cast("int")
-    return decided.select(*df.columns, F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))
+    others = [F.col(f"_row.`{c}`") for c in df.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    return decided.select(*others, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
