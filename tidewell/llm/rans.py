@@ -11,7 +11,7 @@ reader can start. Blocks are the unit of parallel decoding: a reader needs the
 table and one block.
 
 Steps: (1) tokenise where the rows are and stage the ids, 16 bits each where
-the vocabulary allows; (2) count; (3) range-partition the ids by doc_id, sort,
+the vocabulary allows, with each task's counts of them; (2) sum the counts; (3) range-partition the ids by doc_id, sort,
 code and write the files, staging one index row per block; (4) decode block by
 block. Nothing but the table (bounded by the vocabulary) and the totals of the
 files (one number each) comes to the driver.
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
+from ._words import split
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)  # states stay in [LOW, LOW << 32)
@@ -178,9 +179,23 @@ def decode_block(data: bytes, table: Table, start: int = 0, end: int | None = No
 # ------------------------------------------------------------ tokenisation
 
 
+#: Fixed value: the pre-tokeniser whose letters end where other signs begin.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: ASCII that begins another pre-token after a letter (an apostrophe may not).
+_SIGN = ~_LETTER & (np.arange(256) < 128) & (np.arange(256) > 32) & (np.arange(256) != 39)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 class WordIds(dict):
     """Runs of non-blanks -> their ids. The library drops white space, so the
-    ids of a text are those of its runs."""
+    ids of a text are those of its runs; where its pre-tokeniser keeps letters
+    apart, runs are cut after a letter before another ASCII sign, and runs of
+    ASCII are lower-cased as its normaliser does (nothing combines across such
+    a cut). A batch's runs are dictionary-encoded as a column, each distinct
+    one is looked up once, and the ids are gathered by array operations."""
 
     def __init__(self, tokenizer_file: str):
         super().__init__()
@@ -191,23 +206,83 @@ class WordIds(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.type = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def encode_all(self, texts: list[bytes], end_id: int | None) -> list[bytes]:
-        split = [t.split() for t in texts]
-        wanted = set().union(*split).difference(self) if split else set()
+        parts = json.loads(self.library.to_str())
+        first = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.added = [t["content"].encode() for t in parts.get("added_tokens", [])]
+        self.apart = first.get("pattern") == {"Regex": LETTERS_APART}
+        self.lower = self.apart and [x["type"] for x in (parts.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+
+    def specials(self, plain: np.ndarray) -> list[int]:
+        """Where the strings of added tokens begin."""
+        data, out = plain.tobytes(), []
+        for s in self.added:
+            at = data.find(s)
+            while at >= 0:
+                out.append(at)
+                at = data.find(s, at + 1)
+        return out
+
+    def of_runs(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of distinct runs, as bytes."""
+        wanted = [r for r in runs if r not in self]
         extra = {}
         if wanted:
-            runs = list(wanted)
-            coded = self.library.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
-            extra = {r: np.array(e.ids, self.type).tobytes() for r, e in zip(runs, coded)}
-            for r, ids in extra.items():
-                if len(self) >= CACHE:
-                    break
-                if len(r) < 48:
-                    self[r] = ids
-        end = np.array([] if end_id is None else [end_id], self.type).tobytes()
+            coded = self.library.encode_batch_fast([r.decode() for r in wanted], add_special_tokens=False)
+            extra = {r: np.array(e.ids, self.type).tobytes() for r, e in zip(wanted, coded)}
+            room = CACHE - len(self)
+            if room > 0:
+                self.update((r, ids) for r, ids in list(extra.items())[:room] if len(r) < 48)
         get = self.get
-        return [b"".join([get(r) or extra.get(r, b"") for r in runs]) + end for runs in split]
+        return [get(r) or extra.get(r, b"") for r in runs]
+
+    def encode_all(self, texts: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, the number of each text's)."""
+        w = split(texts)
+        inside = np.zeros(len(w.bytes) + 1, np.int8)
+        inside[w.starts], inside[w.ends] = 1, -1
+        plain = w.bytes[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        begins = np.zeros(len(plain) + 1, bool)
+        begins[np.cumsum(w.ends - w.starts)] = True
+        begins[0] = True
+        doc, whole = w.doc, []
+        if self.apart:
+            cut = np.zeros(len(begins), bool)
+            cut[1:-1] = _LETTER[plain[:-1]] & _SIGN[plain[1:]]
+            cut &= ~begins
+            for at in self.specials(plain):  # no cuts in a run with an added token
+                stop = at + 1 + int(np.argmax(begins[at + 1 :]))
+                start = at - int(np.argmax(begins[at::-1]))
+                cut[start:stop] = False
+                whole.append(start)
+            own = np.cumsum(begins)[cut] - 1  # the run that a cut is in
+            begins |= cut
+            doc = np.repeat(doc, 1 + np.bincount(own, minlength=len(doc)))
+        offsets = np.flatnonzero(begins) if len(plain) else np.zeros(1, np.int64)
+        sizes = np.diff(offsets)
+        if self.lower and len(sizes):
+            ascii_ = np.maximum.reduceat(plain, offsets[:-1]) < 128
+            ascii_[np.searchsorted(offsets, whole)] = False
+            plain = np.where(np.repeat(ascii_, sizes), _LOWER[plain], plain)
+        column = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(plain)]).dictionary_encode()
+        coded = self.of_runs(column.dictionary.to_pylist())
+        width = np.dtype(self.type).itemsize
+        flat = np.frombuffer(b"".join(coded), self.type)
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // width
+        first = np.cumsum(lengths) - lengths
+        run = column.indices.to_numpy()
+        own = lengths[run]
+        before = np.cumsum(own) - own
+        ids = flat[np.repeat(first[run] - before, own) + np.arange(int(own.sum()))]
+        counts = np.bincount(doc, own, len(texts)).astype(np.int64)
+        if end_id is None:
+            return ids, counts
+        out = np.empty(len(ids) + len(texts), self.type)
+        ends = np.cumsum(counts + 1) - 1
+        word = np.ones(len(out), bool)
+        word[ends] = False
+        out[ends] = end_id
+        out[word] = ids
+        return out, counts + 1
 
 
 _words: dict[str, WordIds] = {}
@@ -221,13 +296,33 @@ def words(tokenizer_file: str) -> WordIds:
 
 def token_ids(df: DataFrame, tokenizer_file: str, end_id: int | None = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and ids: binary, little-endian, 16 bits each (32 for a vocabulary of
-    over 65,536)."""
-    rows = df.select(key, C.text_of(text).cast("binary").alias("_text"))
+    over 65,536). Each task adds one row without ids that has its counts of
+    each id (_seen: pairs of 64-bit integers)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    def one(batch: pa.RecordBatch) -> dict:
-        return {key: batch.column(0), "ids": words(tokenizer_file).encode_all(batch.column(1).to_pylist(), end_id)}
+    rows = df.select(key, C.text_of(text).cast("binary").alias("_text"))
+    schema = f"`{key}` {dict(df.dtypes)[key]}, ids binary, _seen binary"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    C.small_batches(df.sparkSession)
 
-    return C.map_arrow(rows, one, f"`{key}` {dict(df.dtypes)[key]}, ids binary", "_text")
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in C.sliced(batches, "_text"):
+            known = words(tokenizer_file)
+            ids, counts = known.encode_all(batch.column(1).to_pylist(), end_id)
+            seen = np.bincount(ids, minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            offsets = np.zeros(len(counts) + 1, np.int32)
+            offsets[1:] = np.cumsum(counts * ids.itemsize)
+            column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.nulls(len(counts), pa.binary())], schema=arrow)
+        found = np.flatnonzero(total)
+        pairs = np.stack([found, total[found]], axis=1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow[0].type), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def id_type(tokenizer_file: str) -> str:
@@ -237,22 +332,17 @@ def id_type(tokenizer_file: str) -> str:
 # ------------------------------------------------------------ files
 
 
-def count_ids(ids: DataFrame, kind: str, most: int = 1 << 20) -> np.ndarray:
-    """Occurrences of each id over all rows: counted in each task, then summed.
-    The result is as long as the vocabulary."""
+def count_ids(ids: DataFrame, most: int = 1 << 20) -> np.ndarray:
+    """Occurrences of each id over all rows, from the tasks' own counts. The
+    result is as long as the vocabulary."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                x = np.bincount(np.frombuffer(b, kind))
-                if len(x) > len(total):
-                    total = np.concatenate([total, np.zeros(len(x) - len(total), np.int64)])
-                total[: len(x)] += x
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    found = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+                pairs = np.frombuffer(b, "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["id", "n"])
+
+    found = ids.where("_seen is not null").select("_seen").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max([0, *(r.id + 1 for r in found)]), np.int64)
     if len(out) > most:
         raise ValueError("not a vocabulary")
@@ -262,10 +352,11 @@ def count_ids(ids: DataFrame, kind: str, most: int = 1 << 20) -> np.ndarray:
 
 
 def write(ids: DataFrame, kind: str, folder: str, key: str = "doc_id", parts: int | None = None) -> DataFrame:
-    """Code ids into files under `folder` in ascending key order; the index:
-    part, block, file, offset, length, first (ids of the part before the
+    """Code the rows of token_ids into files under `folder` in ascending key
+    order; the index: part, block, file, offset, length, first (ids of the part before the
     block), n_ids, keys, sizes."""
-    table = Table.of_counts(count_ids(ids, kind))
+    table = Table.of_counts(count_ids(ids))
+    ids = ids.where("ids is not null")
     fs, root = C.filesystem(folder)
     fs.create_dir(root, recursive=True)
     C.write_once(fs, f"{root}/table.bin", table.to_bytes())
@@ -369,4 +460,5 @@ def op4_token_output(spark, sf_dir: str) -> DataFrame:
     folder = C.new_path(spark, "rans")
     ids = C.staged(token_ids(docs, file, end_id=2), "token-ids")
     index = write(ids, id_type(file), folder)
+    C.free(ids)
     return read(index, folder, each=lambda x: (zlib.crc32(x.astype("<u4").tobytes()),), schema="ids_crc32 long")
