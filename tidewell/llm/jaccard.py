@@ -33,9 +33,10 @@ Jaccard distance is a metric, so only blocks whose distances are within
 products and emits trees of links, never pairs. No link is lost, and a group
 of thousands of copies costs about one comparison for each.
 
-A pivot with many partners is no hot key: its partners are dealt into shares
-by hash, each with a copy of the pivot's text, and its blocks come from counts
-(aggregated with partial results), not from a window over the pivot.
+A pivot with many partners is no hot key: its partners are dealt into SHARES by
+hash, each with a copy of the pivot's text where it has any, and its blocks
+come from counts (aggregated with partial results), not from a window over the
+pivot. Joins on the pivot read staged tables, so that skewed ones are split.
 
 Joins with texts are merge joins at every size: ids of candidates are no small
 side at full size, and the plan should not depend on a threshold.
@@ -70,7 +71,7 @@ BATCH = 2 << 20
 SMALL_BOUND = 24
 SPARE = 4  # one group in so many is spare
 SEEN = 200_000  # names of sets that a task remembers, to sign copies once
-SHARE = 2_000  # partners of a pivot that one task compares with it
+SHARES = 64  # parts of a pivot's partners, each with the pivot's text
 BLOCK = 1024
 BINS = 64  # distances to a pivot that tell blocks apart
 
@@ -251,9 +252,8 @@ def _shares(n, most: int, member: str):
 def compare(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """x, p, d (Jaccard distance), linked, for pairs of ids; texts: _id, _text.
     The texts of a share of a pivot's partners stream past it."""
-    counts = pairs.groupBy("p").agg(F.count("*").alias("_n"))
-    partners = pairs.join(counts, "p").select(F.col("x").alias("_id"), "p", _shares(F.col("_n"), SHARE, "x").alias("s"))
-    pivots = counts.select(F.col("p").alias("_id"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / SHARE) - 1)).alias("s"))
+    partners = pairs.select(F.col("x").alias("_id"), "p", F.pmod(F.xxhash64("x"), F.lit(SHARES)).alias("s"))
+    pivots = partners.select(F.col("p").alias("_id"), "p", "s").distinct()
     rows = texts.join(partners.union(pivots).hint("merge"), "_id").select("_id", "_text", "p", "s")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "p", "s").sortWithinPartitions("p", "s", F.col("_id") != F.col("p"))
@@ -343,10 +343,11 @@ def around_pivots(star: DataFrame, labels: DataFrame, texts: DataFrame, n: int,
     Partners that are one component already are left alone."""
     near = _labelled(star.select("p", "x", "d"), "x", labels, "c")
     mixed = near.groupBy("p").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count("*").alias("_n")).where("_low <> _high").select("p", "_n")
+    mixed = C.staged(mixed, "mixed-pivots")
     binned = C.staged(near.join(mixed, "p").select("p", "x", "d", F.when(F.col("_n") <= BLOCK, 0).otherwise(F.floor(F.col("d") * BINS)).cast("long").alias("bin")), "binned")
-    counts = binned.groupBy("p", "bin").agg(F.count("*").alias("_n"))
+    counts = C.staged(binned.groupBy("p", "bin").agg(F.count("*").alias("_n")), "bins")
     near = C.staged(binned.join(counts, ["p", "bin"]).select("p", "x", "d", (F.col("bin") * F.lit(1 << 40) + _shares(F.col("_n"), BLOCK, "x")).alias("k")), "around")
-    C.free(binned)
+    C.free(binned, mixed, counts)
     margin = 1.0 - num / den + 1e-9
     blocks = near.groupBy("p", "k").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     other = blocks.select("p", F.col("k").alias("j"), F.col("low").alias("_low"))
