@@ -11,7 +11,8 @@ from .text import joined, largest_amount, nz, strip
 
 
 def relevance(event_type: Column, n_regions: Column, industry: Column, company: Column) -> Column:
-    base = F.when(event_type == "cfo_hire", 40).when(event_type == "executive_hire", 30).when(event_type == "merger_acquisition", 35).when(event_type == "funding", 25).otherwise(10)
+    by_type = V.mapping({"cfo_hire": 40, "executive_hire": 30, "merger_acquisition": 35, "funding": 25})
+    base = F.coalesce(F.try_element_at(by_type, event_type), F.lit(10))
     extra = F.when(industry, 20).otherwise(0) + F.when(company, 50).otherwise(0)
     return F.least(base + F.least(n_regions * 15, F.lit(30)) + extra, F.lit(100)).cast("double")
 
@@ -45,16 +46,25 @@ def points(tags: Column, table: dict[str, int]) -> Column:
 
 def grade(tags: Column, conf: Column) -> Column:
     """struct<score, grade> of hashtags; low or no confidence caps at C."""
-    total = points(tags, V.HASHTAG_POINTS)
-    complexity = points(tags, V.COMPLEXITY)
-    intent = F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda h: h.isin(list(V.HIGH_INTENT)))
-    letter = (
-        F.when(F.coalesce(F.size(tags), F.lit(0)) <= 0, "D")
-        .when(intent, F.when(total >= 8, "A").when(total >= 5, "B").when(total >= 2, "C").otherwise("D"))
-        .otherwise(F.when(complexity >= 8, "B").when(total >= 2, "C").otherwise("D"))
+
+    def of(facts: Column) -> Column:
+        total, complexity = facts["score"], facts["complexity"]
+        letter = (
+            F.when(facts["n"] <= 0, "D")
+            .when(facts["intent"], F.when(total >= 8, "A").when(total >= 5, "B").when(total >= 2, "C").otherwise("D"))
+            .otherwise(F.when(complexity >= 8, "B").when(total >= 2, "C").otherwise("D"))
+        )
+        capped_ = lambda g: F.when(~facts["sure"] & g.isin("A", "B"), "C").otherwise(g)
+        return F.struct(total.alias("score"), V.once(letter, capped_).alias("grade"))
+
+    facts = lambda t: F.struct(
+        points(t, V.HASHTAG_POINTS).alias("score"),
+        points(t, V.COMPLEXITY).alias("complexity"),
+        F.arrays_overlap(t, V.words(V.HIGH_INTENT)).alias("intent"),
+        F.size(t).alias("n"),
+        F.coalesce(conf.isin("High", "Medium"), F.lit(False)).alias("sure"),
     )
-    sure = F.coalesce(conf.isin("High", "Medium"), F.lit(False))
-    return F.struct(total.alias("score"), F.when(~sure & letter.isin("A", "B"), "C").otherwise(letter).alias("grade"))
+    return V.once(V.once(F.coalesce(tags, F.array().cast("array<string>")), facts), of)
 
 
 def closed_tags(tags: Column, evidence: Column) -> Column:
@@ -85,46 +95,56 @@ def promotion_rank(letter: Column) -> Column:
 # ---------------------------------------------------------------- fit
 
 
-def territory_of(hq: Column) -> Column:
-    """in, out or unknown, of a headquarters text."""
-    h = strip(nz(hq))
-    tail = strip(F.element_at(F.split(h, ","), -1))
-    low = F.lower(h)
+def territory_rule(hq: Column, code: Column, name: Column, low: Column) -> Column:
+    """in, out or unknown, of a stripped headquarters text, its last part in
+    capitals and in small letters, and all of it in small letters."""
     return (
-        F.when(h == "", "unknown")
-        .when(F.upper(tail).isin(V.TERRITORY_CODES), "in")
-        .when(F.upper(tail).isin(V.ALL_CODES), "out")
-        .when(F.lower(tail).isin(V.TERRITORY_NAMES) | low.isin(V.TERRITORY_NAMES), "in")
+        F.when(hq == "", "unknown")
+        .when(code.isin(V.TERRITORY_CODES), "in")
+        .when(code.isin(V.ALL_CODES), "out")
+        .when(name.isin(V.TERRITORY_NAMES) | low.isin(V.TERRITORY_NAMES), "in")
         .when(V.holds_any(low, V.FOREIGN_MARKERS), "out")
         .otherwise("unknown")
     )
 
 
+def revenue_rule(segment: Column) -> Column:
+    return F.when(segment.isin(V.IN_BAND), "in").when(segment == "Enterprise", "out").otherwise("unknown")
+
+
+def vertical_rule(subindustry: Column) -> Column:
+    return F.when(subindustry.isin(list(V.SUBINDUSTRIES)), "in").when(F.upper(subindustry) == "OTHER", "out").otherwise("unknown")
+
+
+def verdict_rule(*facts: Column) -> Column:
+    return F.when(F.lit("out").isin(*facts), "fail").when(F.lit("unknown").isin(*facts), "unverified").otherwise("pass")
+
+
+def territory_of(hq: Column) -> Column:
+    """in, out or unknown, of a headquarters text."""
+    tail = lambda h: strip(F.element_at(F.split(h, ","), -1))
+    parts = lambda h: F.struct(h.alias("hq"), F.upper(tail(h)).alias("code"), F.lower(tail(h)).alias("name"), F.lower(h).alias("low"))
+    judged = lambda p: territory_rule(p["hq"], p["code"], p["name"], p["low"])
+    return V.once(V.once(strip(nz(hq)), parts), judged)
+
+
 def is_school_district(name: Column) -> Column:
     return V.holds_any(F.concat(F.lit(" "), F.lower(nz(name)), F.lit(" ")), V.SCHOOL_DISTRICTS)
 
 
 def company_fit(name: Column, hq: Column, revenue: Column, subindustry: Column) -> Column:
     """struct<verdict, territory, revenue, vertical, reasons> of a company."""
-    territory = territory_of(hq)
-    rev = strip(nz(revenue))
-    money = F.when(rev.isin(V.IN_BAND), "in").when(rev == "Enterprise", "out").otherwise("unknown")
-    zi = strip(nz(subindustry))
-    vertical = F.when(zi.isin(list(V.SUBINDUSTRIES)), "in").when(F.upper(zi) == "OTHER", "out").otherwise("unknown")
-    outs = F.array_compact(F.array(
-        F.when(territory == "out", F.concat(F.lit("HQ out of territory ("), nz(hq), F.lit(")"))),
-        F.when(money == "out", F.lit("revenue Enterprise (>$100M, out of band)")),
-        F.when(vertical == "out", F.lit("subindustry OTHER (not a target vertical)")),
-    ))
-    unknowns = F.array_compact(F.array(
-        F.when(territory == "unknown", F.lit("territory unverified")),
-        F.when(money == "unknown", F.lit("revenue unverified")),
-        F.when(vertical == "unknown", F.lit("vertical unverified")),
-    ))
-    verdict = F.when(F.size(outs) > 0, "fail").when(F.size(unknowns) == 0, "pass").otherwise("unverified")
     fields = lambda v, t, r, z, why: F.struct(v.alias("verdict"), t.alias("territory"), r.alias("revenue"), z.alias("vertical"), why.alias("reasons"))
+
+    def judged(f: Column) -> Column:
+        said = lambda value, t, r, z: F.array_compact(F.array(F.when(f["t"] == value, t), F.when(f["r"] == value, r), F.when(f["z"] == value, z)))
+        outs = said("out", F.concat(F.lit("HQ out of territory ("), nz(hq), F.lit(")")), F.lit("revenue Enterprise (>$100M, out of band)"), F.lit("subindustry OTHER (not a target vertical)"))
+        unknowns = said("unknown", F.lit("territory unverified"), F.lit("revenue unverified"), F.lit("vertical unverified"))
+        return fields(verdict_rule(f["t"], f["r"], f["z"]), f["t"], f["r"], f["z"], F.when(F.lit("out").isin(f["t"], f["r"], f["z"]), outs).otherwise(unknowns))
+
+    facts = F.struct(territory_of(hq).alias("t"), V.once(strip(nz(revenue)), revenue_rule).alias("r"), V.once(strip(nz(subindustry)), vertical_rule).alias("z"))
     district = fields(F.lit("fail"), F.lit("n/a"), F.lit("n/a"), F.lit("out"), F.array(F.lit("public school district (RFP procurement — dead end)")))
-    return F.when(is_school_district(name), district).otherwise(fields(verdict, territory, money, vertical, F.when(F.size(outs) > 0, outs).otherwise(unknowns)))
+    return F.when(is_school_district(name), district).otherwise(V.once(facts, judged))
 
 
 def with_fit(companies: Column) -> Column:
@@ -153,22 +173,42 @@ def account_position(companies: Column) -> Column:
     """Place of the event's account among fitted companies: passing, then
     unverified, then any workable role, by role and position; else the first."""
     tier = lambda c: F.when(c["fit"]["verdict"] == "pass", 0).when(c["fit"]["verdict"] == "unverified", 1).otherwise(2)
-    ranked = F.transform(companies, lambda c, i: F.when(role_rank(c["role"], V.WORKABLE_ROLES).isNotNull(), F.struct(tier(c).alias("tier"), role_rank(c["role"], V.WORKABLE_ROLES).alias("rank"), i.alias("at"))))
-    return F.coalesce(F.array_min(F.filter(ranked, lambda r: r.isNotNull()))["at"], F.lit(0))
+    ranked = F.transform(companies, lambda c, i: F.struct(tier(c).alias("tier"), role_rank(c["role"], V.WORKABLE_ROLES).alias("rank"), i.alias("at")))
+    return F.coalesce(F.array_min(F.filter(ranked, lambda r: r["rank"].isNotNull()))["at"], F.lit(0))
+
+
+def account_by_name(companies: Column, name: Column) -> Column:
+    """The company of the account's name, else the primary one."""
+    same = F.filter(companies, lambda c: F.lower(strip(nz(c["name"]))) == F.lower(strip(nz(name))))
+    return F.coalesce(F.get(same, 0), pick_primary(companies))
+
+
+def seeded_hq(company: Column, hq: Column, filer: Column, state: Column) -> Column:
+    """The headquarters, or the filer's state where the company is the filer
+    and has none."""
+    own = (F.lower(strip(nz(company))) == F.lower(strip(nz(filer)))) & (strip(nz(filer)) != "")
+    return F.when(own & (strip(nz(hq)) == ""), state).otherwise(hq)
 
 
 def event_fit(companies: Column) -> Column:
     """The event's fit from its fitted companies: it fails if every workable
     company fails, else it is the account's own."""
-    account = F.get(companies, account_position(companies))
-    workable = F.filter(companies, lambda c: role_rank(c["role"], V.WORKABLE_ROLES).isNotNull())
-    all_fail = (F.size(workable) > 0) & F.forall(workable, lambda c: c["fit"]["verdict"] == "fail")
-    reasons = F.when(all_fail, F.transform(workable, lambda c: F.concat(nz(c["name"]), F.lit(": "), F.array_join(c["fit"]["reasons"], "; ")))).otherwise(account["fit"]["reasons"])
     fields = lambda v, t, r, z, s, n, why: F.struct(v.alias("verdict"), t.alias("territory"), r.alias("revenue"), z.alias("vertical"), s.alias("zi_subindustry"), n.alias("primary_name"), n.alias("account_name"), why.alias("reasons"))
     none, unknown = F.lit(None).cast("string"), F.lit("unknown")
     nobody = fields(F.lit("unverified"), unknown, unknown, unknown, none, none, F.array(F.lit("no companies identified")))
-    own = fields(F.when(all_fail, "fail").otherwise(account["fit"]["verdict"]), account["fit"]["territory"], account["fit"]["revenue"], account["fit"]["vertical"], F.nullif(account["zi_subindustry"], F.lit("")), account["name"], reasons)
-    return F.when(F.coalesce(F.size(companies), F.lit(0)) <= 0, nobody).otherwise(own)
+
+    def among(all_: Column) -> Column:
+        workable = F.filter(all_, lambda c: role_rank(c["role"], V.WORKABLE_ROLES).isNotNull())
+        return V.once(F.struct(F.get(all_, account_position(all_)).alias("account"), workable.alias("workable")), judged)
+
+    def judged(p: Column) -> Column:
+        account, workable = p["account"], p["workable"]
+        all_fail = (F.size(workable) > 0) & F.forall(workable, lambda c: c["fit"]["verdict"] == "fail")
+        reasons = F.when(all_fail, F.transform(workable, lambda c: F.concat(nz(c["name"]), F.lit(": "), F.array_join(c["fit"]["reasons"], "; ")))).otherwise(account["fit"]["reasons"])
+        return fields(F.when(all_fail, "fail").otherwise(account["fit"]["verdict"]), account["fit"]["territory"], account["fit"]["revenue"], account["fit"]["vertical"], F.nullif(account["zi_subindustry"], F.lit("")), account["name"], reasons)
+
+    own = V.once(companies, among)
+    return F.coalesce(F.when(F.coalesce(F.size(companies), F.lit(0)) <= 0, nobody), own)
 
 
 def headline(companies: Column) -> Column:

@@ -4,7 +4,7 @@ its configuration (`tidewell.config`)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -247,3 +247,9 @@ def held(text: Column, values: Iterable[str]) -> Column:
 
 def first_held(text: Column, values: Iterable[str]) -> Column:
     return F.get(held(text, values), 0)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where `use` names the value several times: it is computed
+    once, as the only element of an array, and not copied into the plan."""
+    return F.get(F.transform(F.array(value), use), 0)

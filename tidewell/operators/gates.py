@@ -27,16 +27,16 @@ def excluded_location(text: Column, cfg: Config) -> Column:
 
 def dateline_places(text: Column, cfg: Config) -> Column:
     """City and state of the first dateline, as far as they are territory."""
-    first = T.first_dateline(text)
-    return F.array_compact(F.array(F.when(first["city"].isin(list(cfg.cities)), first["city"]), F.when(first["state"].isin(list(cfg.regions)), first["state"])))
+    places = lambda p: F.array_compact(F.array(F.when(p["city"].isin(list(cfg.cities)), p["city"]), F.when(p["state"].isin(list(cfg.regions)), p["state"])))
+    return V.once(T.first_dateline(text), places)
 
 
 def territory(text: Column, cfg: Config) -> Column:
     """Territory places of a text: none with an excluded location; those of the
     dateline if any; else all regions, then all cities that it contains."""
-    t = low(text)
-    own = dateline_places(text, cfg)
-    return F.when(excluded_location(text, cfg), F.array().cast("array<string>")).when(F.size(own) > 0, own).otherwise(F.concat(V.held(t, cfg.regions), V.held(t, cfg.cities)))
+    anywhere = lambda t: F.concat(V.held(t, cfg.regions), V.held(t, cfg.cities))
+    own = V.once(dateline_places(text, cfg), lambda p: F.when(F.size(p) > 0, p).otherwise(V.once(low(text), anywhere)))
+    return F.when(excluded_location(text, cfg), F.array().cast("array<string>")).otherwise(own)
 
 
 def any_dateline(text: Column, cfg: Config) -> Column:
@@ -90,6 +90,33 @@ def valid_companies(companies: Column, most: int = 5) -> Column:
     return F.slice(F.filter(companies, good), 1, most)
 
 
+def event_fits(df: DataFrame, key: str, companies: str = "companies") -> DataFrame:
+    """key and the parts of `scoring.event_fit` (verdict, territory, revenue,
+    vertical, account_name) for events with arrays of companies. Companies are
+    judged as rows, each once, and the account is the least by one order in one
+    aggregation."""
+    c = F.col("c")
+    rows = df.select(key, F.posexplode_outer(companies).alias("pos", "c"))
+    rows = rows.select(key, "pos", c["name"].alias("name"), c["role"].alias("role"), S.is_school_district(c["name"]).alias("_district"), strip(nz(c["hq"])).alias("_hq"), strip(nz(c["revenue"])).alias("_rev"), strip(nz(c["zi_subindustry"])).alias("_zi"))
+    rows = rows.withColumns({"_tail": strip(F.element_at(F.split("_hq", ","), -1)), "_rank": S.role_rank(F.col("role"), V.WORKABLE_ROLES)})
+    rows = rows.withColumns({"territory": S.territory_rule(F.col("_hq"), F.upper("_tail"), F.lower("_tail"), F.lower("_hq")), "revenue": S.revenue_rule(F.col("_rev")), "vertical": S.vertical_rule(F.col("_zi"))})
+    own = F.struct(S.verdict_rule(F.col("territory"), F.col("revenue"), F.col("vertical")).alias("verdict"), "territory", "revenue", "vertical")
+    district = F.struct(F.lit("fail").alias("verdict"), F.lit("n/a").alias("territory"), F.lit("n/a").alias("revenue"), F.lit("out").alias("vertical"))
+    rows = rows.select(key, "pos", "name", "_rank", F.when(F.col("_district"), district).otherwise(own).alias("fit"))
+    verdict = F.col("fit.verdict")
+    tier = F.when(verdict == "pass", 0).when(verdict == "unverified", 1).otherwise(2)
+    works = F.col("_rank").isNotNull()
+    order = F.struct((~works).alias("a"), F.when(works, tier).alias("b"), F.col("_rank").alias("c"), F.col("pos").alias("d"))
+    best = rows.groupBy(key).agg(F.min_by(F.struct("fit", "name", "pos"), order).alias("best"), F.count_if(works).alias("_works"), F.count_if(works & (verdict == "fail")).alias("_fail"))
+    nobody, unknown = F.col("best.pos").isNull(), F.lit("unknown")
+    return best.select(
+        key,
+        F.when(nobody, "unverified").when((F.col("_works") > 0) & (F.col("_works") == F.col("_fail")), "fail").otherwise(F.col("best.fit.verdict")).alias("verdict"),
+        *[F.when(nobody, unknown).otherwise(F.col(f"best.fit.{f}")).alias(f) for f in ("territory", "revenue", "vertical")],
+        F.col("best.name").alias("account_name"),
+    )
+
+
 def feed_gate(df: DataFrame, cfg: Config) -> DataFrame:
     """title, summary -> outcome of a feed entry: event_type, drop_reason (null
     if kept), matched_regions, company_name, person_*, keywords, description,

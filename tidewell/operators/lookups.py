@@ -29,6 +29,20 @@ def live(entries: DataFrame, as_of: Column) -> DataFrame:
     return entries.where(D.seconds_between(F.col("created_at"), as_of) <= F.col("ttl"))
 
 
+def expire(entries: DataFrame, as_of: Column, category: str | None = None) -> DataFrame:
+    """What a clean-up leaves: entries that live, and with a category nothing
+    of it (a cleared cache keeps the others')."""
+    left = live(entries, as_of)
+    return left if category is None else left.where(F.col("category") != category)
+
+
+def put_results(cache: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """The search cache after new answers (cache_key, results_json): an answer
+    replaces the entry of its key, an empty one writes nothing."""
+    full = results.where(~nz(F.col("results_json")).isin("", "[]", "null")).select("cache_key", "results_json", as_of.alias("cached_at"))
+    return full.unionByName(cache.join(full.select("cache_key"), "cache_key", "left_anti").select("cache_key", "results_json", "cached_at"))
+
+
 def cache_stats(entries: DataFrame, lookups: DataFrame, as_of: Column) -> DataFrame:
     """One row: entries, expired, bytes; and of lookups (hit) the hit rate."""
     old = D.seconds_between(F.col("created_at"), as_of) > F.col("ttl")

@@ -72,6 +72,28 @@ def work_queue(df: DataFrame, company: str, grade: str, score: str, found: str,
     return best.select("company_key", F.col("best.key").alias(key), F.col("best.grade_rank").alias("grade_rank"), (-F.col("best.minus_score")).alias("score"), F.col("best.found").alias(found), "others").orderBy("grade_rank", F.desc("score"), found, key).limit(most)
 
 
+def remaining(df: DataFrame, company: str, key: str, most: int = 10) -> DataFrame:
+    """One row: how many companies the queue's first `most` leave out."""
+    name = F.lower(strip(nz(F.col(company))))
+    who = F.when(name.isin("", "unknown company"), F.concat(F.lit("__solo_"), F.col(key).cast("string"))).otherwise(name)
+    return df.select(who.alias("c")).distinct().agg(F.greatest(F.count("*") - most, F.lit(0)).alias("remaining"))
+
+
+def page(df: DataFrame, ts: str, key: str, size: int, after: tuple | None = None) -> DataFrame:
+    """The newest `size` rows, or those that follow (ts, key) of the last row
+    of the page before: no page costs more than the first."""
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        df = df.where((F.col(ts) < at) | (F.col(ts) == at) & (F.col(key) > last))
+    return df.orderBy(F.desc(ts), key).limit(size)
+
+
+def with_disposition(df: DataFrame, dispositions: DataFrame, company: str = "display_company") -> DataFrame:
+    """Each row with its company's disposition (status and time), if any."""
+    known = dispositions.select("company_key", F.col("status").alias("disposition"), F.col("updated_at").alias("disposition_at"))
+    return df.withColumn("company_key", T.account_key(F.col(company))).join(known, "company_key", "left")
+
+
 def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
 

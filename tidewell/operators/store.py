@@ -20,10 +20,13 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, shared by all nodes; a local folder where unset."""
+    """spark.checkpoint.dir, shared by all nodes; a folder of our own where
+    that is unset in a local session."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tidewell-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

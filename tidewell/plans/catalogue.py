@@ -325,14 +325,36 @@ def finance_roles(spark, sf_dir):
     return e.select("event_id", S.finance_role(F.col("ty"), F.col("title"), none).alias("role"), F.coalesce(S.board_only(F.col("ty"), F.col("title"), none), F.lit(False)).alias("board_only"))
 
 
-@query()
+def _company_sql(title: str) -> str:
+    """company_name over ASCII headlines: the same patterns, with classes that
+    RE2 knows."""
+    plain = lambda p: p.replace("(?U)", "").replace("'", "''")
+    cleaned = title
+    for p in T._PREFIXES:
+        cleaned = f"regexp_replace({cleaned}, '(?i){plain(p)}', '', 'g')"
+    found = "[" + ", ".join(f"regexp_extract(subject, '{plain(p)}', 1)" for p in T._COMPANY_PATTERNS) + "]"
+    tidy = r"list_transform(raws, lambda r: regexp_replace(regexp_replace(trim(r), '[,;:\.\s]+$', ''), '^[Tt]he\s+', ''))"
+    good = rf"list_filter({tidy}, lambda c: length(c) between 3 and 79 and not list_contains({quoted(T._NO_COMPANY)}, lower(c)) and 2 * length(regexp_replace(c, '\D', '', 'g')) <= length(c) and not (upper(c) = c and regexp_matches(c, '[A-Za-z]') and len(string_split_regex(c, '\s+')) <= 3))"
+    return rf"(select case when cleaned <> '' and not regexp_matches(cleaned, '(?i)^\d+\s+(?:Press|Releases|Stories|Headlines|Hires|Deals|Moves)\b') then {good}[1] end from (select *, {found} raws from (select cleaned, regexp_replace(cleaned, '^[A-Z][\w\s&\.\-''’]{{1,40}}?-backed\s+', '') subject from (select {cleaned} cleaned))))"
+
+
+@query(rf"""with h as (select distinct {_TITLE} title from events), c as (select title, {_company_sql('title')} company, nullif(regexp_extract(title, '([A-Z][a-z]+\s+[A-Z][a-z]+)(?:\s+(?:as|named|appointed|joins))', 1), '') person,
+ nullif(regexp_extract(title, '(?i)(?:as|named|appointed|new)\s+((?:Chief\s+)?(?:Financial|Executive|Operating|Technology)\s+Officer|CFO|CEO|COO|CTO|VP\s+\w+|President|Director)', 1), '') person_title from h)
+ select event_id, company, person, person_title from events join c on c.title = {_TITLE}""")
 def company_extract(spark, sf_dir):
-    """Java-only patterns (Unicode words, lazy groups): tested on golden rows."""
     t = F.col("title")
     return headline_rows(spark, sf_dir).select("event_id", T.company_name(t).alias("company"), T.person_name(t).alias("person"), T.person_title(t).alias("person_title"))
 
 
-@query()
+@query(f"""with h as (select distinct {_TITLE} title from events), a as (select title, lower(title || ' ' || title) t from h), b as (select *, case when {sql_any('t', CFG.excluded_content)} then null
+  when {sql_any('t', V.CFO_WORDS)} and {sql_any('t', V.CFO_VERBS)} then 'cfo_hire' when {sql_any('t', CFG.executive_words)} and {sql_any('t', V.HIRE_VERBS)} then 'executive_hire' when {sql_any('t', CFG.merger_words)} then 'merger_acquisition' when {sql_any('t', V.STRONG_FUNDING)} then 'funding' end ty,
+  case when {sql_any('t', CFG.excluded_locations)} then 0 else len(list_filter({quoted([*CFG.regions, *CFG.cities])}, lambda x: contains(t, x))) end n, list_filter({quoted(CFG.target_companies)}, lambda x: contains(t, x))[1] c from a),
+ g as (select title, coalesce(ty, 'stable_target') kind, c, case when {sql_any('t', CFG.excluded_industries)} then 'excluded_industry' when {sql_any('t', CFG.public_companies + CFG.public_indicators)} then 'public_company' when {sql_any('t', CFG.excluded_locations)} then 'excluded_location'
+  when ty is null and not (c is not null or ({sql_any('t', V.PE_WORDS)} and n > 0)) then 'no_type' when n = 0 and c is null then 'out_of_territory' end drop_reason,
+  least(100, least(100, case ty when 'cfo_hire' then 40 when 'executive_hire' then 30 when 'merger_acquisition' then 35 when 'funding' then 25 else 10 end + least(15 * n, 30) + case when {sql_any('t', CFG.industries)} and not {sql_any('t', CFG.excluded_industries)} then 20 else 0 end + case when c is not null then 50 else 0 end) + 15)::double relevance_score,
+  array_to_string(case when ty in ('cfo_hire', 'executive_hire') then list_filter({quoted(CFG.executive_words)}, lambda x: contains(t, x)) when ty = 'merger_acquisition' then list_filter({quoted(CFG.merger_words)}, lambda x: contains(t, x)) when ty = 'funding' then list_filter({quoted(CFG.funding_words)}, lambda x: contains(t, x))
+   else []::varchar[] end[1:5], '|') words, coalesce(c, {_company_sql("(title || ' ' || title)")}) company_name from b)
+ select event_id, drop_reason, kind, company_name, relevance_score, words from events join g on g.title = {_TITLE}""")
 def feed_gates(spark, sf_dir):
     """The composite gate of feed entries over all events' headlines."""
     e = headline_rows(spark, sf_dir).select("event_id", "title", F.lit("PR Newswire").alias("feed_name"), F.concat(F.lit("<p>"), F.col("title"), F.lit("</p>")).alias("summary"))
@@ -400,8 +422,7 @@ _FIT = f"""(select *, case when hq in ('Boston, MA', 'Toronto, Ontario', 'Ohio')
   count(*) filter (wrole > 0) over (partition by l_orderkey) w, count(*) filter (wrole > 0 and v = 'fail') over (partition by l_orderkey) wf from f)
  select l_orderkey, case when w > 0 and w = wf then 'fail' else v end as verdict, name as account_name, terr as territory, rev as revenue, vert as vertical from a where n = 1""")
 def fit_gate(spark, sf_dir):
-    o = companies_of_orders(spark, sf_dir).withColumn("fit", S.event_fit(S.with_fit(F.col("companies"))))
-    return o.select("l_orderkey", "fit.verdict", "fit.account_name", "fit.territory", "fit.revenue", "fit.vertical")
+    return gates.event_fits(companies_of_orders(spark, sf_dir), "l_orderkey")
 
 
 @query(f"""select l_orderkey, max(name) filter (n = 1) as primary_name, max(name) filter (m = 1) as listed_name from (select *,
@@ -500,23 +521,23 @@ def retention(spark, sf_dir):
     return store.retain(o, "o_orderdate", now(o, "o_orderdate"), 30).select("o_orderkey")
 
 
-@query(f"""with l as (select event_id, {_TITLE} t from events where event_id % 2 = 0), u as (select t, count(*) c from l group by t)
+@query(f"""with l as (select event_id, {_TITLE} t from events), u as (select t, count(*) c from l group by t)
  select md5('https://lead.local/' || left(md5(t), 8) || ':' || t) as id, t as title, case when {sql_any('lower(t)', ['cfo', 'chief financial'])} then 'cfo_hire' when {sql_any('lower(t)', ['acqui', 'merger', 'buyout'])} then 'merger_acquisition'
  when {sql_any('lower(t)', ['funding', 'raises', 'series'])} then 'funding' when {sql_any('lower(t)', ['hire', 'appoint', 'named'])} then 'executive_hire' else 'other' end as event_type, 50.0::double as relevance_score from u""")
 def import_leads(spark, sf_dir):
     e = headline_rows(spark, sf_dir)
     none = spark.createDataFrame([], "url_hash string")
-    return store.import_leads(e.where("event_id % 2 = 0").select("title"), none, now(e, "ts")).select("id", "title", "event_type", "relevance_score")
+    return store.import_leads(e.select("title"), none, now(e, "ts")).select("id", "title", "event_type", "relevance_score")
 
 
 # ---------------------------------------------------------------- joins
 
 
-@query("""select doc_id from documents where doc_id not in (select doc_id from labels where quality = 0) and source not in (select source from documents join labels using (doc_id) where toxic = 1 and doc_id % 50 = 1)""")
+@query("""select doc_id from documents where doc_id not in (select doc_id from labels where quality = 0) and source not in (select source from documents join labels using (doc_id) where toxic = 1 and quality = 0)""")
 def disposition_anti_join(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = d.select(F.col("doc_id").alias("id"), F.col("source").alias("display_company"), F.array(F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.lit("target").alias("role"))).alias("companies_data"))
-    noted = d.select("doc_id", "source").join(lab.where("toxic = 1 and doc_id % 50 = 1"), "doc_id").select(F.col("source").alias("company_key"))
+    noted = d.select("doc_id", "source").join(lab.where("toxic = 1 and quality = 0"), "doc_id").select(F.col("source").alias("company_key"))
     keys = noted.union(lab.where("quality = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"))))
     return ranking.undecided(rows, keys).select(F.col("id").alias("doc_id"))
 
@@ -705,3 +726,6 @@ def breaker_replay(spark, sf_dir):
  select user_id, event_id, count(*) over w as total, count(*) filter (ok) over w as good, count(*) filter (not ok) over (partition by user_id, g order by ts, event_id rows unbounded preceding) as streak from e window w as (partition by user_id order by ts, event_id rows unbounded preceding)""")
 def health_replay(spark, sf_dir):
     return stateful.replay(attempts(spark, sf_dir), "health", "user_id", ["seconds", "event_id"]).select("user_id", "event_id", "total", "good", "streak")
+
+
+from . import articles, records  # noqa: E402, F401 - they register their queries here

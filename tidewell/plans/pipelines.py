@@ -5,21 +5,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..config import Config
 from ..functions import scoring as S
 from ..functions import text as T
+from ..functions import vocab as V
 from ..operators import dedup, gates, ranking
 from ..sources import readers
 
 
 def scrape_cycle(payloads: DataFrame, seen: DataFrame, events: DataFrame, cfg: Config, as_of: Column) -> DataFrame:
     """Fetched feeds -> accepted events: parse, judge, drop old, seen and
-    repeated ones, then accept greedily in arrival order."""
+    repeated ones, then accept greedily in arrival order: that of the feeds in
+    the configuration (others after them, by name), then that in the feed."""
     judged = gates.feed_gate(readers.feed_entries(payloads), cfg)
     found = readers.to_events(judged, as_of).where(gates.recent(F.col("published_date"), as_of, cfg.max_age_hours))
     new = dedup.fresh_titles(dedup.unseen(found, seen), events, as_of, cfg.max_age_hours)
-    numbered = new.withColumn("arrival_seq", F.xxhash64("feed_name").bitwiseAND(F.lit(0x7FFFFFFF)) * 100_000 + F.col("pos"))
+    known = F.array_position(V.words([f.get("name") for f in cfg.feeds]), F.col("feed_name"))
+    order = W.orderBy(F.when(known > 0, known).otherwise(1 << 30), "feed_name")  # one row a feed
+    ranks = payloads.select("feed_name").distinct().withColumn("_rank", F.row_number().over(order))
+    numbered = new.join(ranks, "feed_name").withColumn("arrival_seq", F.col("_rank") * F.lit(1 << 32) + F.col("pos")).drop("_rank")
     return dedup.greedy(numbered).withColumn("discovered_date", as_of)
 
 

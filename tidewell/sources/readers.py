@@ -176,6 +176,14 @@ def read_health(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HEALTH_SCHEMA).json(path)
 
 
+def write_health(states: DataFrame, path: str, sources: list[str] | None = None) -> None:
+    """States as JSON lines without computed fields; with `sources` all but
+    these, which start again from nothing."""
+    stored = [f.split()[0] for f in HEALTH_SCHEMA.replace("map<string, bigint>", "map").split(", ")]
+    kept = states if sources is None else states.where(~F.col("source_name").isin(sources))
+    kept.select(*[c for c in stored if c in states.columns]).write.json(path)
+
+
 def unwrapped(raw: Column, schema: str) -> Column:
     """A JSON array column that may be null, blank or broken, as an array."""
     parsed = F.from_json(raw, schema)
