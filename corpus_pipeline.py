@@ -42,8 +42,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    rows, key, text, _ = _neutral(docs)
-    return jaccard.first_of_each(rows, SHINGLE, NUM, DEN, key=key, text=text).toDF(*docs.columns)
+    return jaccard.first_of_each(docs, SHINGLE, NUM, DEN)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,5 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = _common.staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, _common.staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        _common.free(before)
     return docs
