@@ -232,5 +232,9 @@ def op1_media_columns(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = C.new_path(spark, "media")
     rows = C.staged(store(docs, folder), "media-rows")
+    # The rows are small: dealt out, in the order of the objects, the reads of
+    # an object that many rows share may be split as well.
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartitionByRange(parts, "shard", "offset", "doc_id").sortWithinPartitions("shard", "offset")
     out = with_features(with_metadata(rows, folder), folder)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")
