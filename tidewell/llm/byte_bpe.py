@@ -9,7 +9,7 @@ Without a common boundary (a run longer than the overlap) the earlier chunk
 is extended until there is one. Then the pieces are encoded, each by itself;
 decoding concatenates the raw bytes of the ids.
 
-Texts over `spread` code points have their chunks dealt out over the cluster
+Texts over `spread` code points (65,536, some ten thousand words) have their chunks dealt out over the cluster
 and stitched by document; the others are done where they are read.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; equal
@@ -30,7 +30,7 @@ from . import _common as C
 
 CACHE = 150_000
 CHUNK, OVERLAP = 16_384, 256
-SPREAD = 1 << 20
+SPREAD = 1 << 16
 #: White space as the library's regular expressions know it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -156,7 +156,9 @@ def _spread(rows: DataFrame, ranks_file: str, pattern: str, keep, part: int, dec
     """Very long texts: parts of `part` code points, an overlap and three more
     are dealt out, pre-tokenised and encoded apart, and joined by document.
     A part gives its ids from its first boundary after the overlap on; what
-    lies before is the last part's tail."""
+    lies before is the last part's tail. Where two parts share no boundary (a
+    run longer than the overlap), the later one is pre-tokenised again from
+    the last certain boundary, and nothing else of the text."""
     cuts = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_at", F.explode(F.sequence(F.lit(0), F.length("_text") - 1, F.lit(part))))
     cuts = cuts.select(*keep, "_row", "_at", F.length("_text").alias("_n"), F.expr(f"substring(_text, _at + 1, {part} + {8 * OVERLAP})").alias("_text"))
     cuts = cuts.repartition("_row", "_at")
@@ -189,35 +191,36 @@ def _spread(rows: DataFrame, ranks_file: str, pattern: str, keep, part: int, dec
         e = encoder(ranks_file, pattern)
         parts = sorted(table.to_pylist(), key=lambda r: r["_at"])
         whole: list[bytes] = []
-        done = 0  # code points whose ids are out
-        for k, p in enumerate(parts):
-            following = parts[k + 1] if k + 1 < len(parts) else None
-            ends = [p["_at"] + x for x in p["ends"]]
-            if done not in ends and done != p["_at"]:  # no boundary in common: encode this part again from `done`
-                text = p["_text"][done - p["_at"] :]
-                own = pieces(e.pattern, text)
-                coded_, marks, stop = list(map(e.ids.__getitem__, own)), [], done
-                for x in own:
+        done, carry = 0, ""  # code points whose ids are out; text from there to the part
+        for p, following in zip(parts, [*parts[1:], None]):
+            at, ends = p["_at"], p["ends"]
+            if following is not None and not ends and done <= at:  # inside of a run: no boundary yet
+                carry += p["_text"][: following["_at"] - at]
+                continue
+            text = carry + p["_text"]
+            start = at - len(carry)
+            own = [at + x for x in ends]
+            if not carry and (done == at or done in own):
+                coded_, pos = [], 0
+                for s in p["sizes"]:
+                    coded_.append(p["ids"][pos : pos + s])
+                    pos += s
+                marks, first = own, own.index(done) + 1 if done in own else 0
+            else:  # no boundary in common with the part before: again from `done`
+                found = pieces(e.pattern, text[done - start :])
+                coded_, marks, first, stop = list(map(e.ids.__getitem__, found)), [], 0, done
+                for x in found:
                     stop += len(x)
                     marks.append(stop)
-                first = 0
-            else:
-                coded_, at = [], 0
-                for s in p["sizes"]:
-                    coded_.append(p["ids"][at : at + s])
-                    at += s
-                marks = ends
-                first = ends.index(done) + 1 if done in ends else 0
+                while following is not None and marks and marks[-1] + 3 > start + len(text):
+                    marks.pop()
             upto = len(marks)
             if following is not None:
                 theirs = {following["_at"] + x for x in following["ends"]}
-                upto = next((i + 1 for i in range(first, len(marks)) if marks[i] > following["_at"] and marks[i] in theirs), None)
-                if upto is None:  # a run longer than the overlap: encode the whole text here
-                    text = "".join(x["_text"][:part] for x in parts)
-                    whole = [e.encode(text)]
-                    break
+                upto = next((k + 1 for k in range(first, upto) if marks[k] > following["_at"] and marks[k] in theirs), upto)
             whole += coded_[first:upto]
-            done = marks[upto - 1] if upto else done
+            done = marks[upto - 1] if upto > first else done
+            carry = text[done - start : following["_at"] - start] if following is not None and done < following["_at"] else ""
         row = table.slice(0, 1).select(list(keep))
         ids = b"".join(whole)
         row = row.append_column("ids", pa.array([ids], pa.binary()))
