@@ -70,9 +70,14 @@ def free(*tables: DataFrame) -> None:
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a URI or a plain path."""
+    """(pyarrow file system, path) of a URI, as Spark spells it, or a plain
+    path."""
     from pyarrow import fs
 
+    scheme, sep, rest = uri.partition("://")
+    if sep and scheme in ("s3a", "s3n"):
+        uri = "s3://" + rest
+
     if "://" not in uri and not uri.startswith("file:"):
         uri = "file://" + os.path.abspath(uri)
     if uri.startswith("file:/") and not uri.startswith("file://"):
@@ -82,11 +87,23 @@ def filesystem(uri: str):
 
 def write_once(fs, path: str, data) -> None:
     """Write a file so that readers see it whole or not at all. A retried or
-    speculative task writes the same bytes under the same name."""
+    speculative task writes the same bytes under the same name: where that is
+    there already (some stores refuse to rename over it), nothing is left to
+    do."""
+    from pyarrow.fs import FileType
+
+    there = lambda: fs.get_file_info(path).type == FileType.File
+    if there():
+        return
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary) as out:
         out.write(data)
-    fs.move(temporary, path)
+    try:
+        fs.move(temporary, path)
+    except OSError:
+        if not there():
+            raise
+        fs.delete_file(temporary)
 
 
 #: Bytes and rows of a batch that goes to a Python worker: both sides hold a
@@ -95,7 +112,8 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the batches of this session, unless it has smaller bounds."""
+    """Bound the batches of this session, unless it has smaller bounds. The
+    bounds stay: what is planned here runs later."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
         try:
