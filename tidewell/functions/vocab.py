@@ -237,12 +237,16 @@ def mapping(values: Mapping[str, object]) -> Column:
 def holds_any(text: Column, values: Iterable[str]) -> Column:
     """Whether the (already lower-cased) text contains any of the values."""
     values = list(values)
-    return F.exists(words(values), lambda v: F.contains(text, v)) if values else F.lit(False)
+    if not values:
+        return F.lit(False)
+    # A null text holds nothing that is known: null, as for contains.
+    return once(text, lambda t: F.exists(words(values), lambda v: F.contains(t, v)))
 
 
 def held(text: Column, values: Iterable[str]) -> Column:
     """The values that the lower-cased text contains, in list order."""
-    return F.filter(words(values), lambda v: F.contains(text, v))
+    values = list(values)
+    return once(text, lambda t: F.filter(words(values), lambda v: F.contains(t, v)))
 
 
 def first_held(text: Column, values: Iterable[str]) -> Column:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from .graph import components
@@ -33,17 +32,19 @@ def fresh_titles(df: DataFrame, events: DataFrame, as_of: Column, hours: int, ti
 
 def title_groups(df: DataFrame, key: str = "id", title: str = "title", companies: Column | None = None, graded: Column | None = None, found: str = "discovered_at") -> DataFrame:
     """Groups of equal titles: keep_rank 1 is the copy to keep (enriched, then
-    graded, then oldest), copies the size of the group. Rows that cannot be
-    duplicates have keep_rank 1."""
+    graded, then oldest), 2 any other, copies the size of the group. Rows that
+    cannot be duplicates have keep_rank 1. One aggregation with partial results
+    and a join, so that a title with very many copies stays in pieces."""
     t = T.title_key(F.col(title))
     real = (t != "") & ~T.is_templated(F.col(title))
-    group = F.when(real, F.concat(F.lit("t"), t)).otherwise(F.concat(F.lit("i"), F.col(key).cast("string")))
     rich = F.lit(0) if companies is None else F.coalesce(companies.cast("int"), F.lit(0))
     good = F.lit(0) if graded is None else F.coalesce(graded.cast("int"), F.lit(0))
-    order = [F.desc("_rich"), F.desc("_good"), F.col(found).asc_nulls_first(), F.col(key)]
-    out = df.withColumns({"_group": group, "_rich": rich, "_good": good})
-    own = W.partitionBy("_group")
-    return out.withColumn("keep_rank", F.row_number().over(own.orderBy(*order))).withColumn("copies", F.count("*").over(own)).drop("_group", "_rich", "_good")
+    place = F.struct((-rich).alias("rich"), (-good).alias("good"), F.col(found).alias("found"), F.col(key).alias("key"))
+    out = df.withColumns({"_group": F.when(real, F.md5(t.cast("binary"))), "_place": place})
+    best = out.where("_group is not null").groupBy("_group").agg(F.min("_place").alias("_best"), F.count("*").alias("copies")).where("copies > 1")
+    out = out.join(best, "_group", "left")
+    rank = F.when(F.col("_best").isNull() | F.col("_place").eqNullSafe(F.col("_best")), 1).otherwise(2)
+    return out.withColumns({"keep_rank": rank, "copies": F.coalesce("copies", F.lit(1).cast("long"))}).drop("_group", "_place", "_best")
 
 
 def greedy(df: DataFrame, url: str = "url", title: str = "title", order: str = "arrival_seq") -> DataFrame:

@@ -32,11 +32,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from . import articles, records  # noqa: F401 - they register their queries here
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -726,6 +732,3 @@ def breaker_replay(spark, sf_dir):
  select user_id, event_id, count(*) over w as total, count(*) filter (ok) over w as good, count(*) filter (not ok) over (partition by user_id, g order by ts, event_id rows unbounded preceding) as streak from e window w as (partition by user_id order by ts, event_id rows unbounded preceding)""")
 def health_replay(spark, sf_dir):
     return stateful.replay(attempts(spark, sf_dir), "health", "user_id", ["seconds", "event_id"]).select("user_id", "event_id", "total", "good", "streak")
-
-
-from . import articles, records  # noqa: E402, F401 - they register their queries here

@@ -51,10 +51,17 @@ def _micros(text: str) -> int:
 
 
 def month_budget(df: DataFrame, ts: str, tie: str, budget: int, key: str | None = None) -> DataFrame:
-    """n_month: running count inside the calendar month; over: beyond it."""
-    month = F.date_format(ts, "yyyy-MM")
-    w = W.partitionBy(*([key] if key else []), "month").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("month", month).withColumn("n_month", F.count("*").over(w)).withColumn("over", F.col("n_month") > budget)
+    """n_month: running count inside the calendar month; over: beyond it. The
+    count before each hour comes from the hours' totals, so that no task holds
+    more than an hour of a month."""
+    own = [key] if key else []
+    rows = df.withColumns({"month": F.date_format(ts, "yyyy-MM"), "_hour": F.date_trunc("hour", ts)})
+    hours = rows.groupBy(*own, "month", "_hour").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*own, "month").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
+    hours = hours.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = W.partitionBy(*own, "month", "_hour").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumn("_n", F.count("*").over(inside)).join(hours, [*own, "month", "_hour"])
+    return out.withColumn("n_month", F.col("_before") + F.col("_n")).withColumn("over", F.col("n_month") > budget).drop("_hour", "_before", "_n")
 
 
 # ---------------------------------------------------------------- state machines
