@@ -26,11 +26,16 @@ STATE_NAMES = {
 }
 
 # Territory of headquarters.
-TERRITORY_CODES = "ME NH VT MA RI CT NY NJ PA DE MD VA WV DC NC SC GA FL AL TN KY OH MI IN ON QC NB NS PE NL".split()
-ALL_CODES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA "
-    "RI SC SD TN TX UT VT VA WA WV WI WY DC ON QC NB NS PE NL BC AB MB SK YT NT NU"
-).split()
+TERRITORY_CODES = [
+    "ME", "NH", "VT", "MA", "RI", "CT", "NY", "NJ", "PA", "DE", "MD", "VA", "WV", "DC", "NC", "SC", "GA", "FL", "AL",
+    "TN", "KY", "OH", "MI", "IN", "ON", "QC", "NB", "NS", "PE", "NL",
+]
+ALL_CODES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME",
+    "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA",
+    "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "ON", "QC", "NB", "NS", "PE", "NL",
+    "BC", "AB", "MB", "SK", "YT", "NT", "NU",
+]
 TERRITORY_NAMES = [
     "maine", "new hampshire", "vermont", "massachusetts", "rhode island", "connecticut", "new york", "new jersey",
     "pennsylvania", "delaware", "maryland", "virginia", "west virginia", "washington dc", "district of columbia",
@@ -40,12 +45,11 @@ TERRITORY_NAMES = [
 ]
 FOREIGN_MARKERS = [
     "germany", "france", "uk", "united kingdom", "england", "india", "china", "japan", "australia", "israel",
-    "singapore", "switzerland", "netherlands", "sweden", "ireland", "spain", "italy", "brazil", "mexico", "hong kong",
-    "korea", "norway", "denmark", "finland", "belgium", "austria", "chile", "british columbia", "alberta", "manitoba",
-    "saskatchewan",
+    "singapore", "switzerland", "netherlands", "sweden", "ireland", "spain", "italy", "brazil", "mexico",
+    "hong kong", "korea", "norway", "denmark", "finland", "belgium", "austria", "chile", "british columbia",
+    "alberta", "manitoba", "saskatchewan",
 ]
-#: Filing systems number the provinces.
-FILING_PROVINCES = {"A3": "NB", "A4": "NL", "A5": "NS", "A6": "ON", "A7": "PE", "A8": "QC"}
+FILING_PROVINCES = {'A3': 'NB', 'A4': 'NL', 'A5': 'NS', 'A6': 'ON', 'A7': 'PE', 'A8': 'QC'}
 
 # Subindustries by vertical.
 VERTICALS = {

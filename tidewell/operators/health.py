@@ -81,10 +81,26 @@ def summary(states: DataFrame) -> DataFrame:
     )
 
 
+def troubled(states: DataFrame, of: str = "unhealthy") -> DataFrame:
+    """Sources of a status, by name."""
+    return states.where(F.col("status") == of).orderBy("source_name")
+
+
+def statuses(rows: DataFrame) -> DataFrame:
+    """Source statuses in the order of their display."""
+    return rows.orderBy("source_type", "source_name")
+
+
+def search_counters(searches: DataFrame) -> DataFrame:
+    """Searches of a run by backend: all, answered and empty ones."""
+    got = F.col("n_results") > 0
+    return searches.groupBy("backend").agg(F.count("*").alias("searches"), F.count_if(got).alias("answered"), F.count_if(~got).alias("empty"))
+
+
 def dashboard(states: DataFrame, as_of: Column) -> DataFrame:
     return states.select(
         F.col("source_name").alias("name"), "status",
-        F.format_string("%.1f%%", F.col("success_rate") * 100).alias("uptime"),
+        F.format_string("%.1f%%", F.bround(F.col("success_rate") * 100, 1)).alias("uptime"),
         D.check_age_text(F.col("last_check"), as_of).alias("last_check"),
         F.col("events_found_total").alias("events_total"),
         F.format_string("%.0fms", F.coalesce("avg_response_time_ms", F.lit(0.0))).alias("avg_response_ms"),

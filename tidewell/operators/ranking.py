@@ -88,6 +88,18 @@ def page(df: DataFrame, ts: str, key: str, size: int, after: tuple | None = None
     return df.orderBy(F.desc(ts), key).limit(size)
 
 
+def newest(df: DataFrame, ts: str, key: str, most: int = 200) -> DataFrame:
+    return df.orderBy(F.desc(ts), key).limit(most)
+
+
+def since_hours(df: DataFrame, ts: str, key: str, as_of: Column, hours: int, kind: str | None = None, most: int | None = None) -> DataFrame:
+    """Events of the last hours (of a type), newest first."""
+    out = df.where(F.col(ts) > D.since(as_of, hours))
+    out = out if kind is None else out.where(F.col("event_type") == kind)
+    out = out.orderBy(F.desc(ts), key)
+    return out.limit(most) if most else out
+
+
 def with_disposition(df: DataFrame, dispositions: DataFrame, company: str = "display_company") -> DataFrame:
     """Each row with its company's disposition (status and time), if any."""
     known = dispositions.select("company_key", F.col("status").alias("disposition"), F.col("updated_at").alias("disposition_at"))
@@ -151,10 +163,11 @@ def alert_text(df: DataFrame) -> Column:
     )
 
 
-def batch_alerts(df: DataFrame, order: str = "relevance_score", each: int | None = None) -> DataFrame:
-    """event_type, n, body: alerts grouped by type in the display order."""
+def batch_alerts(df: DataFrame, order: str = "relevance_score", each: int = 500) -> DataFrame:
+    """event_type, n, body: the first `each` alerts of a type, types in the
+    display order; n counts all."""
     ranked = df.withColumn("_n", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc(order), "id")))
-    body = F.when(F.col("_n") <= (each or 1 << 30), F.struct(F.col("_n").alias("n"), alert_text(df).alias("text")))
+    body = F.when(F.col("_n") <= each, F.struct(F.col("_n").alias("n"), alert_text(df).alias("text")))
     grouped = ranked.groupBy("event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(body)).alias("_b"))
     at = F.array_position(V.words(V.EVENT_TYPES), F.col("event_type"))
     return grouped.select("event_type", "n", F.array_join(F.transform("_b", lambda b: b["text"]), "\n\n").alias("body"), at.alias("_at")).orderBy("_at").drop("_at")
@@ -179,10 +192,12 @@ def desktop_text(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), parts.alias("text"))
 
 
-def html_mail(df: DataFrame, as_of: Column) -> DataFrame:
-    """event_type, html: entries of a type, newest first."""
+def html_mail(df: DataFrame, as_of: Column, each: int = 500) -> DataFrame:
+    """event_type, n, html: the newest `each` entries of a type; n counts all,
+    so a reader sees what a mail has left out."""
     esc = lambda c: F.replace(F.replace(F.replace(nz(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     item = F.concat(F.lit('<li><a href="'), esc(F.col("url")), F.lit('">'), esc(F.col("title")), F.lit("</a> <i>"), D.age_text(F.col("published_date"), as_of), F.lit("</i><p>"), esc(F.left(F.col("description"), F.lit(200))), F.lit("</p></li>"))
     rows = df.select("event_type", F.struct((-F.unix_micros(F.col("published_date").cast("timestamp"))).alias("at"), F.col("id"), item.alias("item")).alias("e"))
-    grouped = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("e")).alias("_e"))
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("event_type").orderBy("e")))
+    grouped = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= each, F.col("e")))).alias("_e"))
     return grouped.select("event_type", "n", F.concat(F.lit("<ul>"), F.array_join(F.transform("_e", lambda x: x["item"]), ""), F.lit("</ul>")).alias("html"))

@@ -197,3 +197,18 @@ class Table:
 
     def merge(self, source: DataFrame, key: str) -> None:
         self.write(merge_on(self.read(), source, key) if self.exists() else source)
+
+    def push(self, remote: str) -> "Table":
+        """Copy the current version to another store (any path that Spark
+        writes): it appears there when it is whole."""
+        other = Table(self.spark, remote)
+        other.write(self.read())
+        return other
+
+    def pull(self, remote: str) -> "Table":
+        """Take over the current version of another store; without one, this
+        table stays as it is."""
+        other = Table(self.spark, remote)
+        if other.exists():
+            self.write(other.read())
+        return self

@@ -433,6 +433,87 @@ def not_too_old(spark, sf_dir):
     return stateful.not_too_old(e, "ts", now(e, "ts"), 72).where(gates.recent(F.col("ts"), now(e, "ts"), 72)).select("event_id")
 
 
+@query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders order by o_orderdate desc, o_orderkey limit 200""")
+def newest_dispositions(spark, sf_dir):
+    return ranking.newest(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("""select event_id from events where ts > (select max(ts) from events) - interval 48 hours and event_type = 'click'""")
+def recent_of_type(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return ranking.since_hours(e, "ts", "event_id", now(e, "ts"), 48, "click").select("event_id")
+
+
+@query("""with e as (select user_id, event_type <> 'error' ok, ts, event_id from events), g as (select user_id, max((ts, event_id)) filter (ok) lg from e group by user_id),
+ s as (select e.user_id, count(*) total, count(*) filter (ok) good, count(*) filter (not ok and (lg is null or (ts, event_id) > lg)) cf from e join g using (user_id) group by e.user_id)
+ select user_id::varchar as source_name from s where total >= 3 and not (cf >= 3 or good / total < 0.5) and good / total < 0.9""")
+def degraded_sources(spark, sf_dir):
+    states = health_rows(spark, sf_dir).withColumn("source_name", F.col("user_id").cast("string"))
+    return health.troubled(states, "degraded").select("source_name")
+
+
+@query("""with h as (select user_id::varchar as name, count(*) n, count(*) filter (event_type <> 'error') good, count(*) filter (event_type = 'purchase')::bigint p from events group by 1)
+ select name, format('{:.1f}%', good * 100.0 / n) as uptime, p as events_total from h""")
+def dashboard_rows(spark, sf_dir):
+    states = health_rows(spark, sf_dir).withColumns({"source_name": F.col("user_id").cast("string"), "last_check": L(None).cast("timestamp"), "last_error_message": L(None).cast("string")})
+    return health.dashboard(states, L(None).cast("timestamp")).select("name", "uptime", "events_total")
+
+
+@query("""select event_type as source_type, user_id::varchar as source_name, count(*) as n from events group by 1, 2""")
+def source_statuses(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_type"), F.col("user_id").cast("string").alias("source_name")).agg(F.count("*").alias("n"))
+    return health.statuses(rows)
+
+
+@query("""select event_type as backend, count(*) as searches, count(*) filter (value > 10) as answered, count(*) filter (not value > 10) as empty from events group by 1""")
+def search_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return health.search_counters(e.select(F.col("event_type").alias("backend"), (F.col("value") > 10).cast("int").alias("n_results")))
+
+
+@query("""select c_custkey::varchar as cik, case when c_custkey % 4 <> 3 then 'OH' end as state, case when c_custkey % 4 <> 3 then (c_custkey % 9000)::varchar end as sic, case when c_custkey % 4 <> 3 then c_mktsegment end as sic_description from customer""")
+def filer_lookup(spark, sf_dir):
+    """Answers about filers, each asked for twice, some broken."""
+    c = table(spark, sf_dir, "customer")
+    full = F.to_json(F.struct(F.struct(F.struct(L("OH").alias("stateOrCountry")).alias("business")).alias("addresses"), (F.col("c_custkey") % 9000).cast("string").alias("sic"), F.col("c_mktsegment").alias("sicDescription")))
+    asked = c.select(F.col("c_custkey").cast("string").alias("cik"), F.when(F.col("c_custkey") % 4 != 3, full).otherwise("<html>").alias("payload"))
+    return readers.filer_facts(asked.union(asked))
+
+
+@query("""select o_orderkey, o_orderstatus from orders where o_orderdate >= (select max(o_orderdate) from orders) - interval 60 days""")
+def event_window(spark, sf_dir):
+    as_of = now(table(spark, sf_dir, "orders"), "o_orderdate")
+    return readers.read_events(spark, f"{sf_dir}/orders.parquet", as_of, 60, "o_orderdate", ("o_orderkey", "o_orderstatus"))
+
+
+@query("""select n_nationkey, case when n_nationkey % 2 = 0 then upper(n_name) else n_name end as n_name from nation""")
+def table_sync(spark, sf_dir):
+    """A table is merged, pushed to another store and pulled back."""
+    base = f"{store.shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    here = store.Table(spark, f"{base}/here")
+    here.merge(n, "n_nationkey")
+    here.merge(n.where("n_nationkey % 2 = 0").withColumn("n_name", F.upper("n_name")), "n_nationkey")
+    here.push(f"{base}/remote")
+    return store.Table(spark, f"{base}/again").pull(f"{base}/remote").read()
+
+
+@query("""select event_type, count(*) as n, least(count(*), 3) * 4 as lines from events group by 1""")
+def mail_bodies(spark, sf_dir):
+    """The mail of each type: all counted, the newest three shown."""
+    rows = _alerts(spark, sf_dir).withColumn("published_date", F.to_timestamp(L("2024-01-01 00:00:00")))
+    out = ranking.html_mail(rows, F.to_timestamp(L("2024-01-02 00:00:00")), each=3)
+    return out.select("event_type", "n", (F.regexp_count("html", L("<li>|</li>|<a |<i>")).cast("long")).alias("lines"))
+
+
+@query(f"""with e as (select event_type, {picked(HEADLINES, 'event_id')} title, value, event_id from events), r as (select *, row_number() over (partition by event_type order by value desc, event_id) n from e)
+ select event_type, (select count(*) from e f where f.event_type = r.event_type) as n, string_agg(title, '|' order by n) as top from r where n <= 3 group by event_type""")
+def slack_tops(spark, sf_dir):
+    out = ranking.slack_blocks(_alerts(spark, sf_dir))
+    top = F.transform(F.from_json(F.get_json_object("block", "$.top"), "array<struct<n: int, title: string>>"), lambda t: t["title"])
+    return out.select("event_type", F.get_json_object("block", "$.n").cast("long").alias("n"), F.array_join(top, "|").alias("top"))
+
+
 # ---------------------------------------------------------------- state machines in SQL
 
 _STEPS = """with recursive e as (select user_id, event_id, epoch_us(ts) / 1000000.0::double s, event_type <> 'error' ok, case when value > 20 then 429 else 404 end code, row_number() over (partition by user_id order by epoch_us(ts), event_id) n from events), """

@@ -23,6 +23,7 @@ JOB_SCHEMA = (
     "results array<struct<title: string, company: struct<display_name: string>, location: struct<area: array<string>, display_name: string>, "
     "redirect_url: string, description: string, created: string>>"
 )
+FILER_SCHEMA = "addresses struct<business: struct<stateOrCountry: string>>, sic string, sicDescription string"
 NONPROFIT_SCHEMA = "organization struct<name: string, ein: string>, filings_with_data array<struct<tax_prd_yr: int, totrevenue: double, totfuncexpns: double>>"
 HEALTH_SCHEMA = (
     "source_name string, source_type string, total_requests long, successful_requests long, failed_requests long, consecutive_failures long, "
@@ -102,6 +103,14 @@ def filing_hits(payloads: DataFrame, most: int = 60) -> DataFrame:
     return rows.select("item", "pos", F.get("s.ciks", 0).alias("cik"), F.get("s.display_names", 0).alias("display_name"), "s.adsh", "s.file_type", "s.items", "s.biz_states", "s.file_date")
 
 
+def filer_facts(payloads: DataFrame) -> DataFrame:
+    """payloads: cik, payload -> one row a filer: cik, state, sic,
+    sic_description; broken answers have no facts."""
+    p = F.from_json("payload", FILER_SCHEMA)
+    rows = payloads.select("cik", p.alias("p")).select("cik", F.col("p.addresses.business.stateOrCountry").alias("state"), "p.sic", F.col("p.sicDescription").alias("sic_description"))
+    return rows.groupBy("cik").agg(F.max("state").alias("state"), F.max("sic").alias("sic"), F.max("sic_description").alias("sic_description"))
+
+
 def phrase_filings(texts: DataFrame, phrase: str) -> DataFrame:
     """Accession numbers of the texts that contain a phrase."""
     return texts.where(F.contains(F.col("text"), F.lit(phrase))).select("adsh").distinct()
@@ -176,6 +185,12 @@ def read_health(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HEALTH_SCHEMA).json(path)
 
 
+def read_events(spark: SparkSession, path: str, as_of: Column, days: int = 30, ts: str = "discovered_at", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The events of a table's window; filter and columns reach the scan."""
+    rows = spark.read.parquet(path).where(F.col(ts) >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+    return rows.select(*columns) if columns else rows
+
+
 def write_health(states: DataFrame, path: str, sources: list[str] | None = None) -> None:
     """States as JSON lines without computed fields; with `sources` all but
     these, which start again from nothing."""
