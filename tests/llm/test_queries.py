@@ -230,6 +230,17 @@ def test_op9_sees_content(spark):
     assert min(rows[i] for i in range(100, 200, 2)) > max(rows[i] for i in range(101, 200, 2))
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_twins(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    df = queries.queries()[name](spark, DATA)
+    rows = con.sql(queries.oracle_sql()[name])
+    assert sorted(rows.columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(rows.select(*[f'"{c}"' for c in df.columns]).fetchall())
+
+
 def test_op10(spark, documents):
     import base64
 

@@ -556,4 +556,4 @@ def main_text(pages: DataFrame, references: int = REFERENCES, keep: tuple[str, .
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+    return main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
