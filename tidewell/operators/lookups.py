@@ -69,6 +69,14 @@ def once_per_firm(events: DataFrame, companies: str, enrich) -> DataFrame:
     return rows.join(enrich(firms).select("firm", "facts"), "firm", "left")
 
 
+MOST_PLACES = 10_000
+
+
 def search_space(titles: DataFrame, places: DataFrame) -> DataFrame:
-    """All queries of job titles and places: two small dimensions."""
-    return titles.crossJoin(places).select("title", "place", F.format_string("%s jobs in %s", F.col("title"), F.col("place")).alias("query"))
+    """All queries of job titles and places. Places are a small dimension: they
+    become an array literal, after a check of their number."""
+    found = [r[0] for r in places.select("place").distinct().orderBy("place").limit(MOST_PLACES + 1).collect()]
+    if len(found) > MOST_PLACES:
+        raise ValueError("too many places for a search space")
+    rows = titles.select("title", F.explode(F.array(*map(F.lit, found)).cast("array<string>")).alias("place"))
+    return rows.withColumn("query", F.format_string("%s jobs in %s", F.col("title"), F.col("place")))

@@ -95,13 +95,12 @@ def job_roundtrip(spark, sf_dir):
     return out.select("country", "title", F.col("company.display_name").alias("firm"), F.get("location.area", 1).alias("place"), "description", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
-@query("""select n_name as country, unnest(case when n_nationkey % 2 = 0 then ['cfo', 'controller', 'vp finance'] else [['cfo', 'controller', 'vp finance'][(45 % 3) + 1]] end) as title from nation""")
+@query("""select case when n_nationkey % 2 = 0 then 'us' else n_name end as country, unnest(case when n_nationkey % 2 = 0 then ['cfo', 'controller', 'vp finance'] else [['cfo', 'controller', 'vp finance'][(45 % 3) + 1]] end) as title from nation""")
 def job_schedule(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "us").otherwise(F.col("n_name")).alias("country"), F.col("n_name").alias("name"), V.words(["cfo", "controller", "vp finance"]).alias("titles"))
-    home = readers.job_schedule(n.where("country = 'us'").select("country", "titles"), F.to_timestamp(L("2024-02-14 06:30:00")), [6, 18])
-    away = readers.job_schedule(n.where("country <> 'us'").select("country", "titles"), F.to_timestamp(L("2024-02-14 06:30:00")), [6, 18])
-    names = n.where("country = 'us'").select("name")
-    return names.join(home.select("title").distinct(), how="cross").select(F.col("name").alias("country"), "title").union(away)
+    """What to ask for in a run hour: all titles at home, the day's elsewhere."""
+    country = F.when(F.col("n_nationkey") % 2 == 0, "us").otherwise(F.col("n_name"))
+    asked = table(spark, sf_dir, "nation").select(country.alias("country"), V.words(["cfo", "controller", "vp finance"]).alias("titles"))
+    return readers.job_schedule(asked, F.to_timestamp(L("2024-02-14 06:30:00")), [6, 18])
 
 
 @query("""select c_custkey, case when c_custkey % 4 <> 0 then 'Filing year ' || (2000 + c_custkey % 20) || '; revenue $' || format('{:,}', (c_custkey * 1000)::bigint) || '; expenses $' || format('{:,}', (c_custkey * 900)::bigint) || '; 2 filings' end as block from customer""")
@@ -234,8 +233,7 @@ def health_files(spark, sf_dir):
     """States written as JSON without computed fields, some reset, and read."""
     states = health_rows(spark, sf_dir).withColumn("source_name", F.col("user_id").cast("string"))
     path = f"{store.shared_dir(spark)}/health/{uuid.uuid4().hex}"
-    gone = [r[0] for r in states.select("source_name").distinct().where("cast(source_name as long) % 10 = 3").limit(100_000).collect()]
-    readers.write_health(states, path, gone)
+    readers.write_health(states, path, states.where("cast(source_name as long) % 10 = 3"))
     return readers.read_health(spark, path).select("source_name", "total_requests", "events_found_total")
 
 
@@ -378,12 +376,15 @@ def limiter_totals(spark, sf_dir):
     return health.limiter_stats(attempts(spark, sf_dir), "user_id").withColumn("failure_rate", F.round("failure_rate", 9))
 
 
-@query("""select count(*) as total, count(*) filter (c_custkey % 3 = 0) as imported, count(*) filter (c_custkey % 3 = 1) as skipped, count(*) filter (c_custkey % 3 = 2) as failed, (select count(*) from orders) as n, (select strftime(max(o_orderdate), '%Y-%m-%d') from orders) as newest from customer""")
-def import_and_table_totals(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+@query("""select count(*) as total, count(*) filter (c_custkey % 3 = 0) as imported, count(*) filter (c_custkey % 3 = 1) as skipped, count(*) filter (c_custkey % 3 = 2) as failed from customer""")
+def import_totals(spark, sf_dir):
     kind = F.when(F.col("c_custkey") % 3 == 0, "imported").when(F.col("c_custkey") % 3 == 1, "skipped").otherwise("failed")
-    one = health.table_status(table(spark, sf_dir, "orders"), "o_orderdate").select("n", F.date_format("newest", "yyyy-MM-dd").alias("newest"))
-    return health.import_stats(c.select(kind.alias("outcome"))).join(one, how="cross")  # one row each
+    return health.import_stats(table(spark, sf_dir, "customer").select(kind.alias("outcome")))
+
+
+@query("""select count(*) as n, strftime(max(o_orderdate), '%Y-%m-%d') as newest from orders""")
+def table_totals(spark, sf_dir):
+    return health.table_status(table(spark, sf_dir, "orders"), "o_orderdate").select("n", F.date_format("newest", "yyyy-MM-dd").alias("newest"))
 
 
 @query("""with a as (select max(o_orderdate) m from orders), n as (select count(*) filter (o_orderstatus <> 'F' and o_orderkey % 2 = 0 and o_orderdate < m - interval 5 hours) lag, count(*) filter (o_orderkey % 50 = 0) drops, count(*) filter (o_totalprice < 1000) cheap from orders, a)

@@ -191,11 +191,11 @@ def read_events(spark: SparkSession, path: str, as_of: Column, days: int = 30, t
     return rows.select(*columns) if columns else rows
 
 
-def write_health(states: DataFrame, path: str, sources: list[str] | None = None) -> None:
-    """States as JSON lines without computed fields; with `sources` all but
-    these, which start again from nothing."""
+def write_health(states: DataFrame, path: str, reset: DataFrame | None = None) -> None:
+    """States as JSON lines without computed fields; with `reset` (source_name)
+    all but these, which start again from nothing."""
     stored = [f.split()[0] for f in HEALTH_SCHEMA.replace("map<string, bigint>", "map").split(", ")]
-    kept = states if sources is None else states.where(~F.col("source_name").isin(sources))
+    kept = states if reset is None else states.join(reset.select("source_name").distinct(), "source_name", "left_anti")
     kept.select(*[c for c in stored if c in states.columns]).write.json(path)
 
 
