@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Segments remembered by a worker; rarer ones are encoded when they come.
-CACHE = 600_000
+CACHE = 1_000_000
 #: The blank that the library puts before a text and instead of every space.
 BLANK = "▁"
 _SEGMENT = re.compile(" +[^ ]*")
@@ -51,14 +51,33 @@ class _Inner(dict):
     def __init__(self, count):
         super().__init__()
         self.count = count
+        self.extra: dict = {}
+
+    def learn(self, texts: list[str]) -> None:
+        """Count the words of a batch that are new, in order: each goes on
+        where it leaves the one before. What finds no room is kept for the
+        batch."""
+        self.extra = {}
+        new: set[str] = set()
+        for t in texts:
+            new.update(t.split(" "))
+        for rest in sorted(w for w in new if w not in self and len(w) < 64):
+            if len(self) < CACHE:
+                self[rest] = self.packed(rest)
+            else:
+                self.extra[rest] = self.packed(rest)
 
-    def __missing__(self, rest: str):
+    def packed(self, rest: str):
         counts = self.count(" " + rest)
-        if len(rest) < 64:
-            counts = bytes(counts) if max(counts) < 256 else tuple(counts)
-            if len(self) < CACHE:
-                self[rest] = counts
-        return counts
+        return bytes(counts) if max(counts) < 256 else tuple(counts)
+
+    def __missing__(self, rest: str):
+        known = self.extra.get(rest)
+        if known is None:
+            known = self.packed(rest) if len(rest) < 64 else self.count(" " + rest)
+            if len(rest) < 64 and len(self) < CACHE:
+                self[rest] = known
+        return known
 
 
 class PrefixCounter:
@@ -74,6 +93,7 @@ class PrefixCounter:
         self._ends = _Ends(self._pieces)
         self._apart: dict[tuple[str, str], bool] = {}
         self._long: tuple[str, list[int]] = ("", [0])
+        self._state: tuple[str, list[int], list[str]] = ("", [0], [""])
 
     def segments(self, text: str) -> list[str]:
         return _SEGMENT.findall(" " + text.replace(BLANK, " ")) if text else []
@@ -88,6 +108,9 @@ class PrefixCounter:
             return [known[s[1:]][-1] for s in _SEGMENT.findall(" " + plain)]
         return [c[-1] for c in map(known.__getitem__, plain.split(" "))]
 
+    def learn(self, texts: list[str]) -> None:
+        self._known.learn([t.replace(BLANK, " ") if BLANK in t else t for t in texts])
+
     def _kept_apart(self, a: str, b: str) -> bool:
         """Whether the encoding of a + b is these two pieces."""
         known = self._apart.get((a, b))
@@ -129,10 +152,17 @@ class PrefixCounter:
         return self._long[1]
 
     def _count(self, segment: str) -> list[int]:
+        """The program; it goes on from what the last segment has in common."""
         s = segment.replace(" ", BLANK)
         pieces, apart, ends = self._pieces, self._apart, self._ends
-        counts, last = [0], [""]
-        for i in range(1, len(s) + 1):
+        before, counts, last = self._state
+        same = 0
+        for a, b in zip(before, s):
+            if a != b:
+                break
+            same += 1
+        del counts[same + 1 :], last[same + 1 :]
+        for i in range(same + 1, len(s) + 1):
             for n in ends[s[max(0, i - 2) : i]]:  # lengths of pieces that end so
                 if n > i:
                     continue
@@ -149,7 +179,8 @@ class PrefixCounter:
                     raise ValueError("a prefix without an encoding")
             counts.append(counts[i - n] + (1 if t in pieces else len(t.encode("utf-8", "surrogatepass"))))
             last.append(t)
-        return counts
+        self._state = s, counts, last
+        return counts.copy()
 
     def table(self, text: str) -> tuple[list[int], list[int]]:
         """(code points, tokens) at the end of each segment."""
@@ -247,6 +278,7 @@ def _run(df, model_file, text, keep, budgets, whole) -> DataFrame:
         raw = batch.column(len(keep))
         out["n_bytes"] = pc.binary_length(raw)
         texts = raw.to_pylist()
+        c.learn(texts)
         totals = [list(accumulate(c.counts(t))) for t in texts]
         out["n_tokens"] = [x[-1] if x else 0 for x in totals]
         ends = [[e - 1 for e in accumulate(map(len, c.segments(t)))] for t in texts] if whole else None
