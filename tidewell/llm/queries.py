@@ -5,14 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import filter_audit, target_sampling
 from .byte_bpe import op10_byte_bpe
+from .filter_audit import op12_filter_audit
 from .fingerprints import op5_fingerprints
 from .html_text import op6_html_text
 from .jaccard import op2_ngram_jaccard
+from .licenses import op11_license_scan
 from .media import op1_media_columns
 from .mixing import op8_mix_sources
 from .quality import op9_quality_resampling
 from .rans import op4_token_output
+from .target_sampling import op13_target_resampling
 from .token_counts import op3_token_counts
 from .toxicity import op7_toxicity
 
@@ -29,6 +33,9 @@ def queries() -> dict[str, Callable]:
         "op8_mix_sources": op8_mix_sources,
         "op9_quality_resampling": op9_quality_resampling,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_license_scan": op11_license_scan,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_target_resampling": op13_target_resampling,
     }
 
 
@@ -51,4 +58,4 @@ _MAIN_TEXT = r"""with b as (select page_id, url, string_split_regex(replace(rege
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, hashes that SQL lacks, learned models and seeded draws are
     beyond SQL; tests compare those with brute force."""
-    return {"op2_ngram_jaccard": _NGRAM_JACCARD, "op6_html_text": _MAIN_TEXT}
+    return {"op2_ngram_jaccard": _NGRAM_JACCARD, "op6_html_text": _MAIN_TEXT, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_target_resampling": target_sampling.ORACLE_SQL}
