@@ -13,8 +13,8 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import dedup, gates, health, lookups, ranking, store
-from ..sources import readers
-from ..streaming import stateful
+from ..sources import connectors, readers
+from ..streaming import ledger, stateful, supervise
 from .articles import strip
 from .catalogue import _SQL, CFG, HEADLINES, attempts, health_rows, now, pick, picked, query, quoted, sql_any, table
 
@@ -24,18 +24,101 @@ L = F.lit
 # ---------------------------------------------------------------- payloads
 
 
-@query(f"""with d as (select *, {strip("coalesce(text, '')")} s from documents) select 'feed ' || doc_id as feed_name, 0 as pos, md5(coalesce(text, '')) as title, 'http://x/' || doc_id as link, nullif(s, '') as summary, 'Mon, 01 Jan 2024 00:00:00 GMT' as pub_date from d
- union all select 'feed ' || doc_id, 1, 'a & b', 'http://y/' || doc_id, nullif({strip("replace(coalesce(lang, ''), '<', '')")}, ''), null from d""")
-def feed_roundtrip(spark, sf_dir):
+_FEEDS = f"""with d as (select *, {strip("coalesce(text, '')")} s from documents) select 'feed ' || doc_id as feed_name, 0 as pos, md5(coalesce(text, '')) as title, 'http://x/' || doc_id as link, nullif(s, '') as summary, 'Mon, 01 Jan 2024 00:00:00 GMT' as pub_date from d
+ union all select 'feed ' || doc_id, 1, 'a & b', 'http://y/' || doc_id, nullif({strip("replace(coalesce(lang, ''), '<', '')")}, ''), null from d"""
+_FEED_COLUMNS = ["feed_name", "pos", "title", "link", "summary", "pub_date"]
+
+
+def feed_payloads(d: DataFrame) -> DataFrame:
     """A feed for each document, with an undeclared prefix, an entry with
     CDATA and one with attributes and character references."""
-    d = table(spark, sf_dir, "documents")
     key, text = F.col("doc_id").cast("string"), T.nz(F.col("text"))
     first = F.concat(L("<item><title>"), F.md5(text.cast("binary")), L("</title><link>http://x/"), key, L("</link><media:thumbnail url='u'/><content:encoded><![CDATA["), text, L("]]></content:encoded><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate></item>"))
     second = F.concat(L("<item><title>a &amp; b</title><link>http://y/"), key, L("</link><description>"), T.nz(F.col("lang")), L("</description></item>"))
     payload = F.concat(L("<rss version='2.0'><channel>"), first, second, L("</channel></rss>"))
-    out = readers.feed_entries(d.select(F.concat(L("feed "), key).alias("feed_name"), payload.alias("payload")))
-    return out.select("feed_name", "pos", "title", "link", "summary", "pub_date")
+    return d.select(F.concat(L("feed "), key).alias("feed_name"), payload.alias("payload"))
+
+
+@query(_FEEDS)
+def feed_roundtrip(spark, sf_dir):
+    return readers.feed_entries(feed_payloads(table(spark, sf_dir, "documents"))).select(*_FEED_COLUMNS)
+
+
+def _archived(spark, payloads: DataFrame, cycles: list[str]) -> str:
+    """An archive of payloads (feed_name, payload), dealt out over cycles by
+    name."""
+    connectors.register(spark)
+    path = f"{store.shared_dir(spark)}/archive/{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("feed_name"), L(len(cycles)))
+    for i, cycle in enumerate(cycles):
+        connectors.archive(payloads.where(part == i).withColumnRenamed("feed_name", "name"), path, cycle)
+    return path
+
+
+@query(_FEEDS)
+def feed_source(spark, sf_dir):
+    """The connector over an archive of all feeds, in three cycles."""
+    path = _archived(spark, feed_payloads(table(spark, sf_dir, "documents")), ["20240101", "20240102", "20240103"])
+    rows = spark.read.format("feed").option("path", path).load().where("cycle >= '20240101' and error is null")
+    return rows.withColumnRenamed("name", "feed_name").select(*_FEED_COLUMNS)
+
+
+@query("""select 'page ' || page_id as name, nullif(trim(url), '') as link, replace(html, ']]>', '') as html from pages where page_id % 5 >= 2""")
+def feed_since(spark, sf_dir):
+    """Pages as Atom feeds in five cycles; the cut reaches the connector, which
+    reads the later ones only."""
+    connectors.register(spark)
+    p = table(spark, sf_dir, "pages")
+    path = f"{store.shared_dir(spark)}/archive/{uuid.uuid4().hex}"
+    entry = F.concat(L("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>page</title><link href='"), F.replace(F.replace(T.nz(F.col("url")), L("&"), L("&amp;")), L("'"), L("&#39;")), L("'/><content><![CDATA["), F.replace(T.nz(F.col("html")), L("]]>"), L("")), L("]]></content></entry></feed>"))
+    for day in range(5):
+        connectors.archive(p.where(F.col("page_id") % 5 == day).select(F.concat(L("page "), F.col("page_id")).alias("name"), entry.alias("payload")), path, f"2024010{day + 1}")
+    rows = spark.read.format("feed").option("path", path).load().where("cycle >= '20240103'")
+    return rows.select("name", F.nullif("link", L("")).alias("link"), F.col("summary").alias("html"))
+
+
+@query(_FEEDS)
+def feed_polling(spark, sf_dir):
+    """The same feeds as a stream over an archive that grows between two runs
+    under supervision."""
+    feeds = feed_payloads(table(spark, sf_dir, "documents"))
+    path = _archived(spark, feeds.where("length(feed_name) % 2 = 0"), ["20240101", "20240102"])
+    out, state = f"{path}-out", f"{path}-state"
+    stream = spark.readStream.format("feed").option("path", path).load()
+    start = supervise.polling(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), state, f"feeds-{uuid.uuid4().hex[:8]}")
+    supervise.supervise(start, most=0, poll=0.2)
+    connectors.archive(feeds.where("length(feed_name) % 2 = 1").withColumnRenamed("feed_name", "name"), path, "20240103")
+    supervise.supervise(start, most=0, poll=0.2)
+    rows = spark.read.schema(stream.schema).parquet(out).where("error is null")
+    return rows.withColumnRenamed("name", "feed_name").select(*_FEED_COLUMNS)
+
+
+@query("""select doc_id, 'http://n/' || doc_id as link, text as summary from documents""")
+def news_source(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    item = F.struct(F.md5(T.nz(F.col("text")).cast("binary")).alias("name"), F.concat(L("http://n/"), F.col("doc_id")).alias("url"), F.col("text").alias("description"), L("2024-01-01T05:06:07Z").alias("datePublished"))
+    path = _archived(spark, d.select(F.col("doc_id").cast("string").alias("feed_name"), F.to_json(F.struct(F.array(item).alias("value"))).alias("payload")), ["1"])
+    return spark.read.format("news").option("path", path).load().select(F.col("name").cast("long").alias("doc_id"), "link", "summary")
+
+
+@query("""select event_type, event_id, count(*) as n from events where event_type in ('error', 'purchase') group by 1, 2""")
+def alerts_exactly_once(spark, sf_dir):
+    """Alerts of a stream in four batches, each of which is delivered twice, as
+    files of the handler."""
+    base = f"{store.shared_dir(spark)}/alerts/{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").where("event_type in ('error', 'purchase')").select(F.col("event_id").alias("id"), "event_type")
+    e.repartition(4).write.parquet(f"{base}/in")
+    book = ledger.Ledger(spark, f"{base}/ledger")
+    step = ledger.exactly_once(book, {"file": ledger.FileAlerts(f"{base}/out")})
+
+    def twice(batch: DataFrame, n: int) -> None:
+        step(batch, n)
+        step(batch, n)
+
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    supervise.supervise(supervise.polling(stream, twice, f"{base}/state", f"alerts-{uuid.uuid4().hex[:8]}"), most=0, poll=0.2)
+    sent = spark.read.schema(e.schema).json(f"{base}/out")
+    return sent.groupBy("event_type", F.col("id").alias("event_id")).agg(F.count("*").alias("n"))
 
 
 @query("""select doc_id, case doc_id % 4 when 0 then 'error' when 1 then 'warning' when 2 then 'ok' else 'error' end as status, case when doc_id % 4 = 2 then 2 else 0 end as items from documents""")
