@@ -62,3 +62,49 @@ def test_cycle(spark, tmp_path):
     q = stateful.run_stream(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda df, n: seen.append(df.count()), f"{tmp_path}/c")
     q.awaitTermination()
     assert sum(seen) == 5
+
+
+def cached(operations):
+    """The cache by a plain loop: what comes out, in order of time."""
+    held, out = {}, []
+    for key, kind, at, value, ttl in sorted(operations, key=lambda o: o[2]):
+        e = held.get(key)
+        if e and e[1] is not None and e[1] < at:
+            out.append((key, "expired", e[0], e[2]))
+            e = held.pop(key) and None
+        if kind == "put":
+            held[key] = [value, None if ttl is None else at + ttl, 0]
+        elif kind == "get":
+            if e:
+                e[2] += 1
+            out.append((key, "hit", e[0], e[2]) if e else (key, "miss", None, 0))
+        elif e:
+            out.append((key, "cleared", e[0], e[2]))
+            del held[key]
+    end = max(o[2] for o in operations)
+    out += [(k, "expired", e[0], e[2]) for k, e in held.items() if e[1] is not None and e[1] < end]
+    return out, sum(e[1] is None or e[1] >= end for e in held.values())
+
+
+def test_cache_stream(spark, tmp_path):
+    """Hits, misses, replaced, cleared and expired entries over several
+    batches; what has gone takes no state."""
+    import random
+
+    rng = random.Random(4)
+    operations = [(f"k{rng.randrange(8)}", rng.choice(["put", "put", "get", "get", "get", "clear"]), t, f"v{t}", rng.choice([None, 3, 10, 40])) for t in range(1000, 1240, 2)]
+    schema = "cache_key string, kind string, s int, value string, ttl int"
+    for i in range(3):
+        spark.createDataFrame(operations[i * 40 : i * 40 + 40], schema).withColumn("at", F.timestamp_seconds("s")).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+    from tidewell.streaming import expiring
+
+    stream = spark.readStream.schema(schema + ", at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    out = []
+    with expiring.rocksdb(spark):
+        q = expiring.cache_stream(stream).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(lambda df, n: out.extend(df.collect())).start()
+        q.awaitTermination()
+    want, left = cached(operations)
+    text = lambda rows: sorted(map(str, rows))
+    got = [(r.cache_key, r.outcome, r.value, r.hits) for r in out]
+    assert text(got) == text(want)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * left + 4  # entries and their timers

@@ -14,9 +14,9 @@ from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import dedup, gates, health, lookups, ranking, store
 from ..sources import connectors, readers
-from ..streaming import ledger, stateful, supervise
+from ..streaming import expiring, ledger, stateful, supervise
 from .articles import strip
-from .catalogue import _SQL, CFG, HEADLINES, attempts, health_rows, now, pick, picked, query, quoted, sql_any, table
+from .catalogue import _SQL, CFG, HEADLINES, attempts, drained, health_rows, now, pick, picked, query, quoted, sql_any, stream_of, table
 
 L = F.lit
 
@@ -302,6 +302,20 @@ def cache_expiry(spark, sf_dir):
     return lookups.expire(entries, now(e, "ts"), "click").select("event_id")
 
 
+@query("""select event_id from events, (select max(ts) m from events) where epoch(m - ts) <= 3600 * 24 * (user_id % 5) and event_type <> 'click'""")
+def cache_stream(spark, sf_dir):
+    """The same by a stream: entries with timers of their own; clicks are
+    cleared when they come."""
+    e = stream_of(spark, sf_dir)
+    ttl = (3600 * 24 * (F.col("user_id") % 5)).cast("double")
+    kinds = F.explode(F.when(F.col("event_type") == "click", F.array(L("put"), L("clear"))).otherwise(F.array(L("put"))))
+    operations = e.select(F.col("event_id").cast("string").alias("cache_key"), kinds.alias("kind"), F.col("ts").alias("at"), F.col("event_type").alias("value"), ttl.alias("ttl"))
+    with expiring.rocksdb(spark):
+        gone = drained(expiring.cache_stream(operations), "append")
+    left = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("cache_key")).join(gone.select("cache_key"), "cache_key", "left_anti")
+    return left.select(F.col("cache_key").cast("long").alias("event_id"))
+
+
 @query("""select c_custkey::varchar as cache_key, case when c_custkey % 3 = 0 then '[1]' else '[0]' end as results_json from customer""")
 def search_cache_writes(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
