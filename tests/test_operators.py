@@ -47,6 +47,23 @@ def test_greedy_equals_a_loop(spark, seed):
     assert sorted(r.arrival_seq for r in dedup.greedy(df).collect()) == greedy(rows)
 
 
+@pytest.mark.parametrize("kind", ["chain", "star", "one component"])
+def test_greedy_over_one_component(spark, kind):
+    """A chain in which each row waits for the one before it; one url or title
+    of all rows; all rows in one component."""
+    rng = random.Random(5)
+    if kind == "chain":
+        rows = [(i, f"u{(i + 1) // 2}", f"T{i // 2}") for i in range(12)]
+    elif kind == "star":
+        rows = [(i, "same" if i % 2 else f"u{i}", "Same" if i % 3 else f"T{i}") for i in range(300)]
+    else:
+        rows = [(i, f"u{rng.randrange(40)}", f"T{rng.randrange(200)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "arrival_seq long, url string, title string")
+    out = dedup.greedy(df)
+    assert sorted(r.arrival_seq for r in out.collect()) == greedy(rows)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (3, 9)], "a long, b long")
     assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7}

@@ -2,18 +2,18 @@
 
 `greedy` accepts rows in arrival order unless an accepted row has their url or
 (for titles that are no template) their title. A row rejected for its title
-never claims its url, so this is no pair of window functions: rows that share
-keys form components, and each component is scanned in order.
+never claims its url, so this is no pair of window functions.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import components
+from .store import release, staged
 
 
 def unseen(df: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
@@ -50,32 +50,32 @@ def title_groups(df: DataFrame, key: str = "id", title: str = "title", companies
 def greedy(df: DataFrame, url: str = "url", title: str = "title", order: str = "arrival_seq") -> DataFrame:
     """Rows accepted by the greedy rule; `order` is unique and a whole number.
 
-    Only keys move: components are found over (order, key) pairs and scanned in
-    parallel. A component of one row is accepted without a scan."""
+    In rounds, by joins alone: of the rows that are undecided, each that comes
+    first under all its keys is accepted, and whoever shares a key with it is
+    rejected. An accepted row is the first of its keys whatever is decided
+    elsewhere, so all rounds together accept what a scan in order would. Rows
+    that share no key never move. A round settles every key whose first row is
+    settled; the number of rounds is that of the longest chain of rows each of
+    which waits for the one before it."""
     t = T.title_key(F.col(title))
-    keys = df.select(
-        F.col(order).cast("long").alias("_at"),
-        T.url_hash(F.col(url)).alias("_url"),
-        F.when((t != "") & ~T.is_templated(F.col(title)), F.md5(t.cast("binary"))).alias("_title"),
-    )
-    flat = keys.select("_at", F.explode(F.array_compact(F.array(F.concat(F.lit("u"), "_url"), F.concat(F.lit("t"), "_title")))).alias("_key"))
-    least = flat.groupBy("_key").agg(F.min("_at").alias("a"), F.count("*").alias("n")).where("n > 1")
-    links = flat.join(least, "_key").where("_at <> a").select(F.col("_at").alias("a"), F.col("a").alias("b"))
-    grouped = keys.join(components(links).select(F.col("node").alias("_at"), F.col("component").alias("_part")), "_at")
-
-    def scan(table: pa.Table) -> pa.Table:
-        urls, titles, kept = set(), set(), []
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("_at", "_url", "_title"))))
-        for at, u, t_ in rows:
-            if u in urls or t_ is not None and t_ in titles:
-                continue
-            urls.add(u)
-            titles.add(t_)
-            kept.append(at)
-        return pa.table({"_at": pa.array(kept, pa.int64())})
-
-    chosen = grouped.groupBy("_part").applyInArrow(scan, "_at long")
-    out = df.withColumn("_at", F.col(order).cast("long"))
-    # Everything in a component that the scan did not choose goes.
-    rejected = grouped.select("_at").join(chosen, "_at", "left_anti")
-    return out.join(rejected, "_at", "left_anti").drop("_at")
+    real = F.when((t != "") & ~T.is_templated(F.col(title)), F.concat(F.lit("t"), F.md5(t.cast("binary"))))
+    keys = F.array_compact(F.array(F.concat(F.lit("u"), T.url_hash(F.col(url))), real))
+    flat = df.select(F.col(order).cast("long").alias("at"), F.explode(keys).alias("key"))
+    shared = flat.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    flat = flat.join(shared, "key")
+    left = staged(flat.join(flat.groupBy("at").agg(F.count("*").alias("keys")), "at"))  # keys: how many a row has
+    gone = []
+    while True:
+        first = left.groupBy("key").agg(F.min(F.struct("at", "keys")).alias("f")).select("key", F.col("f.at").alias("at"), F.col("f.keys").alias("keys"))
+        accepted = first.groupBy("at", "keys").agg(F.count("*").alias("n")).where("n = keys").select("at")
+        claimed = first.join(accepted, "at").select("key")
+        decided = left.join(claimed, "key").select("at").distinct()
+        decided = staged(decided.join(accepted.withColumn("accepted", F.lit(True)), "at", "left"))
+        gone.append(decided.where("accepted is null").select("at"))
+        before, left = left, staged(left.join(decided.select("at"), "at", "left_anti"))
+        release(before)
+        if left.isEmpty():
+            release(left)
+            break
+    rejected = reduce(DataFrame.union, gone)
+    return df.withColumn("_at", F.col(order).cast("long")).join(rejected.withColumnRenamed("at", "_at"), "_at", "left_anti").drop("_at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import release, staged
 
 MOST_ROUNDS = 60
 
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _nearest(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = _nearest(large)  # a > b already
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = staged(small.where("a <> b").distinct())
+        before, edges = edges, staged(small.where("a <> b").distinct())
+        release(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == mark or not now[0]:
             break

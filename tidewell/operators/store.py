@@ -8,6 +8,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,23 @@ def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged[id(out)] = weakref.ref(out), path
+    return out
+
+
+_staged: dict[int, tuple] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more: what was made of them
+    has been written. Other DataFrames are left alone."""
+    for df in tables:
+        known, path = _staged.pop(id(df), (lambda: None, None))
+        if known() is df:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 # ---------------------------------------------------------------- merges
