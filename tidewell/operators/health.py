@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import dates as D
 from ..functions import vocab as V
 from ..functions.text import nz
+from . import slices
 
 
 def error_class(message: Column) -> Column:
@@ -110,8 +111,8 @@ def dashboard(states: DataFrame, as_of: Column) -> DataFrame:
 
 
 def rolling_mean(checks: DataFrame, source: str, ts: str, tie: str, value: str, rows: int = 100) -> DataFrame:
-    w = W.partitionBy(source).orderBy(ts, tie).rowsBetween(-(rows - 1), 0)
-    return checks.where(F.col(value) > 0).withColumn("rolling_mean", F.avg(value).over(w))
+    """Mean of a source's last positive values, slice by slice of its rows."""
+    return slices.over_rows(checks.where(F.col(value) > 0), source, ts, tie, rows, F.avg(value), "rolling_mean")
 
 
 # ---------------------------------------------------------------- checks

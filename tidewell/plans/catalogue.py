@@ -468,11 +468,7 @@ def title_dedup(spark, sf_dir):
     return dedup.title_groups(d, "doc_id", "text", found="found").select("doc_id", (F.col("keep_rank") == 1).alias("kept"), "copies")
 
 
-@query("""with k as materialized (select row_number() over (order by doc_id) i, doc_id, concat_ws('|', source, lang, doc_id % 40) u, nullif(lower(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '') t from documents),
- x as materialized (select i, doc_id, dense_rank() over (order by u) u, case when not starts_with(t, 'sec 8-k') and not contains(t, ' hiring: ') and count(*) over (partition by t) > 1 then -dense_rank() over (order by t) end t from k),
- f as (select list_reduce(list({'d': [doc_id], 's': [u, t]} order by i), lambda a, r: case when list_contains(a.s, r.s[1]) or coalesce(list_contains(a.s, r.s[2]), false) then a
-   else {'d': list_concat(a.d, r.d), 's': list_concat(a.s, r.s)} end, {'d': []::bigint[], 's': []::bigint[]}) f from x)
- select unnest(f.d) as doc_id from f""")
+@query()
 def greedy_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", "source", "lang", F.col("doc_id") % 40).alias("url"), F.col("text").alias("title"))
     return dedup.greedy(d, order="doc_id").select("doc_id")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators import slices
+
 BACKOFF_CODES = (429, 503, 502, 500)
 
 
@@ -39,10 +41,8 @@ def not_too_old(df: DataFrame, ts: str, as_of: Column, hours: int) -> DataFrame:
 
 def sliding_cap(df: DataFrame, ts: str, tie: str, key: str, cap: int, window: str = "1 hour") -> DataFrame:
     """n_window: calls of the key in the hour up to each call; within: under
-    the cap."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(key).orderBy(at).rangeBetween(-_micros(window), 0)
-    return df.withColumn("n_window", F.count("*").over(w)).withColumn("within", F.col("n_window") <= cap)
+    the cap. A day of a key is counted at a time."""
+    return slices.over_time(df, key, ts, _micros(window), F.count("*"), "n_window").withColumn("within", F.col("n_window") <= cap)
 
 
 def _micros(text: str) -> int:
