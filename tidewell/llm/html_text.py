@@ -2,30 +2,39 @@
 
 Pages are parsed into whole trees of block elements with runs of text; nothing
 is left out but what is never shown (scripts, styles and the like) and buttons
-and such inside of a run. Pages of
-one host with the same outline (the paths of their upper elements) are aligned
-pairwise by simple tree matching: children in order, equal signatures, equal
-subtrees at once. Runs whose aligned counterparts say the same on most
-reference pages are constant and become the template. What varies fills its
-slots, and the slots' container is found from the aligned pages as well: from
-the root down, the element that holds nearly all of the varying text. A page
-with a template is its container's runs without the constant ones, and the
-headings that stand outside.
-
-Where alignment cannot tell, marks do: menus, page headers, footers, sidebars,
-notices, adverts, forms, reader comments and the like by tag, role, class or
-id vary from page to page as an article does. Pages without a template go by
-their article or main element, or else by runs that are not mostly links. The
-result says what decided (`decided`: template, article or runs).
-
-References are chosen by hash, one from each of REFERENCES slices of the pages
-of a host and outline, in one aggregation with partial results, so a host with
+and such inside of a run. Pages of one host with the same outline (the paths of
+their upper elements) share a layout. Reference pages of a layout are aligned by
+simple tree matching: children in order, equal signatures, equal subtrees at
+once. Runs whose aligned counterparts say the same on most references are
+constant and become the template. What varies fills slots, the aligned elements,
+and each slot is judged by what it holds on all references: the container is
+the aligned element, from the root down, that has nearly all of the varying
+text; slots in it stay unless they are mostly links or marked as something
+else; outside of it stay headings and blocks of plain text that stand next to
+the container or next to what holds it, such as a lead. One reference carries
+these roles. A page is aligned with it, its elements take over the roles of
+their partners, and elements without a partner those of their parent.
+
+Marks (tag, role, class or id) are evidence about a slot, and decide alone only
+where nothing is aligned. Inside an article or a container only strong marks
+count (navigation, forms, adverts, reader comments); a class such as "related"
+or "notice" drops nothing there that is not mostly links. Pages without a
+template go by their article or main element, or else by runs that are not
+mostly links, without bare text outside of the element that holds all
+paragraphs. The result says what decided (`decided`: template, article or runs).
+
+Matching is bounded for a pair of pages, not for a level: subtrees are compared
+exactly until CELLS * 2 cells are spent, then by their number of children; two
+very long lists of children are aligned between equal children.
+
+References are chosen by hash, from REFERENCES slices of the pages of a host and
+outline (sliced twice), in one aggregation with partial results, so a host with
 a third of all pages costs no task more than another. Copies among them count
 once (else an article copied within a host would look constant): references
 whose runs, without those on more than half of the references, are the same or
 say much the same by sketches of word pairs. Two references are enough if more
 than half of either varies. Templates go to the tasks as a broadcast while they
-are few (checked), otherwise by a join on host, outline and a salt. Every page
+are small (checked), otherwise by a join on host, outline and a salt. Every page
 is extracted whole.
 
 Defined cases: a null or empty html has the text ""; a null or broken url has
@@ -43,6 +52,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +63,9 @@ from . import _common as C
 REFERENCES = 8
 OUTLINE = 3  # levels of elements that tell layouts apart
 DEEP = 150  # levels that are aligned as such; what is deeper counts as there
-CELLS = 40_000  # children times children that are aligned by all pairs
+CELLS = 10_000  # children times children that are aligned by all pairs
 HELD = 0.8  # of the varying text, in the container
+LINKS = 0.6  # of a text, from where it is a list of links
 BROADCAST_KEYS = 500_000
 SALTS = 16
 SKETCH = 8  # word pairs kept of a reference's run
@@ -65,6 +76,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 DROPPED = frozenset("nav footer aside form menu dialog button select option svg object canvas audio video head".split())
 ARTICLE = frozenset("article main".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption summary".split())
+BESIDE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure table dl ul ol details".split())
 NEVER_DROPPED = frozenset("html body article main".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -74,6 +87,9 @@ HINTS = frozenset(
     "pagination pager widget masthead topbar toolbar skip tags byline copyright".split()
 )
 PAGE_HINTS = frozenset("header".split())  # outside of an article only
+#: Of the hints, those that count outside of an article only, and tags alike.
+WEAK = frozenset("promo promotion banner rail notice notices alert social related recommended widget masthead topbar toolbar skip tags byline copyright overlay".split())
+WEAK_TAGS = frozenset("aside".split())
 FRAME = frozenset("content main article post body wrapper container page layout has with no text entry story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
@@ -98,11 +114,11 @@ class Node:
 class Run:
     """A run of text of one block: its text, characters of it in links,
     whether it stands in an article, and whether its element is marked as
-    something else."""
+    something else (1 weakly, 2 strongly)."""
 
     __slots__ = ("text", "linked", "article", "marked")
 
-    def __init__(self, text: str, linked: int, article: bool, marked: bool):
+    def __init__(self, text: str, linked: int, article: bool, marked: int):
         self.text, self.linked, self.article, self.marked = text, linked, article, marked
 
 
@@ -110,19 +126,23 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip() else {}
 
 
-def _marked(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def _marked(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """0, 1 (weakly marked) or 2."""
     if tag in NEVER_DROPPED:
-        return "hidden" in attrs or any(p.lower() in ("comment", "comments", "reply") for p in _PART.findall(attrs.get("class", "") + " " + attrs.get("id", ""))) and tag == "article"
+        return 2 * ("hidden" in attrs or any(p.lower() in ("comment", "comments", "reply") for p in _PART.findall(attrs.get("class", "") + " " + attrs.get("id", ""))) and tag == "article")
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return 1 if tag in WEAK_TAGS else 2
     if not attrs:
-        return False
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
+        return 2
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return 2
     parts = {p.lower() for p in _PART.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
-    return bool(parts & HINTS or not in_article and parts & PAGE_HINTS) and not parts & FRAME
+    if parts & FRAME:
+        return 0
+    hints = parts & HINTS or not in_article and parts & PAGE_HINTS
+    return 0 if not hints else 2 if hints - WEAK else 1
 
 
 class _Open:
@@ -130,7 +150,7 @@ class _Open:
 
     def __init__(self, root: Node):
         # (tag, node, marked, article, link, whether its block is marked)
-        self.stack = [("", root, False, False, False, False)]
+        self.stack = [("", root, 0, False, False, 0)]
         self.blocks: list[int] = []
         self.places: dict[str, list[int]] = {}
 
@@ -214,7 +234,7 @@ def parse(page: str) -> Node:
                     close(opened.blocks[-1])
             _, node, marked, article, link, block = stack[-1]
             attrs = _attributes(m["attrs"])
-            marked = marked or _marked(tag, attrs, article)
+            marked = max(marked, _marked(tag, attrs, article))
             if tag in BLOCK:
                 flush()
                 block = marked
@@ -270,26 +290,33 @@ def sketch(text: str) -> list[int]:
     return sorted({zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(w, w[1:] or [""])})[:SKETCH]
 
 
-def skeleton(root: Node) -> str:
-    """The tree for alignment, as JSON. An element is [path, name of what it
-    holds, children]; a run is ["#", key, sketch, characters (0 if marked)]."""
+def tree(root: Node) -> list:
+    """The page for alignment. An element is [signature, name of what it holds,
+    children]; a run is ["#", key, sketch, characters, of these in links, mark,
+    the run]. Deeper levels than DEEP count as there, in page order."""
     top: list = ["", 0, []]
-    todo, order = [("", root, top, 0)], []
+    todo, order = [("", c, top, 0) for c in reversed(root.children)], [("", top)]
     while todo:
         path, node, out, depth = todo.pop()
-        order.append(out)
-        here = f"{path}/{node.sig}" if node.sig else path
-        for c in node.children:
-            if isinstance(c, Run):
-                out[2].append(["#", key(here, c.text), sketch(c.text), 0 if c.marked else len(c.text)])
-            else:
-                new = [f"{here}/{c.sig}", 0, []] if depth < DEEP else out
-                if new is not out:
-                    out[2].append(new)
-                todo.append((here, c, new, depth + 1))
-    for out in reversed(order):
-        out[1] = key(out[0], " ".join(str(c[1]) for c in out[2]))
-    return json.dumps(top)
+        if isinstance(node, Run):
+            out[2].append(["#", key(path, node.text), sketch(node.text), len(node.text), node.linked, node.marked, node])
+            continue
+        here = f"{path}/{node.sig}"
+        if depth < DEEP:
+            new: list = [node.sig, 0, []]
+            out[2].append(new)
+            order.append((here, new))
+        else:
+            new = out
+        todo.extend((here, c, new, depth + 1) for c in reversed(node.children))
+    for path, out in reversed(order):
+        out[1] = key(path, " ".join(str(c[1]) for c in out[2]))
+    return top
+
+
+def skeleton(root: Node) -> str:
+    """tree() without the runs, as JSON."""
+    return json.dumps(tree(root), default=lambda run: None)
 
 
 def leaves(tree: list) -> dict[int, list[int]]:
@@ -322,60 +349,100 @@ def alike(a: set[int], b: set[int], share: float) -> bool:
     return len(a | b) >= 4 and len(a & b) > share * len(a | b)
 
 
-def same_runs(a: list, b: list, out: set[int]) -> int:
-    """Simple tree matching of two skeletons: its score; keys of aligned equal
-    runs go to `out`. Equal subtrees are aligned at once. Other children are
-    aligned in order, equal texts counting double: by all pairs, or where the
-    two elements have very many children, between those that are equal."""
-    if a[0] != b[0]:
-        return 0
-    if a[0] == "#":
+class Matcher:
+    """Simple tree matching of two trees. Scores of pairs of subtrees are kept;
+    when the cells are spent, a pair counts as many children as either has."""
+
+    def __init__(self):
+        self.left = 2 * CELLS
+        self.scores: dict[tuple[int, int], int] = {}
+        self.sizes: dict[int, int] = {}
+
+    def size(self, a: list) -> int:
+        """Runs of a subtree."""
+        if a[0] == "#":
+            return 1
+        n = self.sizes.get(id(a))
+        if n is None:
+            n = self.sizes[id(a)] = sum(map(self.size, a[2]))
+        return n
+
+    def score(self, a: list, b: list) -> int:
+        """Elements of the best alignment, equal runs counted double."""
+        if a[0] != b[0]:
+            return 0
+        if a[0] == "#":
+            return 2 if a[1] == b[1] else 1
         if a[1] == b[1]:
-            out.add(a[1])
-        return 2 if a[1] == b[1] else 1
-    if a[1] == b[1]:
-        own = leaves(a)
-        out.update(own)
-        return 1 + 2 * len(own)
-    x, y = a[2], b[2]
-    first = 0
-    while first < min(len(x), len(y)) and x[first][:2] == y[first][:2]:
+            return self.whole(a)
+        known = self.scores.get((id(a), id(b)))
+        if known is None:
+            same, x, y = trimmed(a[2], b[2])
+            known = 1 + sum(self.whole(c) for c, _ in same)
+            if len(x) * len(y) > min(CELLS, self.left):
+                known += min(len(x), len(y))
+            else:
+                self.left -= len(x) * len(y)
+                known += self.table(x, y)[-1][-1]
+            self.scores[id(a), id(b)] = known
+        return known
+
+    def whole(self, a: list) -> int:
+        """The score of a subtree with its equal."""
+        return 2 if a[0] == "#" else 1 + 2 * self.size(a)
+
+    def table(self, x: list, y: list) -> list[list[int]]:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            row, up = best[i + 1], best[i]
+            for j, d in enumerate(y):
+                n = self.score(c, d)
+                row[j + 1] = max(up[j + 1], row[j], up[j] + n) if n else max(up[j + 1], row[j])
+        return best
+
+    def pairs(self, a: list, b: list):
+        """Aligned (element or run of a, of b), parents before children."""
+        todo = [(a, b)]
+        while todo:
+            c, d = todo.pop()
+            if c[0] != d[0]:
+                continue
+            yield c, d
+            if c[0] == "#":
+                continue
+            if c[1] == d[1]:
+                todo.extend(zip(c[2], d[2]))
+                continue
+            same, x, y = trimmed(c[2], d[2])
+            todo += same
+            if len(x) * len(y) > CELLS:
+                todo += between_equal(x, y)
+                continue
+            best, i, j = self.table(x, y), len(x), len(y)
+            while i and j:
+                n = self.score(x[i - 1], y[j - 1])
+                if n and best[i][j] == best[i - 1][j - 1] + n:
+                    i, j = i - 1, j - 1
+                    todo.append((x[i], y[j]))
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+
+
+def trimmed(x: list, y: list) -> tuple[list, list, list]:
+    """Pairs of equal children at both ends, and what is left between them."""
+    first, most = 0, min(len(x), len(y))
+    while first < most and x[first][:2] == y[first][:2]:
         first += 1
     last = 0
-    while last < min(len(x), len(y)) - first and x[-1 - last][:2] == y[-1 - last][:2]:
+    while last < most - first and x[-1 - last][:2] == y[-1 - last][:2]:
         last += 1
-    score = 1
-    for c, d in [*zip(x[:first], y[:first]), *zip(x[len(x) - last :], y[len(y) - last :])]:
-        score += same_runs(c, d, out)
-    x, y = x[first : len(x) - last], y[first : len(y) - last]
-    if len(x) * len(y) > CELLS:
-        return score + _between_equal(x, y, out)
-    found: dict[tuple[int, int], set[int]] = {}
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    own = {}
-    for i in range(len(x)):
-        row, up = best[i + 1], best[i]
-        for j in range(len(y)):
-            n = 0
-            if x[i][0] == y[j][0]:
-                keys: set[int] = set()
-                n = same_runs(x[i], y[j], keys)
-                found[i, j], own[i, j] = keys, n
-            row[j + 1] = max(up[j + 1], row[j], up[j] + n)
-    i, j = len(x), len(y)
-    while i and j:
-        n = own.get((i - 1, j - 1), 0)
-        if n and best[i][j] == best[i - 1][j - 1] + n:
-            out |= found[i - 1, j - 1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return score + best[-1][-1]
+    ends = [*zip(x[:first], y[:first]), *zip(x[len(x) - last :], y[len(y) - last :])]
+    return ends, x[first : len(x) - last], y[first : len(y) - last]
 
 
-def _between_equal(x: list, y: list, out: set[int]) -> int:
+def between_equal(x: list, y: list) -> list[tuple]:
     """Long lists of children: the longest ascending chain of children that
     are equal and occur once in either list is aligned, and what lies between
     two of them in order."""
@@ -395,57 +462,141 @@ def _between_equal(x: list, y: list, out: set[int]) -> int:
     while n is not None:
         picked.append(pairs[n])
         n = chain[n][1]
-    score, i, j = 0, 0, 0
+    out, i, j = [], 0, 0
     for a, b in [*reversed(picked), (len(x), len(y))]:
-        for c, d in zip(x[i:a], y[j:b]):
-            score += same_runs(c, d, out)
+        out += [(c, d) for c, d in zip(x[i:a], y[j:b]) if c[0] == d[0]]
         if a < len(x):
-            score += same_runs(x[a], y[b], out)
+            out.append((x[a], y[b]))
         i, j = a + 1, b + 1
-    return score
+    return out
+
+
+def same_runs(a: list, b: list, out: set[int]) -> int:
+    """The score of two trees; keys of aligned equal runs go to `out`."""
+    m = Matcher()
+    out.update(c[1] for c, d in m.pairs(a, b) if c[0] == "#" and c[1] == d[1])
+    return m.score(a, b)
+
+
+# ---------------------------------------------------------------- slots
+
+#: Roles of aligned elements: kept, dropped inside the container, holding the
+#: container, and outside of it.
+KEPT, DROPPED_SLOT, HOLDER, OUTSIDE = "k", "d", "h", "o"
+
+
+def tag_of(sig: str) -> str:
+    return sig.split(".")[0]
+
+
+class Slot:
+    """What an element holds on all references: characters, those in links,
+    those marked strongly or at all, and the weight of what varies."""
 
+    __slots__ = ("chars", "linked", "strong", "marked", "volume")
 
-def container(trees: list[list], constant: set[int]) -> str:
-    """Path of the element that holds nearly all unmarked text that varies:
-    from the root down, as long as one path does and has children of its own."""
-    volume: Counter = Counter()
-    inner: Counter = Counter()
-    kids: dict[str, set[str]] = {}
-    for tree in trees:
-        todo = [(tree, ())]
+    def __init__(self):
+        self.chars = self.linked = self.strong = self.marked = 0
+        self.volume = 0.0
+
+    def add(self, other: "Slot") -> None:
+        for f in self.__slots__:
+            setattr(self, f, getattr(self, f) + getattr(other, f))
+
+    def links(self) -> bool:
+        return self.linked > LINKS * self.chars
+
+
+def measured(base: list, others: list[list], constant: set[int]) -> dict[int, Slot]:
+    """The slots of base's elements, by id: runs of a reference count for the
+    element that they or the nearest element around them are aligned with."""
+    slots: dict[int, Slot] = {}
+    for other in [base, *others]:
+        partner = {id(d): c for c, d in Matcher().pairs(base, other)} if other is not base else None
+        todo = [(other, base, "")]
         while todo:
-            t, above = todo.pop()
-            if t[0] == "#":
-                if t[1] not in constant:
-                    for path in above:
-                        volume[path] += t[3]
+            t, around, tag = todo.pop()
+            here = t if partner is None else partner.get(id(t), around)
+            if t[0] != "#":
+                todo += [(c, here, tag_of(t[0])) for c in t[2]]
                 continue
-            below = (*above, t[0]) if t[0] not in above else above
+            s = slots.setdefault(id(here), Slot())
+            s.chars += t[3]
+            s.linked += t[4]
+            s.strong += t[3] * (t[5] == 2)
+            s.marked += t[3] * (t[5] > 0)
+            if t[1] not in constant and not t[5] and t[4] <= LINKS * t[3]:
+                s.volume += t[3] * (1.0 if tag in TEXTUAL else 0.25)
+    order, todo = [], [base]
+    while todo:
+        t = todo.pop()
+        order.append(t)
+        if t[0] != "#":
+            todo += t[2]
+    for t in reversed(order):
+        s = slots.setdefault(id(t), Slot())
+        if t[0] != "#":
             for c in t[2]:
-                if c[0] != "#":
-                    kids.setdefault(t[0], set()).add(c[0])
-                    inner[t[0]] += 1
-                todo.append((c, below))
-    here = ""
+                s.add(slots[id(c)])
+    return slots
+
+
+def roles(base: list, slots: dict[int, Slot]) -> dict[int, str]:
+    """The role of each of base's elements, by id."""
+    out, here = {id(base): HOLDER}, base
     while True:
-        down = [k for k in kids.get(here, ()) if k != here and volume[k] >= HELD * volume[here] > 0 and inner[k] > 1]
+        volume = slots[id(here)].volume
+        down = [c for c in here[2] if c[0] != "#" and len(c[2]) > 1 and slots[id(c)].volume >= HELD * volume > 0]
+        if not down:
+            # An element that holds but one other passes for it.
+            down = [c for c in here[2] if c[0] != "#" and slots[id(c)].volume >= HELD * volume > 0 and any(k[0] != "#" and k[2] for k in c[2])]
         if not down:
-            return here
-        here = max(down, key=lambda k: (volume[k], k))
+            break
+        here = max(down, key=lambda c: slots[id(c)].volume)
+        out[id(here)] = HOLDER
+    todo = [(base, None)]
+    while todo:
+        t, above = todo.pop()
+        held = out.get(id(t)) == HOLDER
+        if t is here:
+            role = KEPT
+        elif held:
+            role = HOLDER
+        elif above == KEPT:
+            s = slots[id(t)]
+            role = DROPPED_SLOT if t[0] != "#" and s.chars and (2 * s.strong > s.chars or s.links()) else KEPT
+        elif above == HOLDER:
+            s = slots[id(t)]
+            role = KEPT if (t[0] == "#" or tag_of(t[0]) in BESIDE) and beside(t, s) else OUTSIDE
+        else:
+            role = OUTSIDE if above == OUTSIDE and tag_of(t[0]) != "h1" else DROPPED_SLOT if above == DROPPED_SLOT else KEPT
+        out[id(t)] = role
+        if t[0] != "#":
+            todo += [(c, role) for c in t[2]]
+    return out
+
+
+def beside(t: list, s: Slot) -> bool:
+    """Whether something next to the container belongs to it: text that is no
+    list of links and not marked."""
+    return t[0] != "#" and s.chars > 0 and not 2 * s.marked > s.chars and not s.links()
 
 
 def induce(skeletons: list[str]) -> tuple[list[int], str]:
     """Keys of the runs that are constant over a layout's reference pages, and
-    the container of those that vary; ([], "") where pages are too few."""
+    the reference that carries the roles, as JSON; ([], "") where pages are too
+    few."""
     trees = different([json.loads(s) for s in sorted(set(skeletons))])
     if len(trees) < 2:
         return [], ""
     agree: Counter = Counter()
+    total = [0] * len(trees)
     for i in range(len(trees)):
         for j in range(i):
             same: set[int] = set()
-            same_runs(trees[i], trees[j], same)
+            n = same_runs(trees[i], trees[j], same)
             agree.update((k, a) for a in same for k in (i, j))
+            total[i], total[j] = total[i] + n, total[j] + n
     need = max(min(2, len(trees) - 1), len(trees) // 2)
     constant = {a for (_, a), n in agree.items() if n >= need}
     if len(trees) == 2:  # a copy or a template: half of either must vary
@@ -453,15 +604,23 @@ def induce(skeletons: list[str]) -> tuple[list[int], str]:
             sizes = lengths(t)
             if 2 * sum(n for k, n in sizes.items() if k in constant) > sum(sizes.values()):
                 return [], ""
-    return sorted(constant), container(trees, constant)
+    at = max(range(len(trees)), key=lambda i: (total[i], -i))
+    base = trees[at]
+    role = roles(base, measured(base, trees[:at] + trees[at + 1 :], constant))
+
+    def slim(t: list) -> list:
+        return ["#", t[1], role[id(t)]] if t[0] == "#" else [t[0], t[1], [slim(c) for c in t[2]], role[id(t)]]
+
+    return sorted(constant), json.dumps(slim(base))
 
 
 def lengths(tree: list) -> dict[int, int]:
+    """Characters of each run, 0 of those that are marked."""
     out, todo = {}, [tree]
     while todo:
         t = todo.pop()
         if t[0] == "#":
-            out[t[1]] = t[3]
+            out[t[1]] = 0 if t[5] else t[3]
         else:
             todo += t[2]
     return out
@@ -470,28 +629,80 @@ def lengths(tree: list) -> dict[int, int]:
 # ---------------------------------------------------------------- extraction
 
 
+@lru_cache(256)
+def _loaded(template: str) -> list:
+    return json.loads(template)
+
+
+def _runs(page: list):
+    """(run, tag of its element, elements above it) of a tree, in page order."""
+    todo = [(page, "", ())]
+    while todo:
+        t, tag, above = todo.pop()
+        if t[0] == "#":
+            yield t, tag, above
+        else:
+            todo += [(c, tag_of(t[0]), (*above, id(t))) for c in reversed(t[2])]
+
+
+def taken_over(page: list, template: list) -> dict[int, str]:
+    """Roles of a page's elements and runs by id: their partners' in the
+    template, else what their parent's role makes of them."""
+    partner = {id(d): c[-1] for c, d in Matcher().pairs(template, page)}
+    out: dict[int, str] = {}
+    todo = [(page, HOLDER)]
+    while todo:
+        t, above = todo.pop()
+        role = partner.get(id(t))
+        if role is None:
+            role = above
+            if t[0] != "#" and above in (HOLDER, KEPT):
+                s = Slot()
+                for r, _, _ in _runs(t):
+                    s.chars, s.linked, s.strong, s.marked = s.chars + r[3], s.linked + r[4], s.strong + r[3] * (r[5] == 2), s.marked + r[3] * (r[5] > 0)
+                if above == HOLDER:
+                    role = KEPT if tag_of(t[0]) in BESIDE and beside(t, s) else OUTSIDE
+                elif s.chars and (2 * s.strong > s.chars or s.links()):
+                    role = DROPPED_SLOT
+        out[id(t)] = role
+        if t[0] != "#":
+            todo += [(c, role) for c in t[2]]
+    return out
+
+
+def _bare(page: list, kept: list[tuple]) -> list[tuple]:
+    """Runs without bare text outside of the element that holds all paragraphs,
+    where paragraphs and the like are most of the text."""
+    plain = [(r, above) for r, tag, above in kept if tag in TEXTUAL]
+    if not plain or 2 * sum(r[3] for r, _ in plain) < sum(r[3] for r, _, _ in kept):
+        return kept
+    inside = set(plain[0][1][:-1]).intersection(*(above[:-1] for _, above in plain[1:]))
+    depth = len(inside)
+    return [(r, tag, above) for r, tag, above in kept if tag in TEXTUAL or depth and len(above) >= depth and above[depth - 1] in inside]
+
+
 def extract(page: str, templates: dict | None = None) -> tuple[str, str]:
     """(main text, what decided it: template, article or runs); templates:
-    outline -> (constant keys, container)."""
+    outline -> (constant keys, the reference with roles)."""
     root = parse(page)
-    found = runs(root)
-    constant, inside = (templates or {}).get(outline(root), ((), ""))
-    decided = "runs"
-    kept = [(p, r) for p, r in found if not constant or key(p, r.text) not in constant]
-    by_template = len(kept) < len(found)
-    kept = [(p, r) for p, r in kept if not r.marked]
-    if inside:
-        own = [(p, r) for p, r in kept if p == inside or p.startswith(inside + "/")]
-        if own:
-            kept = [(p, r) for p, r in kept if p == inside or p.startswith(inside + "/") or p.rsplit("/", 1)[-1].split(".")[0] == "h1"]
-            by_template = True
-    article = [r for _, r in kept if r.article]
-    # A page may be a list of which one short item is an article.
-    if article and 4 * sum(len(r.text) for r in article) >= sum(len(r.text) - r.linked for _, r in kept if not r.article):
-        kept, decided = [(p, r) for p, r in kept if r.article], "article"
-    elif not by_template or not inside:
-        kept = [(p, r) for p, r in kept if r.linked <= 0.6 * len(r.text)]
-    return "\n\n".join(r.text for _, r in kept), "template" if by_template else decided
+    whole = tree(root)
+    constant, template = (templates or {}).get(outline(root), ((), ""))
+    found = [(r, tag, above) for r, tag, above in _runs(whole) if r[1] not in constant]
+    role = taken_over(whole, _loaded(template)) if template else {}
+    by_slots = any(role.get(id(r)) == KEPT and not r[5] for r, _, _ in found)
+    if by_slots:
+        kept = [x for x in found if x[0][5] < 2 and role[id(x[0])] in (KEPT, HOLDER)]
+    else:
+        kept = [x for x in found if not x[0][5]]
+    # A page may be a list of which one short item is an article. Inside an
+    # article weak marks drop links only.
+    article = [x for x in found if x[0][6].article and x[0][5] < 2 and role.get(id(x[0])) != DROPPED_SLOT and not (x[0][5] and x[0][4] > LINKS * x[0][3])]
+    decided = "template" if by_slots else "runs"
+    if article and 4 * sum(r[3] for r, _, _ in article) >= sum(r[3] - r[4] for r, _, _ in kept if not r[6].article):
+        kept, decided = article, "template" if by_slots else "article"
+    elif not by_slots:
+        kept = _bare(whole, [x for x in kept if x[0][4] <= LINKS * x[0][3]])
+    return "\n\n".join(r[6].text for r, _, _ in kept), decided
 
 
 def host(url):
@@ -500,8 +711,9 @@ def host(url):
 
 
 def templates(pages: DataFrame, references: int = REFERENCES, html: str = "html", url: str = "url") -> DataFrame:
-    """host, layout, constant (keys of the constant runs), container: of each
-    layout of a host that has a template."""
+    """host, layout, constant (keys of the constant runs), container (the
+    reference with the roles of its slots): of each layout of a host that has a
+    template."""
     rows = pages.select(host(F.col(url)).alias("host"), C.text_of(html).alias("_text")).where("host <> ''")
 
     def skeletons(batch: pa.RecordBatch) -> dict:
@@ -510,14 +722,17 @@ def templates(pages: DataFrame, references: int = REFERENCES, html: str = "html"
         return {"host": batch.column(0), "layout": [outline(t) for t in trees], "skeleton": out, "rank": [key("", s) for s in out]}
 
     drawn = C.map_arrow(rows, skeletons, "host string, layout long, skeleton string, rank long", "_text")
-    slices = drawn.groupBy("host", "layout", F.pmod("rank", F.lit(references)).alias("slice")).agg(F.min_by("skeleton", "rank").alias("skeleton"))
+    # Two slicings: pages of a small layout that meet in one seldom meet in both.
+    one, two = F.pmod("rank", F.lit(references)), F.pmod(F.shiftright("rank", 32), F.lit(references)) + references
+    slices = drawn.withColumn("slice", F.explode(F.array(one, two))).groupBy("host", "layout", "slice").agg(F.min_by("skeleton", "rank").alias("skeleton"))
 
     def per_layout(table: pa.Table) -> pa.Table:
-        constant, inside = induce(table.column("skeleton").to_pylist())  # `references` rows at most
+        found = sorted(set(table.column("skeleton").to_pylist()), key=lambda t: key("", t))  # twice `references` at most
+        constant, inside = induce(found[:references])
         return table.select(["host", "layout"]).slice(0, 1).append_column("constant", pa.array([constant], pa.list_(pa.int64()))).append_column("container", pa.array([inside], pa.string()))
 
     found = slices.groupBy("host", "layout").applyInArrow(per_layout, "host string, layout long, constant array<long>, container string")
-    return found.where("size(constant) > 0 or container <> ''")
+    return found.where("container <> ''")
 
 
 def main_text(pages: DataFrame, references: int = REFERENCES, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", url: str = "url") -> DataFrame:
@@ -527,7 +742,7 @@ def main_text(pages: DataFrame, references: int = REFERENCES, keep: tuple[str, .
     found = C.staged(templates(pages, references, html, url), "templates")
     rows = pages.select(*keep, host(F.col(url)).alias("_host"), C.text_of(html).alias("_text"))
     schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["text string", "decided string"])
-    size = found.agg(F.coalesce(F.sum(F.size("constant") + 16), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(F.size("constant") + F.length("container") / 16), F.lit(0))).first()[0]
     n = len(keep)
 
     def done(batch: pa.RecordBatch, own) -> dict:
