@@ -51,6 +51,38 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert zlib.crc32(bytes(got[1].ids)) == zlib.crc32(b"\2\0\0\0")
 
 
+def test_files_roll_and_equal_keys_are_dealt_out(spark, tmp_path):
+    """Small files, a third of all rows under one key, a third under none, and
+    exact copies: what is read back, in order, is what was written."""
+    import struct
+    import zlib
+
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    file = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(file)
+    texts = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i // 2} " + "some words " * (i % 40)) for i in range(300)]
+    ids = rans.token_ids(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), file, 2)
+    folder = f"file://{tmp_path}/small"
+    index = rans.write(ids, "<u2", folder, parts=6, file_bytes=500, block_ids=200)
+    by_part = {r.part: r for r in index.groupBy("part").agg(F.sum(F.size("keys")).alias("n"), F.count_distinct("file").alias("files")).collect()}
+    assert max(r.n for r in by_part.values()) < 150 and max(r.files for r in by_part.values()) > 1  # no key is one task
+    assert index.groupBy("file").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] < 8_000
+    got = sorted(rans.read(index, folder).collect(), key=lambda r: r.start)
+    want = sorted((k is not None, k or 0, struct.pack(f"<{len(x)}I", *x)) for k, x in ((k, [*library.encode(t, add_special_tokens=False).ids, 2]) for k, t in texts))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in got) == want
+    at = 0
+    for before, r in zip([None, *got], got):
+        assert r.start == at and len(r.ids) == 4 * r.n_tokens
+        assert before is None or (before.doc_id is not None, before.doc_id or 0) <= (r.doc_id is not None, r.doc_id or 0)
+        at += r.n_tokens
+    again = rans.write(ids, "<u2", f"file://{tmp_path}/again", parts=2)
+    assert {(r.start, zlib.crc32(r.ids)) for r in rans.read(again, f"file://{tmp_path}/again").collect()} == {(r.start, zlib.crc32(r.ids)) for r in got}
+
+
+
 def test_no_documents(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     ids = rans.token_ids(frame(spark, ["x"]).limit(0), P.path("word_bpe_49k.json"), 2)

@@ -17,7 +17,7 @@ block. Nothing but the table (bounded by the vocabulary) and the totals of the
 files (one number each) comes to the driver.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come
-first; rows with equal doc_ids keep one output row each, ordered by their ids;
+first; rows with equal doc_ids keep one output row each, ordered by a hash of their ids;
 an empty table writes no block and gives an empty result; other columns are
 ignored.
 """
@@ -351,10 +351,17 @@ def count_ids(ids: DataFrame, most: int = 1 << 20) -> np.ndarray:
     return out
 
 
-def write(ids: DataFrame, kind: str, folder: str, key: str = "doc_id", parts: int | None = None) -> DataFrame:
+#: Coded bytes after which a task begins another file: what it holds of its
+#: part, whatever the part's size.
+FILE_BYTES = 64 << 20
+
+
+def write(ids: DataFrame, kind: str, folder: str, key: str = "doc_id", parts: int | None = None, file_bytes: int = FILE_BYTES, block_ids: int | None = None) -> DataFrame:
     """Code the rows of token_ids into files under `folder` in ascending key
-    order; the index: part, block, file, offset, length, first (ids of the part before the
-    block), n_ids, keys, sizes."""
+    order; the index: part, block, file, offset, length, first (ids of the part
+    before the block), n_ids, keys, sizes. Rows of equal keys are ordered by a
+    hash of their ids, and dealt out by it: one key, or none, can be any share
+    of the rows. A part is several files where it is large."""
     table = Table.of_counts(count_ids(ids))
     ids = ids.where("ids is not null")
     fs, root = C.filesystem(folder)
@@ -363,40 +370,56 @@ def write(ids: DataFrame, kind: str, folder: str, key: str = "doc_id", parts: in
     C.write_once(fs, f"{root}/format.json", json.dumps({"scale_bits": SCALE_BITS, "table": table.id}).encode())
     spark = ids.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ids.repartitionByRange(parts, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), "ids")
+    order = [F.col(key).asc_nulls_first(), F.xxhash64("ids")]
+    dealt = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
     key_type = dict(ids.dtypes)[key]
     schema = f"part int, block int, file string, offset long, length long, first long, n_ids long, keys array<{key_type}>, sizes array<long>"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    packed = table.to_bytes()
+    packed, most = table.to_bytes(), block_ids or BLOCK_IDS
 
     def run(batches):
         from pyspark import TaskContext
 
         own = Table.from_bytes(packed)
         part = TaskContext.get().partitionId()
+        files, path = C.filesystem(folder)
         blocks: list[bytes] = []
         rows: list[tuple] = []
         keys, sizes, held, waiting = [], [], [], 0
-        first = offset = 0
+        first = offset = block = number = 0
 
         def flush():
-            nonlocal keys, sizes, held, waiting, first, offset
+            """Code the documents that wait as a block."""
+            nonlocal keys, sizes, held, waiting, first, offset, block
             data = encode_block(np.frombuffer(b"".join(held), kind).astype(np.uint32), own)
-            rows.append((part, len(rows), offset, len(data), first, waiting, keys, sizes))
+            rows.append((block, offset, len(data), first, waiting, keys, sizes))
             blocks.append(data)
-            first += waiting
-            offset += len(data)
+            first, offset, block = first + waiting, offset + len(data), block + 1
             keys, sizes, held, waiting = [], [], [], 0
 
+        def roll() -> pa.RecordBatch:
+            """Write the blocks as a file; their rows of the index."""
+            nonlocal offset, number
+            data = b"".join(blocks)
+            name = f"part-{part:06d}-{number:06d}-{hashlib.sha256(data).hexdigest()[:16]}.rans"
+            C.write_once(files, f"{path}/{name}", data)
+            columns = list(zip(*((part, b, name, *rest) for b, *rest in rows)))
+            blocks.clear()
+            rows.clear()
+            offset, number = 0, number + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
         width = np.dtype(kind).itemsize
         for batch in C.sliced(batches, "ids"):
             for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = len(b) // width
-                if waiting and waiting + n > BLOCK_IDS:
+                if waiting and waiting + n > most:
                     flush()
+                    if offset >= file_bytes:
+                        yield roll()
                 keys.append(k)
                 sizes.append(n)
                 held.append(b)
@@ -404,14 +427,7 @@ def write(ids: DataFrame, kind: str, folder: str, key: str = "doc_id", parts: in
         if keys:
             flush()
         if rows:
-            digest = hashlib.sha256()
-            for b in blocks:
-                digest.update(b)
-            name = f"part-{part:06d}-{digest.hexdigest()[:16]}.rans"
-            files, path = C.filesystem(folder)
-            C.write_once(files, f"{path}/{name}", b"".join(blocks))
-            columns = list(zip(*((p, b, name, *rest) for p, b, *rest in rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            yield roll()
 
     return C.staged(dealt.select(key, "ids").mapInArrow(run, schema), "rans-index")
 
