@@ -11,7 +11,7 @@ from ..config import Config
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vocab as V
-from ..operators import gates, ranking
+from ..operators import gates, keywords, ranking
 from .catalogue import HEADLINES, pick, picked, query, quoted, sql_any, table
 
 CFG = Config.of({
@@ -256,10 +256,10 @@ def search_texts(spark, sf_dir):
 _SCHOOLS = ["Boston Public Schools", "Springfield School District", "Acme Inc", "Unified School Supply", "Lakeview ISD", "Charter Schools of Ohio"]
 
 
-@query(f"select doc_id, {sql_any(f"(' ' || lower({picked(_SCHOOLS, 'doc_id')} || ' ' || left(coalesce(text, ''), 40)) || ' ')", V.SCHOOL_DISTRICTS)} as district from documents")
+@query(f"select doc_id, {sql_any(f"(' ' || lower({picked(_SCHOOLS, 'doc_id')} || ' ' || coalesce(text, '')) || ' ')", V.SCHOOL_DISTRICTS)} as district from documents")
 def school_districts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", S.is_school_district(F.concat_ws(" ", pick(_SCHOOLS, F.col("doc_id")), F.left(T.nz(F.col("text")), F.lit(40)))).alias("district"))
+    return d.select("doc_id", S.is_school_district(F.concat_ws(" ", pick(_SCHOOLS, F.col("doc_id")), T.nz(F.col("text")))).alias("district"))
 
 
 _PEOPLE = ["Acme names Jane Doe as Chief Financial Officer", "Beta has appointed President Smith", "Carla Ruiz joins Gamma", "new VP Sales at Delta", "nobody"]
@@ -290,3 +290,14 @@ def snippet_facts(spark, sf_dir):
     """Headquarters and head counts of snippets after each text."""
     d = table(spark, sf_dir, "documents").withColumn("s", T.hq_and_size(F.array(T.nz(F.col("text")), pick(_SNIPS, F.col("doc_id")))))
     return d.select("doc_id", "s.hq", "s.size")
+
+
+@query("""with k as (select w, min(item_id) r from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) w from benchmark) group by w),
+ m as (select doc_id, w, r from documents, k where contains(lower(coalesce(text, '')), w))
+ select doc_id, count(*) as n, array_to_string(list(w order by r, w)[1:5], ',') as first from m group by doc_id""")
+def text_many_keywords(spark, sf_dir):
+    """Texts by all longer words of the benchmark, thousands at scale."""
+    b = table(spark, sf_dir, "benchmark")
+    words = b.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("keyword")).groupBy("keyword").agg(F.min("item_id").alias("rank"))
+    found = keywords.first_matches(table(spark, sf_dir, "documents"), words, 5, key="doc_id")
+    return found.select("doc_id", "n", F.array_join("keywords", ",").alias("first"))
