@@ -262,3 +262,51 @@ def test_providers(spark):
     cache = spark.createDataFrame([("k4", '["c"]', NOW)], "cache_key string, results_json string, cached_at timestamp")
     got = {r.cache_key: r.backend for r in providers.search_ladder(keys, cache, lambda q: "[]", lambda q: '["p"]', as_of()).collect()}
     assert got == {"k1": "paid", "k2": "none", "k3": "none", "k4": "cache"}
+
+
+def _files(path):
+    import os
+
+    return {os.path.relpath(os.path.join(d, f), path): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_buckets(spark, tmp_path):
+    """Merges rewrite what they touch; versions, appends, compaction, lookups
+    and two writers."""
+    rng = random.Random(9)
+    path = f"{tmp_path}/t"
+    own = store.Buckets(spark, f"file://{path}", "id", 8)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, v string")
+    held = {i: f"a{i}" for i in range(300)}
+    assert own.version() == 0 and own.delete(frame([(1, "x")])) == []
+    own.merge(frame(list(held.items())))
+    before = _files(path)
+    touched = own.merge(frame([(3, "new"), (1000, "added")]))
+    held |= {3: "new", 1000: "added"}
+    assert len(touched) <= 2 and before.items() <= _files(path).items()
+    folders, old = own.folders(), own.folders(1)
+    assert all(folders[b] == old[b] for b in folders if b not in touched)
+    assert own.delete(frame([(5, "x")])) and held.pop(5)
+    own.insert_absent(frame([(3, "kept out"), (2000, "in"), (2000, "twice")]))
+    assert own.read().where("id = 2000").count() == 1
+    held[2000] = own.read().where("id = 2000").first().v
+    own.append(frame([(i, "late") for i in range(5000, 5040)]))
+    held |= {i: "late" for i in range(5000, 5040)}
+    got = lambda t: {r.id: r.v for r in t.collect()}
+    assert got(own.read()) == held and own.read().count() == len(held)
+    assert max(map(len, own.folders().values())) == 2
+    assert own.compact() and max(map(len, own.folders().values())) == 1 and own.compact() == []
+    assert got(own.read()) == held and got(own.read(1)) == {i: f"a{i}" for i in range(300)}
+    assert got(own.lookup([3, 5, 5001])) == {3: "new", 5001: "late"}
+    own.compact(keep=F.col("id") < 5000)
+    held = {i: v for i, v in held.items() if i < 5000}
+    other = store.Buckets(spark, f"file://{path}", "id")
+    assert other.buckets == 8 and got(other.read()) == held
+    stale = other.version()
+    own.merge(frame([(7, "first")]))
+    other.version = lambda: stale
+    with pytest.raises(RuntimeError):
+        other.merge(frame([(7, "second")]))
+    own.vacuum(1)
+    assert own.read().where("id = 7").first().v == "first" and own._versions() == [own.version()]
+    assert own.read().count() == len(held) and len(_files(path)) == sum(map(len, own.folders().values()))

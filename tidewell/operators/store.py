@@ -5,10 +5,12 @@ table is a folder of versions with a pointer that is swapped last."""
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,3 +231,153 @@ class Table:
         if other.exists():
             self.write(other.read())
         return self
+
+
+class Buckets:
+    """A keyed table whose merges rewrite only what they touch. Rows lie in
+    buckets by a hash of their key; a manifest per version says which folders
+    make up each bucket. A merge reads and writes the buckets of its source's
+    keys, the others stay the files they are; an append adds folders, which
+    compaction folds together. A commit creates the next manifest, once: of two
+    writers one fails and can try again, readers see whole versions."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        version = self.version()
+        self.buckets = self._manifest(version)["buckets"] if version else buckets
+
+    # -- manifests
+
+    def _versions(self) -> list[int]:
+        folder = self._hadoop.Path(f"{self.path}/_manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(x[:12]) for x in names if x.endswith(".json"))
+
+    def version(self) -> int:
+        """The newest version, 0 of a table that is not there."""
+        return (self._versions() or [0])[-1]
+
+    def _file(self, version: int):
+        return self._hadoop.Path(f"{self.path}/_manifests/{version:012d}.json")
+
+    def _manifest(self, version: int) -> dict:
+        stream = self._fs.open(self._file(version))
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+
+    def _commit(self, version: int, folders: dict[int, list[str]], schema: str) -> None:
+        """Make a version; fails if another writer has made it."""
+        made = self._hadoop.Path(f"{self.path}/_manifests/{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(made, False)
+        stream.write(json.dumps({"buckets": self.buckets, "schema": schema, "folders": {str(b): f for b, f in folders.items() if f}}).encode())
+        stream.close()
+        if self._fs.exists(self._file(version)) or not self._fs.rename(made, self._file(version)):
+            self._fs.delete(made, False)
+            raise RuntimeError(f"version {version} of {self.path} was made by another writer")
+
+    def folders(self, version: int | None = None) -> dict[int, list[str]]:
+        """Bucket to its folders."""
+        version = version or self.version()
+        return {int(b): f for b, f in self._manifest(version)["folders"].items()} if version else {}
+
+    # -- rows
+
+    def _rows(self, folders: list[str], schema: str) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = version or self.version()
+        found = self._manifest(version)
+        return self._rows([f for fs in found["folders"].values() for f in fs], found["schema"])
+
+    def lookup(self, keys: list) -> DataFrame:
+        """The rows of some keys: only their buckets are opened."""
+        found = self._manifest(self.version())
+        wanted = self.spark.createDataFrame([(k,) for k in keys], f"{self.key} {dict(self._rows([], found['schema']).dtypes)[self.key]}")
+        rows = self._rows([f for b in self._touched(wanted) for f in found["folders"].get(str(b), [])], found["schema"])
+        return rows.join(F.broadcast(wanted), self.key, "left_semi")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect())  # `buckets` at most
+
+    def _write(self, rows: DataFrame) -> dict[int, list[str]]:
+        """Rows as new folders, one a bucket."""
+        name = f"data/{uuid.uuid4().hex}"
+        dealt = rows.withColumn("_bucket", self._bucket()).repartition(self.buckets, "_bucket")
+        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
+        made = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop.Path(f"{self.path}/{name}"))]
+        return {int(x[len("_bucket=") :]): [f"{name}/{x}"] for x in made if x.startswith("_bucket=")}
+
+    @staticmethod
+    def _schema(df: DataFrame) -> str:
+        return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+    # -- changes
+
+    def change(self, source: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Replace the rows of the buckets that source's keys fall into by
+        combine(those rows, source). Returns these buckets."""
+        source = staged(source)
+        version = self.version()
+        folders, touched = self.folders(version), self._touched(source)
+        schema = self._manifest(version)["schema"] if version else self._schema(source)
+        old = self._rows([f for b in touched for f in folders.get(b, [])], schema)
+        rows = combine(old, source)
+        new = self._write(rows)
+        self._commit(version + 1, {b: f for b, f in folders.items() if b not in touched} | new, self._schema(rows))
+        release(source)
+        return touched
+
+    def merge(self, source: DataFrame) -> list[int]:
+        return self.change(source, lambda old, new: merge_on(old, new, self.key))
+
+    def insert_absent(self, source: DataFrame) -> list[int]:
+        return self.change(source, lambda old, new: insert_absent(old, new, self.key))
+
+    def delete(self, keys: DataFrame) -> list[int]:
+        return self.change(keys.select(self.key), lambda old, new: delete_keys(old, new, self.key)) if self.version() else []
+
+    def append(self, rows: DataFrame) -> None:
+        """Add rows without reading any: their keys must be new."""
+        version = self.version()
+        folders = self.folders(version)
+        for b, f in self._write(rows).items():
+            folders[b] = folders.get(b, []) + f
+        self._commit(version + 1, folders, self._manifest(version)["schema"] if version else self._schema(rows))
+
+    def compact(self, most: int = 1, keep: Column | None = None) -> list[int]:
+        """Fold buckets of more than `most` folders; with `keep` all buckets,
+        and only the rows for which it holds (retention). Returns the buckets
+        that were rewritten."""
+        version = self.version()
+        found = self._manifest(version)
+        folders = self.folders(version)
+        chosen = [b for b, f in folders.items() if keep is not None or len(f) > most]
+        if chosen:
+            rows = self._rows([f for b in chosen for f in folders[b]], found["schema"])
+            new = self._write(rows if keep is None else rows.where(keep))
+            self._commit(version + 1, {b: f for b, f in folders.items() if b not in chosen} | new, found["schema"])
+        return sorted(chosen)
+
+    def vacuum(self, versions: int = 2) -> None:
+        """Remove manifests but the last ones, and folders that none names."""
+        found = self._versions()
+        kept = {f for v in found[-versions:] for fs in self.folders(v).values() for f in fs}
+        for v in found[:-versions]:
+            self._fs.delete(self._file(v), False)
+        for write in self._fs.listStatus(self._hadoop.Path(f"{self.path}/data")):
+            name = f"data/{write.getPath().getName()}"
+            for part in self._fs.listStatus(write.getPath()):
+                if part.getPath().getName().startswith("_bucket=") and f"{name}/{part.getPath().getName()}" not in kept:
+                    self._fs.delete(part.getPath(), True)

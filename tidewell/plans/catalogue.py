@@ -511,6 +511,24 @@ def merge_and_delete(spark, sf_dir):
     return store.delete_keys(merged, c.where("c_custkey % 7 = 1"), "c_custkey")
 
 
+@query("""select c_custkey, case when c_custkey % 5 = 0 then c_acctbal + 1 else c_acctbal end as balance from customer where c_custkey % 7 <> 1 and not (c_custkey % 11 = 2 and c_acctbal < 0)
+ union all select c_custkey + 10000000, c_acctbal from customer where c_nationkey = 3 and not (c_custkey % 11 = 2 and c_acctbal < 0)""")
+def bucket_merges(spark, sf_dir):
+    """A bucketed table: a merge, a delete, an append, and compaction that
+    retains some rows."""
+    import uuid
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), (F.col("c_custkey") % 11 == 2).alias("old"), "c_nationkey")
+    own = store.Buckets(spark, f"{store.shared_dir(spark)}/buckets/{uuid.uuid4().hex}", "c_custkey", 8)
+    own.merge(c)
+    own.merge(c.where("c_custkey % 5 = 0").withColumn("balance", F.col("balance") + 1))
+    own.delete(c.where("c_custkey % 7 = 1"))
+    own.append(c.where("c_nationkey = 3").withColumn("c_custkey", F.col("c_custkey") + 10_000_000))
+    own.compact(keep=~(F.col("old") & (F.when(F.col("c_custkey") < 10_000_000, F.col("balance") - F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)).otherwise(F.col("balance")) < 0)))
+    own.vacuum(1)
+    return own.read().select("c_custkey", "balance")
+
+
 @query("""select o_orderkey, case when o_orderkey % 9 = 0 then 'old' when o_orderkey % 4 = 0 then 'gate' end as blocked_reason from orders""")
 def tombstones(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
