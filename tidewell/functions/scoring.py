@@ -147,6 +147,14 @@ def company_fit(name: Column, hq: Column, revenue: Column, subindustry: Column)
     return F.when(is_school_district(name), district).otherwise(V.once(facts, judged))
 
 
+def searchable(companies: Column) -> Column:
+    """The companies worth a search: not those of a role that can never become
+    the account where another can, nor public school districts."""
+    workable = lambda c: F.lower(nz(c["role"])).isin(V.WORKABLE_ROLES)
+    some = F.exists(companies, workable)
+    return F.filter(companies, lambda c: ~((nz(c["role"]) != "") & ~workable(c) & some) & ~is_school_district(c["name"]))
+
+
 def with_fit(companies: Column) -> Column:
     """The companies, each with its own fit."""
     return F.transform(companies, lambda c: c.withField("fit", company_fit(c["name"], c["hq"], c["revenue"], c["zi_subindustry"])))

@@ -229,6 +229,76 @@ EVENT_TYPES = ["cfo_hire", "executive_hire", "merger_acquisition", "funding", "e
 # ---------------------------------------------------------------- columns
 
 
+# What a news search asks for, as (query, type hint, whether the
+# territory filter is skipped). Terms of mergers are asked for by region, names of
+# industries with each of their suffixes.
+NEWS_REGIONS = ["New York", "Boston", "Toronto", "Philadelphia", "Charlotte"]
+NEWS_CFO_TERMS = ["CFO appointed", "new CFO", "names CFO", "CFO hire"]
+NEWS_MERGER_TERMS = ["acquisition announced", "company acquired", "merger agreement"]
+NEWS_INDUSTRIES = ["insurance", "credit union", "wealth management", "private equity", "nonprofit", "foundation", "auto dealership", "real estate brokerage"]
+NEWS_INDUSTRY_SUFFIXES = [("CFO", "cfo_hire"), ("acquisition", "merger_acquisition")]
+NEWS_QUERIES = [
+    ("new controller appointed", "cfo_hire", False),
+    ('"VP of Finance" appointed', "cfo_hire", False),
+    ("site:linkedin.com CFO appointed", "cfo_hire", True),
+    ('site:linkedin.com "excited to announce" CFO', "cfo_hire", True),
+    ('site:linkedin.com "new role" CFO finance', "cfo_hire", True),
+    ('site:linkedin.com "thrilled to join" CFO', "cfo_hire", True),
+    ('site:linkedin.com "joined as" CFO', "cfo_hire", True),
+    ('site:linkedin.com "Chief Financial Officer"', "cfo_hire", True),
+    ('site:linkedin.com "started a new position" CFO', "cfo_hire", True),
+    ('site:linkedin.com "started a new position" "Chief Financial Officer"', "cfo_hire", True),
+    ('site:linkedin.com "happy to share" CFO', "cfo_hire", True),
+    ('site:linkedin.com "proud to announce" CFO', "cfo_hire", True),
+    ('site:linkedin.com "delighted to announce" CFO', "cfo_hire", True),
+    ('site:linkedin.com "pleased to share" CFO finance', "cfo_hire", True),
+    ('site:linkedin.com "new chapter" CFO', "cfo_hire", True),
+    ('site:linkedin.com "I\'m happy to announce" finance', "cfo_hire", True),
+    ('site:linkedin.com "VP of Finance" "joined"', "cfo_hire", True),
+    ('site:linkedin.com "Head of Finance" "excited"', "cfo_hire", True),
+    ('site:linkedin.com "Controller" "new role"', "cfo_hire", True),
+    ('site:linkedin.com "Finance Director" "joined"', "cfo_hire", True),
+    ('site:linkedin.com/posts "CFO" "appointed"', "cfo_hire", True),
+    ('site:linkedin.com/posts "Chief Financial Officer"', "cfo_hire", True),
+    ('site:linkedin.com/posts "excited to announce" CFO', "cfo_hire", True),
+    ('site:linkedin.com/posts "VP Finance" "new role"', "cfo_hire", True),
+    ("site:linkedin.com/pulse CFO appointed", "cfo_hire", True),
+    ('site:linkedin.com/pulse "Chief Financial Officer"', "cfo_hire", True),
+    ("site:linkedin.com acquisition announced", "merger_acquisition", True),
+    ('site:linkedin.com "pleased to announce" acquisition', "merger_acquisition", True),
+    ('site:linkedin.com/posts "acquisition" "pleased to announce"', "merger_acquisition", True),
+    ('site:linkedin.com/posts "acquired" "excited"', "merger_acquisition", True),
+    ("site:linkedin.com funding round raised", "funding", True),
+    ('site:linkedin.com/posts "raised" "funding"', "funding", True),
+    ("site:crunchbase.com series funding", "funding", False),
+    ("site:crunchbase.com acquisition", "merger_acquisition", False),
+    ("site:news.crunchbase.com raises", "funding", False),
+    ("site:news.crunchbase.com acquired", "merger_acquisition", False),
+    ('"private equity" "portfolio company" CFO', "cfo_hire", True),
+    ('"PE-backed" CFO appointed', "cfo_hire", True),
+    ('"platform company" CFO', "cfo_hire", True),
+    ('"add-on acquisition"', "merger_acquisition", True),
+    ('"bolt-on acquisition"', "merger_acquisition", True),
+    ('"interim CFO"', "cfo_hire", False),
+    ('"fractional CFO"', "cfo_hire", False),
+    ('"acting CFO"', "cfo_hire", False),
+    ('"CFO transition"', "cfo_hire", False),
+    ('"CFO search"', "cfo_hire", False),
+    ('"new headquarters" OR "relocating headquarters"', "other", False),
+    ('"office expansion" OR "expanding operations"', "other", False),
+    ('"opened new office"', "other", False),
+    ('"launches new product" OR "new product launch"', "other", False),
+    ('"launches new service" OR "new service offering"', "other", False),
+    ('"enters new market" OR "market expansion"', "other", False),
+    ('"new business line" OR "new division"', "other", False),
+    ('"pleased to announce the launch"', "other", False),
+    ('"expands into" OR "expanding into"', "other", False),
+    ('site:techcrunch.com "series A"', "funding", True),
+    ('site:techcrunch.com "series B"', "funding", True),
+    ('site:techcrunch.com "raises" million', "funding", True),
+]
+
+
 def words(values: Iterable[str]) -> Column:
     """An array literal: one constant, whatever the list's length."""
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")

@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import articles, records  # noqa: F401 - they register their queries here
+    from . import articles, cycles, records  # noqa: F401 - they register their queries here
 
 
 def queries() -> dict[str, Callable]:

@@ -11,7 +11,7 @@ from ..config import Config
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vocab as V
-from ..operators import dedup, gates, ranking
+from ..operators import dedup, gates, ranking, store
 from ..sources import readers
 
 
@@ -26,7 +26,8 @@ def scrape_cycle(payloads: DataFrame, seen: DataFrame, events: DataFrame, cfg: C
     order = W.orderBy(F.when(known > 0, known).otherwise(1 << 30), "feed_name")  # one row a feed
     ranks = payloads.select("feed_name").distinct().withColumn("_rank", F.row_number().over(order))
     numbered = new.join(ranks, "feed_name").withColumn("arrival_seq", F.col("_rank") * F.lit(1 << 32) + F.col("pos")).drop("_rank")
-    return dedup.greedy(numbered).withColumn("discovered_date", as_of)
+    # Judged once: what follows reads the keys several times.
+    return dedup.greedy(store.staged(numbered)).withColumn("discovered_date", as_of)
 
 
 def enrich(events: DataFrame, as_of: Column, cfg: Config) -> DataFrame:

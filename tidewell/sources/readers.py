@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocab as V
 from ..functions.text import nz, strip
 
 LEAD_SCHEMA = (
@@ -87,6 +88,32 @@ def search_queries(phrases: list[tuple[str, str | None, bool]], regions: list[st
     return [q for text, hint, skip in phrases for q in ([(text, hint, True)] if skip else [(f"{text} {r}", hint, False) for r in regions])]
 
 
+def news_catalogue(regions: int = 3) -> list[tuple[str, str, bool]]:
+    """(query, type hint, skips territory) of the news search: hires first,
+    then mergers by the first regions, industries, and the fixed queries."""
+    hires = search_queries([(t, "cfo_hire", True) for t in V.NEWS_CFO_TERMS], [])
+    mergers = search_queries([(t, "merger_acquisition", False) for t in V.NEWS_MERGER_TERMS], V.NEWS_REGIONS[:regions])
+    industries = [(f"{i} {suffix}", hint, False) for i in V.NEWS_INDUSTRIES for suffix, hint in V.NEWS_INDUSTRY_SUFFIXES]
+    return [*((q, h, False) for q, h, _ in hires), *mergers, *industries, *V.NEWS_QUERIES]
+
+
+def asked(spark: SparkSession, catalogue: list[tuple[str, str | None, bool]]) -> DataFrame:
+    """A catalogue as a table: place, query, hint, skips_territory."""
+    return spark.createDataFrame([(i, *q) for i, q in enumerate(catalogue)], "place int, query string, hint string, skips_territory boolean")
+
+
+def search_statuses(asked_: DataFrame, answers: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """answers: query, payload (null where it failed) -> the first `most` items
+    of each query with its hint, and one row: queries, failed, status (success,
+    partial, or error when all failed)."""
+    small = F.broadcast(asked_)  # a catalogue
+    items = answers.where("payload is not null").select("query", F.posexplode(F.slice(F.from_json("payload", NEWS_SCHEMA)["value"], 1, most)).alias("pos", "v"))
+    items = items.join(small, "query").select("place", "query", "hint", "skips_territory", "pos", F.col("v.name").alias("title"), F.col("v.url").alias("url"), F.col("v.description").alias("summary"))
+    one = answers.agg(F.count("*").alias("queries"), F.count_if(F.col("payload").isNull()).alias("failed"))
+    status = F.when(F.col("failed") == 0, "success").when(F.col("failed") < F.col("queries"), "partial").otherwise("error")
+    return items, one.withColumn("status", status)
+
+
 # ---------------------------------------------------------------- JSON services
 
 
