@@ -15,7 +15,7 @@ from ..functions import dates as D
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vocab as V
-from ..operators import dedup, gates, health, lookups, ranking, store
+from ..operators import ddl, dedup, gates, health, lookups, ranking, store
 from ..streaming import stateful
 
 _QUERIES: dict[str, Callable] = {}
@@ -529,6 +529,23 @@ def bucket_merges(spark, sf_dir):
     return own.read().select("c_custkey", "balance")
 
 
+@query("""select 'analyst' as role, c_custkey, c_name as name, case when c_custkey % 2 = 0 then 'LATE' else 'NEW' end as lead_status, '***' as phone from customer where c_acctbal >= 0
+ union all select 'service', c_custkey, c_name, case when c_custkey % 2 = 0 then 'LATE' else 'NEW' end, c_phone_text from (select *, 'p' || c_nationkey as c_phone_text from customer)""")
+def role_views(spark, sf_dir):
+    """A bucketed table that gained a column, as two roles see it."""
+    import uuid
+
+    name = f"customers_{uuid.uuid4().hex[:12]}"
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.concat(F.lit("p"), F.col("c_nationkey")).alias("phone"), F.col("c_acctbal").alias("balance"))
+    ddl.create(spark, name, dict(c.dtypes), "c_custkey", f"{store.shared_dir(spark)}/tables/{name}", 8)
+    ddl.insert(c.where("c_custkey % 2 = 1"), name)
+    ddl.migrate(spark, name, {"lead_status": ("string", "'NEW'"), "name": ("string", None)})
+    ddl.insert(c.where("c_custkey % 2 = 0").withColumn("lead_status", F.lit("LATE")), name)
+    views = ddl.apply_policies(spark, name, [ddl.Policy("analyst", "balance >= 0", ("c_custkey", "name", "lead_status", "phone"), (("phone", "'***'"),)), ddl.Policy("service")])
+    shown = [spark.table(v).select(F.lit(role).alias("role"), "c_custkey", "name", "lead_status", "phone") for role, v in views.items()]
+    return shown[0].union(shown[1])
+
+
 @query("""select o_orderkey, case when o_orderkey % 9 = 0 then 'old' when o_orderkey % 4 = 0 then 'gate' end as blocked_reason from orders""")
 def tombstones(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
