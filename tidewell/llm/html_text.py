@@ -290,27 +290,31 @@ def sketch(text: str) -> list[int]:
     return sorted({zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(w, w[1:] or [""])})[:SKETCH]
 
 
-def tree(root: Node) -> list:
+def tree(root: Node, named: bool = True) -> list:
     """The page for alignment. An element is [signature, name of what it holds,
     children]; a run is ["#", key, sketch, characters, of these in links, mark,
-    the run]. Deeper levels than DEEP count as there, in page order."""
+    the run]. Deeper levels than DEEP count as there, in page order. Without
+    names (and keys and sketches) it is good for loose matching only."""
     top: list = ["", 0, []]
     todo, order = [("", c, top, 0) for c in reversed(root.children)], [("", top)]
     while todo:
         path, node, out, depth = todo.pop()
         if isinstance(node, Run):
-            out[2].append(["#", key(path, node.text), sketch(node.text), len(node.text), node.linked, node.marked, node])
+            text = node.text
+            out[2].append(["#", key(path, text) if named else 0, sketch(text) if named else (), len(text), node.linked, node.marked, node])
             continue
-        here = f"{path}/{node.sig}"
+        here = f"{path}/{node.sig}" if named else ""
         if depth < DEEP:
             new: list = [node.sig, 0, []]
             out[2].append(new)
-            order.append((here, new))
+            if named:
+                order.append((here, new))
         else:
             new = out
         todo.extend((here, c, new, depth + 1) for c in reversed(node.children))
-    for path, out in reversed(order):
-        out[1] = key(path, " ".join(str(c[1]) for c in out[2]))
+    if named:
+        for path, out in reversed(order):
+            out[1] = key(path, " ".join(str(c[1]) for c in out[2]))
     return top
 
 
@@ -349,12 +353,21 @@ def alike(a: set[int], b: set[int], share: float) -> bool:
     return len(a | b) >= 4 and len(a & b) > share * len(a | b)
 
 
+def flat(a: list) -> bool:
+    """Whether an element holds runs only."""
+    return all(c[0] == "#" for c in a[2])
+
+
 class Matcher:
     """Simple tree matching of two trees. Scores of pairs of subtrees are kept;
-    when the cells are spent, a pair counts as many children as either has."""
-
-    def __init__(self):
-        self.left = 2 * CELLS
+    when the cells are spent, a pair counts as many children as either has.
+    Loose matching is for pages and templates, whose slots hold other texts: it
+    takes no names, and elements without elements in them (paragraphs, list
+    items) are aligned in order from both ends as long as their signatures are
+    the same."""
+
+    def __init__(self, loose: bool = False):
+        self.left, self.loose = 2 * CELLS, loose
         self.scores: dict[tuple[int, int], int] = {}
         self.sizes: dict[int, int] = {}
 
@@ -373,12 +386,12 @@ class Matcher:
             return 0
         if a[0] == "#":
             return 2 if a[1] == b[1] else 1
-        if a[1] == b[1]:
+        if a[1] == b[1] and not self.loose:
             return self.whole(a)
         known = self.scores.get((id(a), id(b)))
         if known is None:
-            same, x, y = trimmed(a[2], b[2])
-            known = 1 + sum(self.whole(c) for c, _ in same)
+            same, x, y = self.trimmed(a[2], b[2])
+            known = 1 + (2 * len(same) if self.loose else sum(self.whole(c) for c, _ in same))
             if len(x) * len(y) > min(CELLS, self.left):
                 known += min(len(x), len(y))
             else:
@@ -387,6 +400,22 @@ class Matcher:
             self.scores[id(a), id(b)] = known
         return known
 
+    def trimmed(self, x: list, y: list) -> tuple[list, list, list]:
+        """Pairs of children at both ends that are equal (loosely: flat and of
+        one signature), and what is left between them."""
+        if self.loose:
+            alike = lambda c, d: c[0] == d[0] and (c[0] == "#" or flat(c) and flat(d))
+        else:
+            alike = lambda c, d: c[1] == d[1] and c[0] == d[0]
+        first, most = 0, min(len(x), len(y))
+        while first < most and alike(x[first], y[first]):
+            first += 1
+        last = 0
+        while last < most - first and alike(x[-1 - last], y[-1 - last]):
+            last += 1
+        ends = [*zip(x[:first], y[:first]), *zip(x[len(x) - last :], y[len(y) - last :])]
+        return ends, x[first : len(x) - last], y[first : len(y) - last]
+
     def whole(self, a: list) -> int:
         """The score of a subtree with its equal."""
         return 2 if a[0] == "#" else 1 + 2 * self.size(a)
@@ -410,11 +439,13 @@ class Matcher:
             yield c, d
             if c[0] == "#":
                 continue
-            if c[1] == d[1]:
+            if c[1] == d[1] and not self.loose:
                 todo.extend(zip(c[2], d[2]))
                 continue
-            same, x, y = trimmed(c[2], d[2])
+            same, x, y = self.trimmed(c[2], d[2])
             todo += same
+            if not x or not y:
+                continue
             if len(x) * len(y) > CELLS:
                 todo += between_equal(x, y)
                 continue
@@ -430,18 +461,6 @@ class Matcher:
                     j -= 1
 
 
-def trimmed(x: list, y: list) -> tuple[list, list, list]:
-    """Pairs of equal children at both ends, and what is left between them."""
-    first, most = 0, min(len(x), len(y))
-    while first < most and x[first][:2] == y[first][:2]:
-        first += 1
-    last = 0
-    while last < most - first and x[-1 - last][:2] == y[-1 - last][:2]:
-        last += 1
-    ends = [*zip(x[:first], y[:first]), *zip(x[len(x) - last :], y[len(y) - last :])]
-    return ends, x[first : len(x) - last], y[first : len(y) - last]
-
-
 def between_equal(x: list, y: list) -> list[tuple]:
     """Long lists of children: the longest ascending chain of children that
     are equal and occur once in either list is aligned, and what lies between
@@ -648,7 +667,7 @@ def _runs(page: list):
 def taken_over(page: list, template: list) -> dict[int, str]:
     """Roles of a page's elements and runs by id: their partners' in the
     template, else what their parent's role makes of them."""
-    partner = {id(d): c[-1] for c, d in Matcher().pairs(template, page)}
+    partner = {id(d): c[-1] for c, d in Matcher(loose=True).pairs(template, page)}
     out: dict[int, str] = {}
     todo = [(page, HOLDER)]
     while todo:
@@ -685,9 +704,9 @@ def extract(page: str, templates: dict | None = None) -> tuple[str, str]:
     """(main text, what decided it: template, article or runs); templates:
     outline -> (constant keys, the reference with roles)."""
     root = parse(page)
-    whole = tree(root)
-    constant, template = (templates or {}).get(outline(root), ((), ""))
-    found = [(r, tag, above) for r, tag, above in _runs(whole) if r[1] not in constant]
+    constant, template = (templates or {}).get(outline(root), ((), "")) if templates else ((), "")
+    whole = tree(root, named=bool(constant))
+    found = [(r, tag, above) for r, tag, above in _runs(whole) if not constant or r[1] not in constant]
     role = taken_over(whole, _loaded(template)) if template else {}
     by_slots = any(role.get(id(r)) == KEPT and not r[5] for r, _, _ in found)
     if by_slots:
@@ -716,19 +735,17 @@ def templates(pages: DataFrame, references: int = REFERENCES, html: str = "html"
     template."""
     rows = pages.select(host(F.col(url)).alias("host"), C.text_of(html).alias("_text")).where("host <> ''")
 
-    def skeletons(batch: pa.RecordBatch) -> dict:
-        trees = [parse(t) for t in batch.column(1).to_pylist()]
-        out = [skeleton(t) for t in trees]
-        return {"host": batch.column(0), "layout": [outline(t) for t in trees], "skeleton": out, "rank": [key("", s) for s in out]}
+    def layouts(batch: pa.RecordBatch) -> dict:
+        return dict(zip(batch.schema.names, batch.columns)) | {"layout": [outline(parse(t)) for t in batch.column(1).to_pylist()]}
 
-    drawn = C.map_arrow(rows, skeletons, "host string, layout long, skeleton string, rank long", "_text")
+    drawn = C.map_arrow(rows.withColumn("rank", F.xxhash64("_text")), layouts, "host string, _text string, rank long, layout long", "_text")
     # Two slicings: pages of a small layout that meet in one seldom meet in both.
     one, two = F.pmod("rank", F.lit(references)), F.pmod(F.shiftright("rank", 32), F.lit(references)) + references
-    slices = drawn.withColumn("slice", F.explode(F.array(one, two))).groupBy("host", "layout", "slice").agg(F.min_by("skeleton", "rank").alias("skeleton"))
+    slices = drawn.withColumn("slice", F.explode(F.array(one, two))).groupBy("host", "layout", "slice").agg(F.min_by("_text", "rank").alias("page"), F.min("rank").alias("rank"))
 
     def per_layout(table: pa.Table) -> pa.Table:
-        found = sorted(set(table.column("skeleton").to_pylist()), key=lambda t: key("", t))  # twice `references` at most
-        constant, inside = induce(found[:references])
+        pages_ = dict(sorted(zip(table.column("rank").to_pylist(), table.column("page").to_pylist())))  # twice `references` at most
+        constant, inside = induce([skeleton(parse(p)) for p in list(pages_.values())[:references]])
         return table.select(["host", "layout"]).slice(0, 1).append_column("constant", pa.array([constant], pa.list_(pa.int64()))).append_column("container", pa.array([inside], pa.string()))
 
     found = slices.groupBy("host", "layout").applyInArrow(per_layout, "host string, layout long, constant array<long>, container string")
