@@ -163,22 +163,31 @@ def alert_text(df: DataFrame) -> Column:
     )
 
 
+def _shown(df: DataFrame, order: list, each: int, entry: Column) -> DataFrame:
+    """event_type, n (all rows of the type), and `shown`: the entries of its
+    first `each` rows. The limit is applied before the shuffle as well, so a
+    type's rows never meet in one task."""
+    place = F.row_number().over(W.partitionBy("event_type").orderBy(*order))
+    top = df.withColumn("_n", place).where(F.col("_n") <= each)
+    top = top.groupBy(F.col("event_type").alias("_type")).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), entry.alias("entry")))).alias("_e"))  # `each` at most
+    counts = df.groupBy("event_type").agg(F.count("*").alias("n"))
+    both = counts.join(top, F.col("event_type").eqNullSafe(F.col("_type")))
+    return both.select("event_type", "n", F.transform("_e", lambda x: x["entry"]).alias("shown"))
+
+
 def batch_alerts(df: DataFrame, order: str = "relevance_score", each: int = 500) -> DataFrame:
     """event_type, n, body: the first `each` alerts of a type, types in the
     display order; n counts all."""
-    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc(order), "id")))
-    body = F.when(F.col("_n") <= each, F.struct(F.col("_n").alias("n"), alert_text(df).alias("text")))
-    grouped = ranked.groupBy("event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(body)).alias("_b"))
+    grouped = _shown(df, [F.desc(order), "id"], each, alert_text(df))
     at = F.array_position(V.words(V.EVENT_TYPES), F.col("event_type"))
-    return grouped.select("event_type", "n", F.array_join(F.transform("_b", lambda b: b["text"]), "\n\n").alias("body"), at.alias("_at")).orderBy("_at").drop("_at")
+    return grouped.select("event_type", "n", F.array_join("shown", "\n\n").alias("body"), at.alias("_at")).orderBy("_at").drop("_at")
 
 
 def slack_blocks(df: DataFrame, each: int = 3) -> DataFrame:
     """event_type, block: JSON with a count and the top entries."""
-    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("relevance_score"), "id")))
-    top = F.when(F.col("_n") <= each, F.struct(F.col("_n").alias("n"), F.col("title"), F.col("url")))
-    grouped = ranked.groupBy("event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(top)).alias("top"))
-    return grouped.select("event_type", F.to_json(F.struct("event_type", "n", "top")).alias("block"))
+    grouped = _shown(df.select("event_type", "relevance_score", "id", "title", "url"), [F.desc("relevance_score"), "id"], each, F.struct("title", "url"))
+    top = F.transform("shown", lambda x, i: F.struct((i + 1).alias("n"), x["title"].alias("title"), x["url"].alias("url")))
+    return grouped.select("event_type", F.to_json(F.struct("event_type", "n", top.alias("top"))).alias("block"))
 
 
 def run_summary(df: DataFrame, as_of: Column, most: int = 10) -> DataFrame:
@@ -197,7 +206,5 @@ def html_mail(df: DataFrame, as_of: Column, each: int = 500) -> DataFrame:
     so a reader sees what a mail has left out."""
     esc = lambda c: F.replace(F.replace(F.replace(nz(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     item = F.concat(F.lit('<li><a href="'), esc(F.col("url")), F.lit('">'), esc(F.col("title")), F.lit("</a> <i>"), D.age_text(F.col("published_date"), as_of), F.lit("</i><p>"), esc(F.left(F.col("description"), F.lit(200))), F.lit("</p></li>"))
-    rows = df.select("event_type", F.struct((-F.unix_micros(F.col("published_date").cast("timestamp"))).alias("at"), F.col("id"), item.alias("item")).alias("e"))
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("event_type").orderBy("e")))
-    grouped = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= each, F.col("e")))).alias("_e"))
-    return grouped.select("event_type", "n", F.concat(F.lit("<ul>"), F.array_join(F.transform("_e", lambda x: x["item"]), ""), F.lit("</ul>")).alias("html"))
+    grouped = _shown(df, [F.col("published_date").cast("timestamp").desc_nulls_first(), "id"], each, item)
+    return grouped.select("event_type", "n", F.concat(F.lit("<ul>"), F.array_join("shown", ""), F.lit("</ul>")).alias("html"))
