@@ -15,7 +15,7 @@ from ..functions import dates as D
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vocab as V
-from ..operators import ddl, dedup, gates, health, lookups, ranking, store
+from ..operators import ddl, dedup, gates, health, lookups, ranking, seen, store
 from ..streaming import stateful
 
 _QUERIES: dict[str, Callable] = {}
@@ -481,6 +481,18 @@ def url_anti_join(spark, sf_dir):
     return dedup.unseen(p, seen).select("page_id")
 
 
+@query("""select page_id from pages where page_id not in (select page_id from pages p where exists (select 1 from pages q where q.url = p.url and q.page_id % 3 = 0))""")
+def seen_filters(spark, sf_dir):
+    """The same behind Bloom filters of three days."""
+    import uuid
+
+    p = table(spark, sf_dir, "pages")
+    known = seen.SeenUrls(spark, f"{store.shared_dir(spark)}/seen/{uuid.uuid4().hex}", 1 << 12)
+    for day in range(3):
+        known.add(p.where(f"page_id % 9 = {3 * day}").select(T.url_hash(F.col("url")).alias("url_hash")), f"2024-01-0{day + 1}")
+    return known.unseen(p).select("page_id")
+
+
 @query("""with a as (select max(o_orderdate) m from orders) select o_orderkey from orders x where not exists (select 1 from orders y, a where y.o_orderkey % 2 = 0 and y.o_orderdate >= m - interval 4000 hours
  and y.o_custkey = x.o_custkey) """)
 def title_horizon_anti_join(spark, sf_dir):

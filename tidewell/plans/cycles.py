@@ -56,8 +56,8 @@ def scrape_cycle(spark, sf_dir):
 def cleanup_reasons(spark, sf_dir):
     """What today's rules and title duplicates would drop of stored events."""
     e = _titled(spark, sf_dir)
-    firm = F.array(F.struct(L("Acme").alias("name")))
-    events = e.select(F.col("doc_id").alias("id"), "title", F.col("text").alias("description"), L("").alias("company_name"), F.when(F.col("lang") == "en", firm).otherwise(F.array().cast("array<struct<name:string>>")).alias("companies_data"), F.when(F.length(T.nz(F.col("text"))) % 3 == 0, "B").otherwise("").alias("grade"), F.col("n_chars").alias("discovered_at"))
+    firm = F.array(F.struct(L("Acme").alias("name"), L("target").alias("role"), L("").alias("industry")))
+    events = e.select(F.col("doc_id").alias("id"), "title", F.col("text").alias("description"), L("").alias("company_name"), F.when(F.col("lang") == "en", firm).otherwise(F.array().cast("array<struct<name:string,role:string,industry:string>>")).alias("companies_data"), F.when(F.length(T.nz(F.col("text"))) % 3 == 0, "B").otherwise("").alias("grade"), F.col("n_chars").alias("discovered_at"))
     return pipelines.cleanup(events, CFG).withColumnRenamed("id", "doc_id")
 
 
