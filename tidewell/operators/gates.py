@@ -13,8 +13,15 @@ from ..functions import vocab as V
 from ..functions.text import joined, nz, strip
 
 
-def low(text: Column) -> Column:
-    return F.lower(nz(text))
+low = T.lowered
+
+
+def _prepared(df: DataFrame) -> DataFrame:
+    """df with _summary (without HTML), _full (title and summary) and its lower
+    case: every rule looks at these, so they are columns, made once."""
+    rows = df.withColumn("_summary", T.strip_html(F.col("summary")))
+    rows = rows.withColumn("_full", joined(F.col("title"), F.col("_summary")))
+    return rows.withColumn(T.LOWERED, F.lower(F.col("_full")))
 
 
 def excluded_content(text: Column, cfg: Config) -> Column:
@@ -25,23 +32,27 @@ def excluded_location(text: Column, cfg: Config) -> Column:
     return V.holds_any(low(text), cfg.excluded_locations)
 
 
-def dateline_places(text: Column, cfg: Config) -> Column:
-    """City and state of the first dateline, as far as they are territory."""
+def dateline_places(line: Column, cfg: Config) -> Column:
+    """City and state of a dateline, as far as they are territory."""
     places = lambda p: F.array_compact(F.array(F.when(p["city"].isin(list(cfg.cities)), p["city"]), F.when(p["state"].isin(list(cfg.regions)), p["state"])))
-    return V.once(T.first_dateline(text), places)
+    return V.once(line, places)
 
 
-def territory(text: Column, cfg: Config) -> Column:
+def territory(text: Column, cfg: Config, small: Column | None = None, line: Column | None = None) -> Column:
     """Territory places of a text: none with an excluded location; those of the
-    dateline if any; else all regions, then all cities that it contains."""
+    dateline if any; else all regions, then all cities that it contains.
+    `small` is the text in lower case and `line` its first dateline, where they
+    are known."""
+    small = text if small is None else small
     anywhere = lambda t: F.concat(V.held(t, cfg.regions), V.held(t, cfg.cities))
-    own = V.once(dateline_places(text, cfg), lambda p: F.when(F.size(p) > 0, p).otherwise(V.once(low(text), anywhere)))
-    return F.when(excluded_location(text, cfg), F.array().cast("array<string>")).otherwise(own)
+    first = T.first_dateline(text) if line is None else line
+    own = V.once(dateline_places(first, cfg), lambda p: F.when(F.size(p) > 0, p).otherwise(V.once(low(small), anywhere)))
+    return F.when(excluded_location(small, cfg), F.array().cast("array<string>")).otherwise(own)
 
 
-def any_dateline(text: Column, cfg: Config) -> Column:
-    """Whether any dateline place is in the territory."""
-    return F.exists(T.datelines(text), lambda p: F.coalesce(p["city"].isin(list(cfg.cities)), F.lit(False)) | F.coalesce(p["state"].isin(list(cfg.regions)), F.lit(False)))
+def any_dateline(lines: Column, cfg: Config) -> Column:
+    """Whether any of a text's dateline places is in the territory."""
+    return F.exists(lines, lambda p: F.coalesce(p["city"].isin(list(cfg.cities)), F.lit(False)) | F.coalesce(p["state"].isin(list(cfg.regions)), F.lit(False)))
 
 
 def excluded_industry(text: Column, cfg: Config) -> Column:
@@ -121,36 +132,32 @@ def feed_gate(df: DataFrame, cfg: Config) -> DataFrame:
     """title, summary -> outcome of a feed entry: event_type, drop_reason (null
     if kept), matched_regions, company_name, person_*, keywords, description,
     relevance_score. First reason that holds wins."""
-    full = joined(F.col("title"), T.strip_html(F.col("summary")))
-    base = df.withColumn("_full", full)
-    f = F.col("_full")
-    base = base.select(
+    f, t = F.col("_full"), F.col(T.LOWERED)
+    base = _prepared(df).withColumn("_lines", T.datelines(f)).select(
         "*",
-        any_dateline(f, cfg).alias("_line"),
-        territory(f, cfg).alias("matched_regions"),
-        target_company(f, cfg).alias("_target"),
-        T.detect_type(f, cfg).alias("_type"),
-        target_industry(f, cfg).alias("_industry"),
-        pe_backed(f).alias("_pe"),
+        any_dateline(F.col("_lines"), cfg).alias("_line"),
+        territory(f, cfg, t, F.get("_lines", 0)).alias("matched_regions"),
+        target_company(t, cfg).alias("_target"),
+        T.detect_type(t, cfg).alias("_type"),
     )
     inside, wanted = F.size("matched_regions") > 0, F.col("_target").isNotNull()
     none = F.col("_type").isNull()
     reason = (
-        F.when(excluded_industry(f, cfg), "excluded_industry")
-        .when(public_company(f, cfg), "public_company")
+        F.when(excluded_industry(t, cfg), "excluded_industry")
+        .when(public_company(t, cfg), "public_company")
         .when(F.col("_line") & none & ~wanted, "no_type")
         .when(F.col("_line"), F.lit(None))
-        .when(excluded_location(f, cfg), "excluded_location")
-        .when(none & ~(wanted | (F.col("_pe") & inside)), "no_type")
+        .when(excluded_location(t, cfg), "excluded_location")
+        .when(none & ~(wanted | (pe_backed(t) & inside)), "no_type")
         .when(F.lit(cfg.require_territory) & ~(inside | wanted), "out_of_territory")
     )
     kind = F.coalesce(F.col("_type"), F.lit("stable_target"))
     source = T.feed_source(F.col("feed_name"))
-    summary = T.strip_html(F.col("summary"))
-    why = T.reasoning(F.col("_target"), F.col("matched_regions"), T.industries(f, cfg), T.signals(f), target_size(f, cfg))
+    summary = F.col("_summary")
+    why = T.reasoning(F.col("_target"), F.col("matched_regions"), T.industries(t, cfg), T.signals(t), target_size(t, cfg))
     recommended = F.col("_line") & none & wanted
     description = F.when(recommended, F.concat(F.lit("RECOMMENDATION: "), why, F.lit("\n\n"), F.left(summary, F.lit(400)))).otherwise(T.blank_to_null(F.left(summary, F.lit(500))))
-    score = S.boosted(S.relevance(kind, F.size("matched_regions"), F.col("_industry"), wanted), S.feed_boost(source, F.col("_line")))
+    score = S.boosted(S.relevance(kind, F.size("matched_regions"), target_industry(t, cfg), wanted), S.feed_boost(source, F.col("_line")))
     return base.select(
         *df.columns,
         reason.alias("drop_reason"),
@@ -160,7 +167,7 @@ def feed_gate(df: DataFrame, cfg: Config) -> DataFrame:
         F.coalesce(F.col("_target"), T.company_name(f)).alias("company_name"),
         T.person_name(f).alias("person_name"),
         T.person_title(f).alias("person_title"),
-        T.keywords(f, kind, cfg).alias("matched_keywords"),
+        T.keywords(t, kind, cfg).alias("matched_keywords"),
         description.alias("description"),
         score.alias("relevance_score"),
     )
@@ -169,17 +176,17 @@ def feed_gate(df: DataFrame, cfg: Config) -> DataFrame:
 def search_gate(df: DataFrame, cfg: Config, site: bool = False, skip_territory: Column | None = None, hint: Column | None = None) -> DataFrame:
     """Entries of news searches (or, with `site`, of the funding site): title,
     summary -> event_type, matched_regions, drop_reason."""
-    f = joined(F.col("title"), T.strip_html(F.col("summary")))
-    detected = T.detect_site_type(F.col("title"), f, cfg) if site else T.detect_type(f, cfg)
+    rows, f, t = _prepared(df), F.col("_full"), F.col(T.LOWERED)
+    detected = T.detect_site_type(F.col("title"), t, cfg) if site else T.detect_type(t, cfg)
     kind = detected if hint is None or site else F.coalesce(detected, hint)
     skip = F.lit(False) if skip_territory is None else skip_territory
-    base = df.select("*", kind.alias("event_type"), territory(f, cfg).alias("matched_regions"), target_company(f, cfg).isNotNull().alias("_wanted"))
+    base = rows.select("*", kind.alias("event_type"), territory(f, cfg, t).alias("matched_regions"), target_company(t, cfg).isNotNull().alias("_wanted"))
     inside = F.size("matched_regions") > 0
-    place = F.when(excluded_location(f, cfg), "excluded_location")
-    field = F.when(excluded_industry(f, cfg), "excluded_industry").when(public_company(f, cfg), "public_company")
-    keep = inside | F.col("_wanted") if cfg.require_territory or site else inside | target_industry(f, cfg) | F.col("_wanted")
+    place = F.when(excluded_location(t, cfg), "excluded_location")
+    field = F.when(excluded_industry(t, cfg), "excluded_industry").when(public_company(t, cfg), "public_company")
+    keep = inside | F.col("_wanted") if cfg.require_territory or site else inside | target_industry(t, cfg) | F.col("_wanted")
     reason = F.coalesce(F.when(F.col("event_type").isNull(), "no_type"), place if site else field, field if site else place, F.when(~skip & ~keep, "out_of_territory"))
-    return base.withColumn("drop_reason", reason).drop("_wanted")
+    return base.withColumn("drop_reason", reason).drop("_wanted", "_summary", "_full", T.LOWERED)
 
 
 def filing_gate(filings: DataFrame, filers: DataFrame, cfo: DataFrame, finance: DataFrame, cfg: Config, codes: list[str] | None = None) -> DataFrame:
