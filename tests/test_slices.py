@@ -42,6 +42,13 @@ def test_numbered(rows):
     same(slices.numbered(rows, "key", "ts", "id", "n"), rows.withColumn("n", (F.row_number().over(w) - 1).cast("long")))
 
 
+def test_running(rows):
+    w = W.partitionBy("key").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)
+    top = F.when(F.col("id") % 7 == 0, F.col("id"))
+    got = slices.running(rows, "key", "ts", "id", {"s": F.col("id")}, {"m": top})
+    same(got, rows.withColumns({"s": F.sum("id").over(w), "m": F.max(top).over(w)}))
+
+
 def test_no_window_over_a_key_alone(rows):
     plan = slices.over_rows(rows, "key", "ts", "id", 5, F.sum("id"), "s")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(key" in plan and "_slice" in plan

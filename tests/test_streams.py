@@ -43,6 +43,16 @@ def test_stream_equals_batch(spark, tmp_path, machine):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_running_health_equals_the_machine(spark):
+    from tidewell.operators import health
+
+    rows = catalogue.attempts(spark, DATA)
+    columns = ["user_id", "event_id", "total", "good", "streak", "events_total", "status"]
+    machine = stateful.replay(rows, "health", "user_id", ["seconds", "event_id"]).select(columns)
+    running = health.running(rows.withColumn("at", F.timestamp_micros((F.col("seconds") * 1_000_000).cast("long"))), "user_id", "at", "event_id", "ok", "events").select(columns)
+    assert sorted(map(tuple, running.collect())) == sorted(map(tuple, machine.collect()))
+
+
 def test_alerts_once(spark, tmp_path):
     sent, out = [], []
     frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "id int")

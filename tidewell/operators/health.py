@@ -115,6 +115,19 @@ def rolling_mean(checks: DataFrame, source: str, ts: str, tie: str, value: str,
     return slices.over_rows(checks.where(F.col(value) > 0), source, ts, tie, rows, F.avg(value), "rolling_mean")
 
 
+def running(checks: DataFrame, source: str, ts: str, tie: str, ok: str, events: str) -> DataFrame:
+    """A source's state after each of its checks: total, good, streak (failures
+    in a row), events_total, status. What the stream's state machine keeps, by
+    running sums: a streak is the distance to the last good check."""
+    good = F.col(ok).cast("int")
+    rows = slices.running(checks, source, ts, tie, {"total": F.lit(1), "good": good, "events_total": F.when(F.col(ok), F.col(events)).otherwise(0)})
+    rows = slices.running(rows, source, ts, tie, tops={"_last": F.when(F.col(ok), F.col("total"))})
+    rows = rows.withColumn("streak", F.col("total") - F.coalesce("_last", F.lit(0))).drop("_last")
+    rate = F.col("good") / F.col("total")
+    label = F.when(F.col("total") < 3, "unknown").when((F.col("streak") >= 3) | (rate < 0.5), "unhealthy").when(rate < 0.9, "degraded").otherwise("healthy")
+    return rows.withColumn("status", label)
+
+
 # ---------------------------------------------------------------- checks
 
 

@@ -34,18 +34,27 @@ def over_time(df: DataFrame, key: str, ts: str, span: int, measure: Column, name
     return _own(rows.withColumn(name, measure.over(w)), "_at")
 
 
-def numbered(df: DataFrame, key: str, ts: str, tie: str, name: str = "_pos") -> DataFrame:
-    """Places of the rows of a key by (ts, tie), from 0; nulls first. The places
-    before each hour come from the hours' totals."""
+def running(df: DataFrame, key: str, ts: str, tie: str, sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None) -> DataFrame:
+    """df with running sums and running greatest values of a key's rows by (ts,
+    tie), each row included; nulls of ts first. What lies before an hour comes
+    from the hours' own sums, so no task holds more than an hour of a key."""
+    sums, tops = sums or {}, tops or {}
     hour = F.coalesce(F.date_trunc("hour", F.col(ts)), F.lit("0001-01-01").cast("timestamp"))
     rows = df.withColumn("_hour", hour)
-    hours = rows.groupBy(F.col(key).alias("_key"), F.col("_hour").alias("_of")).agg(F.count("*").alias("_n"))
+    own = [F.sum(c).alias(f"_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_{n}") for n, c in tops.items()]
+    hours = rows.groupBy(F.col(key).alias("_key"), F.col("_hour").alias("_of")).agg(*own)
     earlier = W.partitionBy("_key").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)  # a row an hour
-    hours = hours.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inside = W.partitionBy(key, "_hour").orderBy(ts, tie)
-    rows = rows.withColumn("_n", F.row_number().over(inside) - 1)
+    hours = hours.select("_key", "_of", *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in sums], *[F.max(f"_{n}").over(earlier).alias(f"_{n}") for n in tops])
+    inside = W.partitionBy(key, "_hour").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_own_{n}": F.sum(c).over(inside) for n, c in sums.items()} | {f"_own_{n}": F.max(c).over(inside) for n, c in tops.items()})
     both = rows.join(hours, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hour") == F.col("_of")))
-    return both.withColumn(name, F.col("_before") + F.col("_n")).drop("_hour", "_n", "_key", "_of", "_before")
+    added = {n: F.coalesce(F.col(f"_{n}"), F.lit(0)) + F.col(f"_own_{n}") for n in sums} | {n: F.greatest(f"_{n}", f"_own_{n}") for n in tops}
+    return both.select(*df.columns, *[c.alias(n) for n, c in added.items()])
+
+
+def numbered(df: DataFrame, key: str, ts: str, tie: str, name: str = "_pos") -> DataFrame:
+    """Places of the rows of a key by (ts, tie), from 0; nulls first."""
+    return running(df, key, ts, tie, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
 def over_rows(df: DataFrame, key: str, ts: str, tie: str, rows: int, measure: Column, name: str, length: int | None = None) -> DataFrame:
