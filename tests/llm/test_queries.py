@@ -61,6 +61,87 @@ def test_odd_rows(spark, odd, name):
     assert number(name) in (6, 12) or len(empty) == 1
 
 
+def odd_result(spark, odd, n, *columns):
+    name = next(x for x in NAMES if number(x) == n)
+    rows = queries.queries()[name](spark, odd[0]).select(*columns).collect()
+    return sorted(map(tuple, rows), key=lambda r: [(v is None, v) for v in r])
+
+
+def odd_want(odd, values):
+    docs = pq.read_table(f"{odd[0]}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    return sorted(((d["doc_id"], *values(d["text"] or "")) for d in docs), key=lambda r: [(v is None, v) for v in r])
+
+
+def test_odd_values_op1(spark, odd):
+    def values(t):
+        raw = t.encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])
+
+    assert odd_result(spark, odd, 1, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == odd_want(odd, values)
+
+
+def test_odd_values_op2(spark, odd):
+    """Rows of one key are rows of their own; components by their least keys."""
+    docs = pq.read_table(f"{odd[0]}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    sizes, classes = brute([d["text"] or "" for d in docs], 4, 85, 100)
+    classes, least = [classes[k] for k in range(len(docs))], {}
+    for d, c in zip(docs, classes):
+        if d["doc_id"] is not None:
+            least[c] = min(least.get(c, d["doc_id"]), d["doc_id"])
+    want = [(d["doc_id"], n, least.get(c) if n else d["doc_id"]) for d, n, c in zip(docs, sizes, classes)]
+    assert odd_result(spark, odd, 2, "doc_id", "n_shingles", "component_id") == sorted(want, key=lambda r: [(v is None, v) for v in r])
+
+
+def test_odd_values_op3(spark, odd):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert odd_result(spark, odd, 3, "doc_id", "n_bytes", "n_tokens") == odd_want(odd, lambda t: (len(t.encode()), len(sp.encode(t))))
+
+
+def test_odd_values_op4(spark, odd):
+    """Keys ascend with start, nulls first, and the ids are the library's."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+
+    def values(t):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        return len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+    assert odd_result(spark, odd, 4, "doc_id", "n_tokens", "ids_crc32") == odd_want(odd, values)
+    rows = sorted(odd_result(spark, odd, 4, "start", "n_tokens", "doc_id"), key=lambda r: r[0])
+    assert all(a[0] + a[1] == b[0] and (a[2] is not None, a[2] or 0) <= (b[2] is not None, b[2] or 0) for a, b in zip(rows, rows[1:])) and rows[0][0] == 0
+
+
+def test_odd_values_op8(spark, odd):
+    """Sizes, and sources' sizes with null as a source of its own."""
+    docs = pq.read_table(f"{odd[0]}/documents.parquet", columns=["doc_id", "text", "source"]).to_pylist()
+    size, total = [len(WORD.findall(d["text"] or "")) for d in docs], {}
+    for d, n in zip(docs, size):
+        total[d["source"]] = total.get(d["source"], 0) + n
+    want = sorted(((d["doc_id"], n, total[d["source"]]) for d, n in zip(docs, size)), key=lambda r: [(v is None, v) for v in r])
+    assert odd_result(spark, odd, 8, "doc_id", "size", "source_size") == want
+    assert all(0 <= t <= 2 * n for n, t in odd_result(spark, odd, 8, "size", "taken"))
+
+
+def test_odd_values_op10(spark, odd):
+    import base64
+
+    import tiktoken
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def values(t):
+        ids = library.encode_ordinary(t)
+        return len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()
+
+    assert odd_result(spark, odd, 10, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == odd_want(odd, values)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_tables(spark, odd, tmp_path, name):
     for t in ("documents", "labels", "pages", "benchmark"):
