@@ -37,43 +37,45 @@ def _few(df: DataFrame) -> bool:
     return df.limit(FEW + 1).count() <= FEW
 
 
-def index(keywords: DataFrame, texts: DataFrame | None = None, text: str = "text", keyword: str = "keyword") -> tuple[DataFrame, DataFrame]:
+def index(keywords: DataFrame, texts: DataFrame | None = None, text: str = "text", keyword: str = "keyword", n: int = PART) -> tuple[DataFrame, DataFrame]:
     """(part, keyword) with each keyword under its rarest part, in as many
     `texts` as possible counts, else among the keywords themselves; and the
     keywords that have none. Keywords are lower-case, distinct and not blank."""
     rows = keywords.select(F.lower(F.col(keyword)).alias("keyword")).where("keyword <> ''").distinct()
-    cut = rows.select("keyword", F.explode_outer(parts(F.col("keyword"))).alias("part"))
+    cut = rows.select("keyword", F.explode_outer(parts(F.col("keyword"), n)).alias("part"))
     short = cut.where("part is null").select("keyword")
     cut = cut.where("part is not null")
     wanted = cut.select("part").distinct()
     if texts is None:
         counts = cut.groupBy("part").agg(F.count("*").alias("n"))
     else:
-        own = texts.select(F.explode(parts(F.lower(nz(F.col(text))))).alias("part"))
+        own = texts.select(F.explode(parts(F.lower(nz(F.col(text))), n)).alias("part"))
         counts = own.join(F.broadcast(wanted) if _few(wanted) else wanted, "part").groupBy("part").agg(F.count("*").alias("n"))
     ranked = cut.join(counts, "part", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("best"))
     return ranked.select(F.col("best.part").alias("part"), "keyword"), short
 
 
-def matches(df: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text", keyword: str = "keyword", counted: bool = True) -> DataFrame:
+def matches(df: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text", keyword: str = "keyword", counted: bool = True, n: int = PART) -> DataFrame:
     """key, keyword: the keywords that each (lower-cased) text contains, those
-    of all rows of a key together."""
-    table, short = index(keywords, df if counted else None, text, keyword)
+    of all rows of a key together. Parts of n letters: where texts are alike in
+    their short parts, longer ones tell more; keywords without a part of n
+    letters are searched for everywhere."""
+    table, short = index(keywords, df if counted else None, text, keyword, n)
     rows = df.select(F.col(key).alias("_key"), F.lower(nz(F.col(text))).alias("_text"))
     table = F.broadcast(table) if _few(table) else table
     # Candidates are tested where they are found: the text stays in its row.
-    found = rows.select("_key", "_text", F.explode(parts(F.col("_text"))).alias("part")).join(table, "part").where(F.contains(F.col("_text"), F.col("keyword"))).select("_key", "keyword")
-    tiny = sorted(r[0] for r in short.collect())  # nothing longer than two letters between blanks: few
+    found = rows.select("_key", "_text", F.explode(parts(F.col("_text"), n)).alias("part")).join(table, "part").where(F.contains(F.col("_text"), F.col("keyword"))).select("_key", "keyword")
+    tiny = sorted(r[0] for r in short.collect())  # nothing of n letters between blanks: few
     if tiny:
         held = F.filter(F.array(*map(F.lit, tiny)), lambda k: F.contains(F.col("_text"), k))
         found = found.union(rows.select("_key", F.explode(held).alias("keyword")))
     return found.distinct().withColumnRenamed("_key", key)
 
 
-def first_matches(df: DataFrame, keywords: DataFrame, most: int, key: str = "id", text: str = "text", keyword: str = "keyword", rank: str = "rank") -> DataFrame:
+def first_matches(df: DataFrame, keywords: DataFrame, most: int, key: str = "id", text: str = "text", keyword: str = "keyword", rank: str = "rank", n: int = PART) -> DataFrame:
     """key, n (keywords that its text contains) and the first `most` of them in
     the order of `rank`; texts without any are left out."""
     order = keywords.select(F.lower(F.col(keyword)).alias("keyword"), F.col(rank).alias("_rank")).groupBy("keyword").agg(F.min("_rank").alias("_rank"))
-    found = matches(df, keywords, key, text, keyword).join(order, "keyword")
+    found = matches(df, keywords, key, text, keyword, n=n).join(order, "keyword")
     place = F.array_sort(F.collect_list(F.struct("_rank", "keyword")))
     return found.groupBy(key).agg(F.count("*").alias("n"), F.transform(F.slice(place, 1, most), lambda x: x["keyword"]).alias("keywords"))

@@ -299,5 +299,5 @@ def text_many_keywords(spark, sf_dir):
     """Texts by all longer words of the benchmark, thousands at scale."""
     b = table(spark, sf_dir, "benchmark")
     words = b.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("keyword")).groupBy("keyword").agg(F.min("item_id").alias("rank"))
-    found = keywords.first_matches(table(spark, sf_dir, "documents"), words, 5, key="doc_id")
+    found = keywords.first_matches(table(spark, sf_dir, "documents"), words, 5, key="doc_id", n=6)
     return found.select("doc_id", "n", F.array_join("keywords", ",").alias("first"))
