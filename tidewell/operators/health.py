@@ -99,9 +99,12 @@ def search_counters(searches: DataFrame) -> DataFrame:
 
 
 def dashboard(states: DataFrame, as_of: Column) -> DataFrame:
+    # One division, and one rounding of its exact value (a tie goes to the even
+    # digit): a rate times 100, or a rounded number's shortest text, is off.
+    percent = F.coalesce(F.try_divide(F.col("successful_requests") * 100.0, F.col("total_requests")), F.lit(0.0))
     return states.select(
         F.col("source_name").alias("name"), "status",
-        F.format_string("%.1f%%", F.bround(F.col("success_rate") * 100, 1)).alias("uptime"),
+        F.concat(F.call_function("format_number", percent, F.lit("0.0")), F.lit("%")).alias("uptime"),
         D.check_age_text(F.col("last_check"), as_of).alias("last_check"),
         F.col("events_found_total").alias("events_total"),
         F.format_string("%.0fms", F.coalesce("avg_response_time_ms", F.lit(0.0))).alias("avg_response_ms"),
