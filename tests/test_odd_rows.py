@@ -32,3 +32,9 @@ def test_uptime_is_rounded_once(spark):
     states = states.select("*", F.lit("healthy").alias("status"), none.cast("timestamp").alias("last_check"), F.lit(0).alias("events_found_total"), none.cast("double").alias("avg_response_time_ms"), F.lit(0).alias("consecutive_failures"), none.cast("string").alias("last_error_message"))
     got = {r.name: r.uptime for r in health.dashboard(states, none.cast("timestamp")).collect()}
     assert got == {f"{g}/{n}": f"{g * 100.0 / max(n, 1):.1f}%" for g, n in pairs}
+
+
+def test_hashtags_of_large_ids(same):
+    """Products beyond 2^53, which doubles cannot hold."""
+    rows = [(i, i % 7) for i in range(5_000_000, 5_000_200)] + [(i, 1) for i in range(20)]
+    same("hashtag_grade", "events", rows, "event_id long, user_id long")

@@ -454,7 +454,7 @@ _TAGS = list(V.HASHTAG_POINTS)
  select event_id, s as score, case when conf not in ('High', 'Medium') and gr in ('A', 'B') then 'C' else gr end as grade from g""")
 def hashtag_grade(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    tags = F.transform(F.filter(F.transform(V.words(_TAGS), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda p: F.floor(F.col("event_id") * 2654435761 / F.pow(F.lit(2.0), p["i"])).cast("long") % 3 == 0), lambda p: p["t"])
+    tags = F.transform(F.filter(F.transform(V.words(_TAGS), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda p: F.call_function("shiftright", F.col("event_id") * 2654435761, p["i"]) % 3 == 0), lambda p: p["t"])
     g = S.grade(tags, pick(["High", "Medium", "Low", ""], F.col("user_id")))
     return e.select("event_id", g["score"].alias("score"), g["grade"].alias("grade"))
 
