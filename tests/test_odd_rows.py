@@ -38,3 +38,10 @@ def test_hashtags_of_large_ids(same):
     """Products beyond 2^53, which doubles cannot hold."""
     rows = [(i, i % 7) for i in range(5_000_000, 5_000_200)] + [(i, 1) for i in range(20)]
     same("hashtag_grade", "events", rows, "event_id long, user_id long")
+
+
+def test_companies_with_repeated_line_numbers(same):
+    """Equal line, name and role: the score decides, whatever the revenue."""
+    rows = [(k, 100 + k, s, 1, float(q)) for k in range(40) for s, q in ((1 + k, 30), (1 + k + 8 * 7, 20), (1 + k + 8 * 9, 10))]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    same("prompt_blocks", "lineitem", rows, schema)

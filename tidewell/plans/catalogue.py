@@ -399,8 +399,9 @@ _ROLES = ["Target", "Advisor", "Acquirer", "Investor", "Partner", "Primary", "Hi
 
 
 def companies_of_orders(spark, sf_dir) -> DataFrame:
-    """o_orderkey, companies: the lines of an order as companies, in order.
-    Orders have a few lines; nothing else is gathered."""
+    """o_orderkey, companies: the lines of an order as companies, by line, name,
+    role and score (line numbers may repeat). Orders have a few lines; nothing
+    else is gathered."""
     li = table(spark, sf_dir, "lineitem")
     text = lambda name: F.lit(None).cast("string").alias(name)
     company = F.struct(
@@ -413,7 +414,9 @@ def companies_of_orders(spark, sf_dir) -> DataFrame:
         text("industry"),
         F.struct(pick(["A", "B", "C", "D", "E"], F.col("l_partkey")).alias("grade"), F.col("l_quantity").cast("int").alias("score")).alias("tal"),
     )
-    return li.select("l_orderkey", company.alias("c")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("c")).alias("companies"))
+    rows = li.select("l_orderkey", company.alias("c"))
+    placed = F.struct("c.pos", "c.name", "c.role", "c.tal.score", "c")
+    return rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(placed)), lambda p: p["c"]).alias("companies"))
 
 
 _COMPANIES = f"""(select *, row_number() over (partition by l_orderkey order by line, name, role, score) pos from (select l_orderkey, l_linenumber line, 'c' || l_partkey as name, {picked(_ROLES, 'l_suppkey + l_linenumber')} as role, {picked(_HQS, 'l_partkey')} as hq,
