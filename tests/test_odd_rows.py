@@ -45,3 +45,43 @@ def test_companies_with_repeated_line_numbers(same):
     rows = [(k, 100 + k, s, 1, float(q)) for k in range(40) for s, q in ((1 + k, 30), (1 + k + 8 * 7, 20), (1 + k + 8 * 9, 10))]
     schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
     same("prompt_blocks", "lineitem", rows, schema)
+
+
+def test_cache_entries_share_state(spark, tmp_path):
+    """Many keys cost a few state rows: those of their slots; an entry that goes
+    when the stream ends still lives."""
+    from tidewell.streaming import expiring
+
+    rows = [(f"k{i}", "put", 1000 + i, "v", None if i % 3 else 100) for i in range(600)]
+    spark.createDataFrame(rows, "cache_key string, kind string, s int, value string, ttl int").withColumn("at", F.timestamp_seconds("s")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("cache_key string, kind string, s int, value string, ttl int, at timestamp").parquet(f"{tmp_path}/in")
+    out = []
+    with expiring.rocksdb(spark):
+        q = expiring.cache_stream(stream, slots=10).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(lambda df, n: out.extend(df.collect())).start()
+        q.awaitTermination()
+    assert sorted(r.cache_key for r in out) == sorted(f"k{i}" for i in range(0, 600, 3) if i + 100 < 599)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 30
+
+
+def test_cache_by_the_clock():
+    """One key's operations against a state that only holds a value."""
+    from pyspark.sql import Row
+
+    from tidewell.streaming import expiring
+
+    class State:
+        value = None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    cache = expiring.Clocked(1000)
+    cache.entry = State()
+    rows = [Row(cache_key="a", kind=k, at_ms=at, value=v, ttl_ms=ttl) for k, at, v, ttl in [("get", 20, None, None), ("put", 10, "v", None), ("clear", 30, None, None), ("put", 40, "w", 3.0), ("get", 50, None, None), ("put", 60, "x", None)]]
+    out = list(cache.handleInputRows(("a",), iter(rows), None))
+    assert [(r.outcome, r.value, r.hits) for r in out] == [("hit", "v", 1), ("cleared", "v", 1), ("expired", "w", 0), ("miss", None, 0)]
+    assert cache.entry.get() == ("x", 60, None, 0)

@@ -310,8 +310,9 @@ def cache_stream(spark, sf_dir):
     ttl = (3600 * 24 * (F.col("user_id") % 5)).cast("double")
     kinds = F.explode(F.when(F.col("event_type") == "click", F.array(L("put"), L("clear"))).otherwise(F.array(L("put"))))
     operations = e.select(F.col("event_id").cast("string").alias("cache_key"), kinds.alias("kind"), F.col("ts").alias("at"), F.col("event_type").alias("value"), ttl.alias("ttl"))
+    slots = max(64, table(spark, sf_dir, "events").count() // 1000)
     with expiring.rocksdb(spark):
-        gone = drained(expiring.cache_stream(operations), "append")
+        gone = drained(expiring.cache_stream(operations, slots=slots), "append")
     left = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("cache_key")).join(gone.select("cache_key"), "cache_key", "left_anti")
     return left.select(F.col("cache_key").cast("long").alias("event_id"))
 
