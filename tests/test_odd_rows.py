@@ -85,3 +85,17 @@ def test_cache_by_the_clock():
     out = list(cache.handleInputRows(("a",), iter(rows), None))
     assert [(r.outcome, r.value, r.hits) for r in out] == [("hit", "v", 1), ("cleared", "v", 1), ("expired", "w", 0), ("miss", None, 0)]
     assert cache.entry.get() == ("x", 60, None, 0)
+
+
+def test_keywords_within_words(spark):
+    """Keywords without a blank are looked for in words, others in whole texts;
+    both may overlap."""
+    from tidewell.operators import keywords
+
+    rows = spark.createDataFrame([(1, "xabcdefx abcdef"), (2, "abc def"), (3, "ABCDEF g")], "id long, text string")
+    words = spark.createDataFrame([("abcdef",), ("bcdefx a",), ("c d",), ("bcd",)], "keyword string")
+    got = {(r.id, r.keyword) for r in keywords.matches(rows, words).collect()}
+    assert got == {(1, "abcdef"), (1, "bcdefx a"), (1, "bcd"), (2, "c d"), (3, "abcdef"), (3, "bcd")}
+    low = rows.selectExpr("id as _key", "lower(text) as _text")
+    inside = keywords.within_words(low, words.where("keyword in ('abcdef', 'bcd')"), True, 3)
+    assert {(r._key, r.keyword) for r in inside.collect()} == {(1, "abcdef"), (1, "bcd"), (3, "abcdef"), (3, "bcd")}

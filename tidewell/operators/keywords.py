@@ -5,7 +5,8 @@ three-letter part of it. Every keyword is filed under its rarest part that lies
 between blanks, by counts over all texts; a text's distinct parts are looked up
 in that table, and only the keywords found there are searched for in the text.
 What a text costs grows with its parts and its candidates, not with the list.
-Keywords without such a part (of one or two letters between blanks) are searched
+Keywords that hold no blank lie inside a word, so they are looked for in the
+distinct words of all texts, and a text costs a look-up of its words. Keywords without such a part (of one or two letters between blanks) are searched
 for in every text.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nz
+from .store import staged
 
 PART = 3
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -60,18 +62,46 @@ def matches(df: DataFrame, keywords: DataFrame, key: str = "id", text: str = "te
     of all rows of a key together. Parts of n letters: where texts are alike in
     their short parts, longer ones tell more; keywords without a part of n
     letters are searched for everywhere."""
-    table, short = index(keywords, df if counted else None, text, keyword, n)
     rows = df.select(F.col(key).alias("_key"), F.lower(nz(F.col(text))).alias("_text"))
-    table = F.broadcast(table) if _few(table) else table
-    # Candidates are tested where they are found: the text stays in its row.
-    found = rows.select("_key", "_text", F.explode(parts(F.col("_text"), n)).alias("part")).join(table, "part").where(F.contains(F.col("_text"), F.col("keyword"))).select("_key", "keyword")
-    tiny = sorted(r[0] for r in short.collect())  # nothing of n letters between blanks: few
-    if tiny:
-        held = F.filter(F.array(*map(F.lit, tiny)), lambda k: F.contains(F.col("_text"), k))
-        found = found.union(rows.select("_key", F.explode(held).alias("keyword")))
+    wanted = keywords.select(F.lower(F.col(keyword)).alias("keyword")).where("keyword <> ''").distinct()
+    inner = F.rlike("keyword", F.lit(BLANKS))
+    found = within_words(rows, wanted.where(~inner), counted, n)
+    phrases = staged(wanted.where(inner))
+    if not phrases.isEmpty():
+        table, short = index(phrases, df if counted else None, text, n=n)
+        table = F.broadcast(table) if _few(phrases) else table
+        # Candidates are tested where they are found: the text stays in its row.
+        parted = rows.select("_key", "_text", F.explode(parts(F.col("_text"), n)).alias("part"))
+        found = found.union(parted.join(table, "part").where(F.contains(F.col("_text"), F.col("keyword"))).select("_key", "keyword"))
+        found = _everywhere(found, rows, short)
+    found = _everywhere(found, rows, wanted.where(~inner & (F.char_length("keyword") < n)))
     return found.distinct().withColumnRenamed("_key", key)
 
 
+def _everywhere(found: DataFrame, rows: DataFrame, short: DataFrame) -> DataFrame:
+    """Keywords with nothing of n letters between blanks: few."""
+    tiny = sorted(r[0] for r in short.collect())
+    if not tiny:
+        return found
+    held = F.filter(F.array(*map(F.lit, tiny)), lambda k: F.contains(F.col("_text"), k))
+    return found.union(rows.select("_key", F.explode(held).alias("keyword")))
+
+
+def within_words(rows: DataFrame, keywords: DataFrame, counted: bool, n: int) -> DataFrame:
+    """_key, keyword for keywords of n letters or more without a blank: such a
+    keyword is held by a text if one of its words holds it. Words of all texts
+    are looked at once each; texts only look up which of theirs hold any."""
+    own = F.filter(F.array_distinct(F.split("_text", BLANKS)), lambda w: F.char_length(w) >= n)
+    words = rows.select("_key", F.explode(own).alias("word"))
+    long = keywords.where(F.char_length("keyword") >= n)
+    vocabulary = words.select("word").distinct()
+    table, _ = index(long, vocabulary if counted else None, "word", n=n)
+    table = F.broadcast(table) if _few(long) else table
+    parted = vocabulary.select("word", F.explode(parts(F.col("word"), n)).alias("part"))
+    pairs = staged(parted.join(table, "part").where(F.contains(F.col("word"), F.col("keyword"))).select("word", "keyword"))
+    return words.join(F.broadcast(pairs) if _few(pairs) else pairs, "word").select("_key", "keyword")
+
+
 def first_matches(df: DataFrame, keywords: DataFrame, most: int, key: str = "id", text: str = "text", keyword: str = "keyword", rank: str = "rank", n: int = PART) -> DataFrame:
     """key, n (keywords that its text contains) and the first `most` of them in
     the order of `rank`; texts without any are left out."""
