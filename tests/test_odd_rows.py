@@ -99,3 +99,21 @@ def test_keywords_within_words(spark):
     low = rows.selectExpr("id as _key", "lower(text) as _text")
     inside = keywords.within_words(low, words.where("keyword in ('abcdef', 'bcd')"), True, 3)
     assert {(r._key, r.keyword) for r in inside.collect()} == {(1, "abcdef"), (1, "bcd"), (3, "abcdef"), (3, "bcd")}
+
+
+def test_connector_batches_are_bounded(spark, tmp_path):
+    """Long payloads leave a task before many of them are held."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.types import StructType
+
+    from tidewell.sources import connectors
+
+    feed = "<rss><channel><item><title>t</title><description>" + "x" * (1 << 20) + "</description></item></channel></rss>"
+    (tmp_path / "cycle=1").mkdir()
+    pq.write_table(pa.table({"name": [f"f{i}" for i in range(40)], "payload": [feed] * 40}), f"{tmp_path}/cycle=1/part-0.parquet")
+    (tmp_path / "cycle=1" / "_SUCCESS").touch()
+    columns = f"cycle string, name string, pos int, {connectors.FeedSource.columns}, error string"
+    reader = connectors.PayloadReader(connectors.feed_entries, StructType.fromDDL(columns), {"path": str(tmp_path)})
+    batches = [b for piece in reader.partitions() for b in reader.read(piece)]
+    assert sum(b.num_rows for b in batches) == 40 and max(b.nbytes for b in batches) < 6 << 20

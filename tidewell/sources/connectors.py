@@ -45,8 +45,13 @@ from pyspark.sql.types import StructType
 from ..functions.vocab import NAMESPACES
 
 BLANK = " \t\n\x0b\f\r"
-#: Rows of a batch that goes to Spark.
+#: Rows, and letters, of a batch that goes to Spark.
 BATCH = 500
+LETTERS = 4 << 20
+#: Payloads that are held at once, and bytes of a row group of an archive: a
+#: task holds one such group, whatever the archive's size.
+HELD = 16
+GROUP = 4 << 20
 
 
 # ---------------------------------------------------------------- payloads
@@ -131,7 +136,7 @@ def archive(payloads: DataFrame, path: str, cycle: str) -> None:
     """Write name, payload as a cycle of an archive; its name must sort after
     those that streams have read."""
     rows = payloads.select(F.col("name").cast("string").alias("name"), F.col("payload").cast("string").alias("payload"))
-    rows.write.option("parquet.block.size", 32 << 20).parquet(f"{path.rstrip('/')}/cycle={cycle}")
+    rows.write.options(**{"parquet.block.size": GROUP, "parquet.block.size.row.check.min": 10, "parquet.page.size": 1 << 18}).option("parquet.page.row.count.limit", 256).parquet(f"{path.rstrip('/')}/cycle={cycle}")
 
 
 # ---------------------------------------------------------------- sources
@@ -203,7 +208,7 @@ class _Reading:
         part = ds.ParquetFileFormat().make_fragment(piece.file, store, row_groups=[piece.group])
         tests = [_holds(t, ds.field("name"), v) for t, v in self.on_name]
         wanted = reduce(operator.and_, tests) if tests else None
-        for batch in part.to_batches(columns=["name", "payload"], filter=wanted, batch_size=256):
+        for batch in part.to_batches(columns=["name", "payload"], filter=wanted, batch_size=HELD, batch_readahead=0, fragment_readahead=0, use_threads=False):
             for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield name, payload, None if payload is not None else "fetch: no payload"
 
@@ -222,12 +227,13 @@ class _Reading:
     def read(self, piece: Piece | None) -> Iterator[pa.RecordBatch]:
         """The rows of a piece; none is Spark's way to say that there are no
         pieces."""
-        held = []
+        held, letters = [], 0
         for row in self.rows(piece) if piece is not None else ():
             held.append(row)
-            if len(held) == BATCH:
+            letters += sum(len(v) for v in row if isinstance(v, str))
+            if len(held) == BATCH or letters >= LETTERS:
                 yield self._batch(held)
-                held = []
+                held, letters = [], 0
         if held:
             yield self._batch(held)
 
