@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Abbreviations of states and provinces in datelines.
@@ -331,3 +331,10 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), where `use` names the value several times: it is computed
     once, as the only element of an array, and not copied into the plan."""
     return F.get(F.transform(F.array(value), use), 0)
+
+
+def made(df: DataFrame) -> DataFrame:
+    """The same rows, with every column made here, once. A filter that is put
+    on them stays above; else it is moved below, with a copy of what makes a
+    column in place of each of its names, and evaluates every copy."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -133,13 +133,13 @@ def feed_gate(df: DataFrame, cfg: Config) -> DataFrame:
     if kept), matched_regions, company_name, person_*, keywords, description,
     relevance_score. First reason that holds wins."""
     f, t = F.col("_full"), F.col(T.LOWERED)
-    base = _prepared(df).withColumn("_lines", T.datelines(f)).select(
+    base = V.made(_prepared(df).withColumn("_lines", T.datelines(f)).select(
         "*",
         any_dateline(F.col("_lines"), cfg).alias("_line"),
         territory(f, cfg, t, F.get("_lines", 0)).alias("matched_regions"),
         target_company(t, cfg).alias("_target"),
         T.detect_type(t, cfg).alias("_type"),
-    )
+    ))
     inside, wanted = F.size("matched_regions") > 0, F.col("_target").isNotNull()
     none = F.col("_type").isNull()
     reason = (

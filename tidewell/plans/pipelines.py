@@ -16,11 +16,11 @@ from ..sources import readers
 
 
 def scrape_cycle(payloads: DataFrame, seen: DataFrame, events: DataFrame, cfg: Config, as_of: Column) -> DataFrame:
-    """Fetched feeds -> accepted events: parse, judge, drop old, seen and
-    repeated ones, then accept greedily in arrival order: that of the feeds in
+    """Fetched feeds -> accepted events: parse, drop old ones, judge, drop seen
+    and repeated ones, then accept greedily in arrival order: that of the feeds in
     the configuration (others after them, by name), then that in the feed."""
-    judged = gates.feed_gate(readers.feed_entries(payloads), cfg)
-    found = readers.to_events(judged, as_of).where(gates.recent(F.col("published_date"), as_of, cfg.max_age_hours))
+    young = V.made(readers.feed_entries(payloads)).where(gates.recent(readers.published(as_of), as_of, cfg.max_age_hours))
+    found = readers.to_events(gates.feed_gate(young, cfg), as_of)
     new = dedup.fresh_titles(dedup.unseen(found, seen), events, as_of, cfg.max_age_hours)
     known = F.array_position(V.words([f.get("name") for f in cfg.feeds]), F.col("feed_name"))
     order = W.orderBy(F.when(known > 0, known).otherwise(1 << 30), "feed_name")  # one row a feed

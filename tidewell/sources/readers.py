@@ -37,20 +37,24 @@ HEALTH_SCHEMA = (
 
 def entries(payload: Column) -> Column:
     """The <item> or, without one, <entry> elements of a feed, as strings."""
-    pick = lambda tag: F.regexp_extract_all(payload, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), 0)
-    items = pick("item")
-    return F.when(F.size(items) > 0, items).otherwise(pick("entry"))
+    pick = lambda text, tag: F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>.*?</{tag}>"), 0)
+    return V.once(payload, lambda p: V.once(pick(p, "item"), lambda items: F.when(F.size(items) > 0, items).otherwise(pick(p, "entry"))))
 
 
 def child(entry: Column, *tags: str) -> Column:
     """Text of the first of the child elements that has any, any prefix."""
+    def plain(bare: Column) -> Column:
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+            bare = F.replace(bare, F.lit(entity), F.lit(char))
+        return bare
+
+    def text(raw: Column) -> Column:
+        bare = F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
+        return V.once(bare, lambda b: strip(F.when(b == raw, plain(b)).otherwise(b)))
+
     def one(tag: str) -> Column:
         raw = F.regexp_extract(entry, rf"(?s)<(?:[\w-]+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:[\w-]+:)?{tag}>", 1)
-        bare = F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
-        plain = bare
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-            plain = F.replace(plain, F.lit(entity), F.lit(char))
-        return F.nullif(strip(F.when(bare == raw, plain).otherwise(bare)), F.lit(""))
+        return F.when(F.contains(entry, F.lit(f"{tag}>")), V.once(V.once(raw, text), lambda t: F.when(t != "", t)))
 
     return F.coalesce(*[one(t) for t in tags])
 
@@ -235,9 +239,13 @@ def unwrapped(raw: Column, schema: str) -> Column:
 # ---------------------------------------------------------------- event rows
 
 
-def to_events(entries_: DataFrame, as_of: Column) -> DataFrame:
-    """Judged feed entries as events: id and published date added."""
+def published(as_of: Column) -> Column:
+    """When a feed's entry was published; as_of without a date."""
     from ..functions.dates import parse_date
 
-    published = parse_date(F.col("pub_date"), F.col("published"), F.col("updated"), F.col("date"), as_of=as_of)
-    return entries_.where("drop_reason is null").withColumn("published_date", published).withColumn("id", T.event_id(F.col("link"), F.col("title"))).withColumnRenamed("link", "url").drop("pub_date", "published", "updated", "date")
+    return parse_date(F.col("pub_date"), F.col("published"), F.col("updated"), F.col("date"), as_of=as_of)
+
+
+def to_events(entries_: DataFrame, as_of: Column) -> DataFrame:
+    """Judged feed entries as events: id and published date added."""
+    return entries_.where("drop_reason is null").withColumn("published_date", published(as_of)).withColumn("id", T.event_id(F.col("link"), F.col("title"))).withColumnRenamed("link", "url").drop("pub_date", "published", "updated", "date")
